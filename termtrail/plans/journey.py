@@ -14,6 +14,7 @@ from termtrail.params import STUDY, StudyParams
 from termtrail.plans import facts as facts_plan
 from termtrail.plans import history as history_plan
 from termtrail.plans import students as student_plan
+from termtrail.sources.store import TableStore
 from termtrail.sources.tables import RawTables
 
 COHORT_COLUMNS = (
@@ -28,9 +29,25 @@ COHORT_COLUMNS = (
 class Journey:
     """Lazy layers over one set of raw tables. Every property is a DataFrame."""
 
-    def __init__(self, raw: RawTables, params: StudyParams = STUDY):
+    def __init__(self, raw: RawTables, params: StudyParams = STUDY,
+                 store: TableStore | None = None):
         self.raw = raw
         self.params = params
+        self.store = store
+
+    @cached_property
+    def stored(self) -> Journey:
+        """The same layers read from the written student table."""
+        if self.store is None:
+            return self
+        reader = Journey(self.raw, self.params)
+        reader.wide = self.store.table("student_table", self.wide)
+        reader.degree_info_columns = self.degree_info_columns
+        return reader
+
+    @cached_property
+    def degree_info_columns(self) -> list[str]:
+        return self.degree_info.columns
 
     @cached_property
     def terms_adjusted(self) -> DataFrame:
@@ -84,7 +101,7 @@ class Journey:
 
     @cached_property
     def cohort_info(self) -> DataFrame:
-        return self.wide.select(*self.degree_info.columns, *COHORT_COLUMNS)
+        return self.wide.select(*self.degree_info_columns, *COHORT_COLUMNS)
 
     def _sample(self, first_esl_window: bool) -> DataFrame:
         kept = self.wide.where(F.col("first_term_enrolled").between(*self.params.entry_window)
@@ -99,7 +116,7 @@ class Journey:
         relative = [history_plan.relative_name(m) for m in facts_plan.RELATIVE_SEQUENCES]
         absolute = [history_plan.absolute_name(m) for m in facts_plan.ABSOLUTE_SEQUENCES]
         return self._sample(True).where("has_term_window").select(
-            *self.degree_info.columns, *COHORT_COLUMNS, *relative, "term_in_6", "term_in_12",
+            *self.degree_info_columns, *COHORT_COLUMNS, *relative, "term_in_6", "term_in_12",
             F.col("uuid").alias("sca_uuid"), *absolute)
 
     @cached_property

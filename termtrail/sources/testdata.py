@@ -7,11 +7,16 @@ enrollments, so the drop filter of the library is what removes them.
 
 from __future__ import annotations
 
+from functools import cached_property
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termtrail import fixed_values as fv
-from termtrail.sources.tables import RawTables, schema
+from termtrail.functions import sequences as seq
+from termtrail.sources.store import TableStore
+from termtrail.sources.tables import schema
 
 DRIVER_SCHEMAS = {
     "lineitem": "l_orderkey bigint, l_partkey bigint, l_linenumber int, l_quantity double, "
@@ -155,42 +160,164 @@ def _awards(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("sp03"), "gi03")
 
 
-def raw_tables(spark: SparkSession, sf_dir: str) -> RawTables:
-    base = enrollment_base(spark, sf_dir)
-    customers = open_driver_table(spark, sf_dir, "customer")
-    ck = F.col("c_custkey")
-    masked = F.concat(F.lit("S"), ck).alias("maskedsb00")
-    orders = _order_columns(open_driver_table(spark, sf_dir, "orders"))
-    firsts = orders.groupBy("c").agg(F.min("gi03").alias("first"))
-    events = open_driver_table(spark, sf_dir, "events")
-    user, kind = F.col("user_id"), F.col("event_type")
-    c = F.col("c")
-    return RawTables(
-        students=customers.select(masked, F.concat(F.lit("U"), ck).alias("uuid")),
-        details=_details(base),
-        disability=customers.where("c_acctbal < 0").select(
-            masked, F.when(ck % 2 == 0, "M").otherwise("P").alias("sd01")),
-        aid=events.select(
+def _lookup(spark: SparkSession, name: str, rows: list[tuple]) -> DataFrame:
+    """A small fixed lookup as a local relation, whose size Spark knows."""
+    ddl = schema(name)
+    columns = {f.name: pa.array([r[i] for r in rows],
+                                pa.int32() if f.dataType.typeName() == "integer" else pa.string())
+               for i, f in enumerate(ddl.fields)}
+    return spark.createDataFrame(pa.table(columns))
+
+
+class DriverTables:
+    """The raw tables of the library, derived from one driver test folder.
+
+    With a store, every derived table is written on first use and read back,
+    so queries start from raw tables as they would in a warehouse.
+    """
+
+    def __init__(self, spark: SparkSession, sf_dir: str, store: TableStore | None = None):
+        self._spark, self._dir, self._store = spark, sf_dir, store
+
+    def _keep(self, name: str, df: DataFrame) -> DataFrame:
+        return self._store.table(name, df) if self._store else df
+
+    def _open(self, name: str) -> DataFrame:
+        return open_driver_table(self._spark, self._dir, name)
+
+    @cached_property
+    def _base(self) -> DataFrame:
+        return self._keep("enrollment_base", enrollment_base(self._spark, self._dir))
+
+    @cached_property
+    def _first_seen(self) -> DataFrame:
+        return _order_columns(self._open("orders")).groupBy("c").agg(F.min("gi03").alias("first"))
+
+    @cached_property
+    def students(self) -> DataFrame:
+        c = F.col("c_custkey")
+        return self._keep("students", self._open("customer").select(
+            F.concat(F.lit("S"), c).alias("maskedsb00"), F.concat(F.lit("U"), c).alias("uuid")))
+
+    @cached_property
+    def details(self) -> DataFrame:
+        return self._keep("details", _details(self._base))
+
+    @cached_property
+    def disability(self) -> DataFrame:
+        c = F.col("c_custkey")
+        return self._keep("disability", self._open("customer").where("c_acctbal < 0").select(
+            F.concat(F.lit("S"), c).alias("maskedsb00"),
+            F.when(c % 2 == 0, "M").otherwise("P").alias("sd01")))
+
+    @cached_property
+    def aid(self) -> DataFrame:
+        user, kind = F.col("user_id"), F.col("event_type")
+        return self._keep("aid", self._open("events").select(
             F.concat(F.lit("S"), user).alias("maskedsb00"),
             F.when((kind == "purchase") & (user % 2 == 0), "GP")
-            .when((kind == "signup") & (user % 3 == 0), "GE").otherwise("XX").alias("sf21")),
-        head=firsts.select(
+            .when((kind == "signup") & (user % 3 == 0), "GE").otherwise("XX").alias("sf21")))
+
+    @cached_property
+    def head(self) -> DataFrame:
+        c = F.col("c")
+        return self._keep("head", self._first_seen.select(
             F.concat(F.lit("S"), c).alias("maskedsb00"),
-            (F.col("first") - F.when(c % 13 == 0, 10).otherwise(0)).alias("ccc_first_term")),
-        basic=firsts.select(
+            (F.col("first") - F.when(c % 13 == 0, 10).otherwise(0)).alias("ccc_first_term")))
+
+    @cached_property
+    def basic(self) -> DataFrame:
+        c = F.col("c")
+        return self._keep("basic", self._first_seen.select(
             F.concat(F.lit("S"), c).alias("maskedsb00"),
-            F.when(c % 17 != 0, F.col("first")).alias("scd1")),
-        awards=_awards(spark, sf_dir),
-        award_types=spark.createDataFrame(
-            [(code, f"Award {code}", rank + 1) for rank, code in enumerate(AWARD_CODES)],
-            schema("award_types")),
-        enrollments=base.select("student_uuid", "maskedsb00", "gi01", "gi03", "cb00", "sx01",
-                                "sx02", "sx04"),
-        courses=base.select("gi01", "gi03", "cb00", F.concat(F.lit("ESL "), F.col("pk")).alias("cb01"),
-                            "cb03", "cb04", "cb05", "cb21").distinct(),
-        terms=_terms(spark, sf_dir),
-        colleges=spark.createDataFrame(
-            [(college_code(i), n) for i, n in enumerate(COLLEGE_NAMES)], schema("colleges")),
-        levels=spark.createDataFrame(list(LEVEL_OF.items()), schema("levels")),
-        topcodes=spark.createDataFrame([(t, f"Subject {t}") for t in TOPCODES],
-                                       schema("topcodes")))
+            F.when(c % 17 != 0, F.col("first")).alias("scd1")))
+
+    @cached_property
+    def awards(self) -> DataFrame:
+        return self._keep("awards", _awards(self._spark, self._dir))
+
+    @cached_property
+    def enrollments(self) -> DataFrame:
+        return self._keep("enrollments", self._base.select(
+            "student_uuid", "maskedsb00", "gi01", "gi03", "cb00", "sx01", "sx02", "sx04"))
+
+    @cached_property
+    def courses(self) -> DataFrame:
+        return self._keep("courses", self._base.select(
+            "gi01", "gi03", "cb00", F.concat(F.lit("ESL "), F.col("pk")).alias("cb01"), "cb03",
+            "cb04", "cb05", "cb21").distinct())
+
+    @cached_property
+    def terms(self) -> DataFrame:
+        return self._keep("terms", _terms(self._spark, self._dir))
+
+    @cached_property
+    def award_types(self) -> DataFrame:
+        return _lookup(self._spark, "award_types",
+                       [(c, f"Award {c}", i + 1) for i, c in enumerate(AWARD_CODES)])
+
+    @cached_property
+    def colleges(self) -> DataFrame:
+        return _lookup(self._spark, "colleges",
+                       [(college_code(i), n) for i, n in enumerate(COLLEGE_NAMES)])
+
+    @cached_property
+    def levels(self) -> DataFrame:
+        return _lookup(self._spark, "levels", list(LEVEL_OF.items()))
+
+    @cached_property
+    def topcodes(self) -> DataFrame:
+        return _lookup(self._spark, "topcodes", [(t, f"Subject {t}") for t in TOPCODES])
+
+
+def _number(column: str) -> Column:
+    return F.substring(F.col(column), 2, 20).cast("bigint")
+
+
+def dashboard_people(flat: DataFrame) -> DataFrame:
+    """The exploration table: a text projection of the flat file with dirty values."""
+    c = _number("uuid")
+    levels = seq.level_numbers(F.col("lowest_cb21_level_adjusted_all_credit_types_by_terms"))
+    yes_no = lambda n: F.when(F.col(n), F.when(c % 8 == 0, "y ").otherwise("Y")).when(~F.col(n), "N")
+    score = lambda k: F.concat(F.lit("A"), (k % 6 + 1).cast("string"))
+    races = ("latin_american", "aapi", "black", "indigenous_american", "white", "no_data")
+    return flat.select(
+        "uuid", F.concat(F.lit("9"), F.lpad((c % 1000).cast("string"), 4, "0")).alias("zip_code"),
+        (c % 3).cast("string").alias("residence_aggregated"),
+        F.col("first_term_enrolled").cast("string").alias("sample_first_term"),
+        F.when(c % 13 == 0, "").when(c % 11 == 0, F.concat(F.lit(" "), F.lower("gender")))
+        .otherwise(F.col("gender")).alias("gender"),
+        F.when(c % 9 == 0, F.lit(None)).when(c % 9 == 1, "X")
+        .otherwise(yes_no("hispanic_non_hispanic")).alias("hispanic_non_hispanic"),
+        *[yes_no(r).alias(r) for r in races],
+        F.when(F.col("english_or_math_enrollment"), "TRUE")
+        .when(~F.col("english_or_math_enrollment"), "no").alias("english_or_math_enrollment"),
+        F.col("special_admit_dual_enrollment").cast("int").cast("string")
+        .alias("special_admit_dual_enrollment"),
+        F.when(c % 4 == 0, "YES").when(c % 4 == 1, "N").when(c % 4 == 2, "maybe")
+        .alias("prior_non_success"),
+        F.when(c % 31 == 0, "n/a").otherwise(F.col("age_at_first_term")).alias("age_at_first_term"),
+        F.when(c % 37 == 0, " ").when(c % 41 != 0, F.col("first_college_name"))
+        .alias("main_campus_name"),
+        F.when(c % 19 == 0, " ").when(c % 5 != 0, score(c)).alias("earliest_efl_score"),
+        F.when(c % 7 != 0, score(_div(c, 3))).alias("latest_efl_score"),
+        F.try_element_at(levels, F.lit(1)).cast("string").alias("first_level"),
+        F.array_max(levels).cast("string").alias("lowest_level"),
+        F.when(c % 43 == 0, "unknown").otherwise(F.array_min(levels).cast("string"))
+        .alias("highest_level"))
+
+
+def dashboard_cohort(flat: DataFrame) -> DataFrame:
+    """The cohort table: text flags as a CSV export would hold them."""
+    c = _number("uuid")
+    spelled = F.when(c % 3 == 0, "Y").when(c % 3 == 1, "true").otherwise(" 1 ")
+    text = lambda flag: F.when(flag, spelled).when(~flag, "N")
+    terms = F.length("any_esl_enrollment_by_terms")
+    return flat.select(
+        text(F.col("first_term_noncredit")).alias("first_term_noncredit"),
+        text(F.col("first_term_credit_only")).alias("first_term_credit"),
+        text(F.col("first_term_enrolled") > F.col("first_esl_term")).alias("incorrect_first_term"),
+        text(F.col("ever_credit_esl")).alias("ever_credit_esl"),
+        text(F.col("always_noncredit_esl")).alias("always_noncredit_esl"),
+        text(terms >= 6).alias("six_terms_attended"), text(terms >= 12).alias("twelve_terms_attended"),
+        F.when(c % 53 != 0, F.col("first_academic_year")).alias("first_academic_year"), "cohort")
