@@ -79,7 +79,7 @@ def student_history(facts: DataFrame, terms: DataFrame, levels: DataFrame,
     grouped = rows.groupBy("student_uuid").agg(
         F.array_sort(F.collect_list(F.struct(
             "gi03", "college_name", "grid_key", "sequence_rows", "history_rows",
-            *RELATIVE_SEQUENCES))).alias("rows"),
+            *RELATIVE_SEQUENCES))).alias("all_rows"),
         F.first(first).alias("first_esl_term"),
         F.first("first_year").alias("first_academic_year"),
         F.first(term_fn.half_year(F.col("first_term_name"))).alias("cohort"),
@@ -108,10 +108,10 @@ def student_history(facts: DataFrame, terms: DataFrame, levels: DataFrame,
     low, high = p.sequence_window
     grid = (term_lookup(terms).where(gi03.between(low, high))
             .agg(F.array_sort(F.collect_set(_grid_key())).alias("grid")).scalar())
-    counts = _college_counts(F.col("rows"))
+    counts = _college_counts(F.col("all_rows"))
     has_history = F.col("history_rows") > 0
     shaped = grouped.withColumns({
-        "rows": F.filter("rows", lambda r: r["sequence_rows"] > 0),
+        "rows": F.filter("all_rows", lambda r: r["sequence_rows"] > 0),
         "college_counts": counts,
         "first_level": -F.col("first_level")["l"],
         "credit_level": F.when(F.col("passed_all_credit") & has_history, F.col("credit_level")),
