@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,21 +14,49 @@ def blank_to_null(text: Column) -> Column:
     return F.nullif(text, F.lit(""))
 
 
-def relative_sequence(rows: Column, field: str) -> Column:
-    """One character per row of an ordered struct array; null values are skipped."""
-    return blank_to_null(F.array_join(F.transform(rows, lambda r: r[field]), ""))
+# A term code packs one row's measures into a string, one character per measure. A measure
+# without a value is a blank, or a tilde where the smallest value wins, so that it loses
+# every comparison.
+BLANK, TILDE, ABSENT = " ", "~", "-"
+
+
+def term_code(values: Sequence[Column], smallest_wins: Sequence[bool]) -> Column:
+    return F.concat(*[F.coalesce(v, F.lit(TILDE if low else BLANK))
+                      for v, low in zip(values, smallest_wins)])
+
+
+def _at(code: Column, position: int) -> Column:
+    return F.substring(code, position + 1, 1)
+
+
+def merge_codes(a: Column, b: Column, smallest_wins: Sequence[bool]) -> Column:
+    """Character-wise best of two codes."""
+    return F.concat(*[(F.least if low else F.greatest)(_at(a, i), _at(b, i))
+                      for i, low in enumerate(smallest_wins)])
+
+
+def relative_sequence(codes: Column, position: int) -> Column:
+    """One character per ordered code; measures without a value are skipped."""
+    text = F.array_join(F.transform(codes, lambda c: _at(c, position)), "")
+    return blank_to_null(F.translate(text, BLANK + TILDE, ""))
+
 
+def grid_codes(rows: Column, grid: Column, smallest_wins: Sequence[bool]) -> Column:
+    """One code per grid key, merging the rows that share it; blank where there is none.
 
-def align_to_grid(rows: Column, key: str, grid: Column) -> Column:
-    """For each grid key, the rows carrying it (an array of struct arrays)."""
-    return F.transform(grid, lambda g: F.filter(rows, lambda r: r[key] == g))
+    ``rows`` are structs of (grid_key, code). The merge runs only for shared keys.
+    """
+    blank = F.lit(BLANK * len(smallest_wins))
+    add = lambda acc, r: F.when(acc == blank, r["code"]).otherwise(
+        merge_codes(acc, r["code"], smallest_wins))
+    return F.transform(grid, lambda g: F.aggregate(
+        F.filter(rows, lambda r: r["grid_key"] == g), blank, add))
 
 
-def absolute_sequence(aligned: Column, field: str, pick: str = "max", absent: str = "-") -> Column:
-    """One character per grid key: the max/min of ``field`` there, ``absent`` if none."""
-    best = F.array_max if pick == "max" else F.array_min
-    cell = lambda rows: F.coalesce(best(F.transform(rows, lambda r: r[field])), F.lit(absent))
-    return blank_to_null(F.array_join(F.transform(aligned, cell), ""))
+def absolute_sequence(codes: Column, position: int) -> Column:
+    """One character per grid key, ``-`` where there is no value."""
+    text = F.array_join(F.transform(codes, lambda c: _at(c, position)), "")
+    return blank_to_null(F.translate(text, BLANK + TILDE, ABSENT * 2))
 
 
 def contains_term(sequence: Column) -> Column:

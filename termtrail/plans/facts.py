@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from termtrail import fixed_values as fv
 from termtrail.functions import colleges as col_fn
+from termtrail.functions import sequences as seq
 from termtrail.functions import terms as term_fn
 from termtrail.operators.aggregates import all_of, any_of, letter_of, max_letter, min_letter
 from termtrail.params import STUDY, StudyParams
@@ -31,6 +32,7 @@ PROGRAM_SEQUENCES = tuple(f"any_{p}_course_enrollment" for p in fv.ESL_PROGRAMS)
 COLLEGE_SEQUENCE = "college_group_enrollment"
 ABSOLUTE_SEQUENCES = FLAG_SEQUENCES + LOWEST_SEQUENCES + HIGHEST_SEQUENCES + PROGRAM_SEQUENCES
 RELATIVE_SEQUENCES = ABSOLUTE_SEQUENCES + (COLLEGE_SEQUENCE,)
+SMALLEST_WINS = tuple(m in HIGHEST_SEQUENCES for m in RELATIVE_SEQUENCES)
 PER_TERM_MEASURES = RELATIVE_SEQUENCES + (UNUSED_HIGHEST,)
 
 
@@ -180,8 +182,10 @@ def term_facts(raw: RawTables, p: StudyParams = STUDY) -> DataFrame:
     text = {n: F.col(n).cast("int").cast("string") for n in FLAG_SEQUENCES}
     text |= {n: letter_of(F.col(n)) for n in (*lowest, *highest)}
     text |= {n: F.coalesce(F.col(n), F.lit(False)).cast("int").cast("string") for n in programs}
-    return grouped.withColumns(text).withColumn(
+    out = grouped.withColumns(text).withColumn(
         COLLEGE_SEQUENCE, col_fn.group_letter(F.col("college_name")))
+    return out.withColumn("code", seq.term_code([F.col(m) for m in RELATIVE_SEQUENCES],
+                                                SMALLEST_WINS))
 
 
 def per_term_info(facts: DataFrame) -> DataFrame:

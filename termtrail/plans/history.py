@@ -9,7 +9,7 @@ from termtrail.functions import sequences as seq
 from termtrail.functions import terms as term_fn
 from termtrail.params import STUDY, StudyParams
 from termtrail.plans.facts import (
-    ABSOLUTE_SEQUENCES, HIGHEST_SEQUENCES, RELATIVE_SEQUENCES, term_lookup)
+    ABSOLUTE_SEQUENCES, RELATIVE_SEQUENCES, SMALLEST_WINS, term_lookup)
 
 NO_QUARTER = 2147483647   # grid key of a term without a quarter: sorts last
 
@@ -78,8 +78,8 @@ def student_history(facts: DataFrame, terms: DataFrame, levels: DataFrame,
 
     grouped = rows.groupBy("student_uuid").agg(
         F.array_sort(F.collect_list(F.struct(
-            "gi03", "college_name", "grid_key", "sequence_rows", "history_rows",
-            *RELATIVE_SEQUENCES))).alias("all_rows"),
+            "gi03", "college_name", "grid_key", "sequence_rows", "history_rows", "code")))
+        .alias("all_rows"),
         F.first(first).alias("first_esl_term"),
         F.first("first_year").alias("first_academic_year"),
         F.first(term_fn.half_year(F.col("first_term_name"))).alias("cohort"),
@@ -119,9 +119,11 @@ def student_history(facts: DataFrame, terms: DataFrame, levels: DataFrame,
             F.col("done_term").isNotNull(),
             F.size(F.filter("ranked_terms", lambda t: t <= F.col("done_term")))),
         "grid": grid,
-    }).withColumn("aligned", seq.align_to_grid(F.col("rows"), "grid_key", F.col("grid")))
+    })
+    shaped = shaped.withColumns({
+        "codes": F.transform("rows", lambda r: r["code"]),
+        "grid_codes": seq.grid_codes(F.col("rows"), F.col("grid"), SMALLEST_WINS)})
     nc, cr = F.col("first_term_noncredit"), F.col("first_credit")
-    pick = lambda m: "min" if m in HIGHEST_SEQUENCES else "max"
     out = shaped.select(
         "student_uuid", "first_esl_term",
         F.when(has_history, F.size("college_counts") > 1).alias("multiple_colleges"),
@@ -136,10 +138,10 @@ def student_history(facts: DataFrame, terms: DataFrame, levels: DataFrame,
         "latest_6_term", "latest_12_term", "term_in_6", "term_in_12",
         ((F.col("sequence_rows") > 0) & F.col("latest_6_term").isNotNull())
         .alias("has_term_window"),
-        *[seq.relative_sequence(F.col("rows"), m).alias(relative_name(m))
-          for m in RELATIVE_SEQUENCES],
-        *[seq.absolute_sequence(F.col("aligned"), m, pick(m)).alias(absolute_name(m))
-          for m in ABSOLUTE_SEQUENCES])
+        *[seq.relative_sequence(F.col("codes"), i).alias(relative_name(m))
+          for i, m in enumerate(RELATIVE_SEQUENCES)],
+        *[seq.absolute_sequence(F.col("grid_codes"), i).alias(absolute_name(m))
+          for i, m in enumerate(ABSOLUTE_SEQUENCES)])
     for level, letter in (("first_level", "first_cb21_level"),
                           ("first_level_adj", "first_cb21_level_adj"),
                           ("credit_level", "first_cb21_level_credit_only")):
