@@ -74,6 +74,15 @@ def _crosstab(people: DataFrame) -> DataFrame:
     return explore.crosstab_margins(people, "earliest_efl_score", "latest_efl_score")
 
 
+# Queries built from the raw tables; all others read the written student table.
+LAYER_QUERIES = (
+    "terms_adjusted", "semesters_abs", "courses_level_adjusted", "college_groups", "demographics",
+    "degree_info", "degree_expanded", "first_terms", "cohort_assignment", "esl_profile",
+    "first_term_courses", "first_level", "first_level_adjusted", "first_level_credit_only",
+    "level_completion", "term_windows", "cohort_info", "per_term_info", "sequences_relative",
+    "sequences_absolute", "flat_file", "demographic_base")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppressed pathway totals straight from the raw tables."""
     flat = journey(spark, sf_dir).flat_file

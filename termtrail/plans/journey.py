@@ -93,7 +93,7 @@ class Journey:
         The cohort and course layers are projections of this one plan, so the
         enrollment facts are never computed twice.
         """
-        first = self.first_terms.select(
+        first = student_plan.first_terms_by_key(self.raw, self.params).select(
             "maskedsb00", F.col("first_term_enrollment").alias("first_term_enrolled"))
         joined = (self.degree_info.join(first, "maskedsb00", "left")
                   .join(self.history.withColumnRenamed("student_uuid", "uuid"), "uuid", "left"))
@@ -148,25 +148,29 @@ def flat_file(course_info: DataFrame, p: StudyParams = STUDY, ever: bool = False
 
 
 def degree_expanded(course_info: DataFrame, raw: RawTables, p: StudyParams = STUDY) -> DataFrame:
-    """One row per award of a confirmed-college student, awards ranked by date."""
+    """One row per award of a confirmed-college student, awards ranked by date.
+
+    Ranks are taken over the distinct award dates of a student and joined back,
+    so a student holding a large share of the awards is never one window group.
+    The award id hashes the award with its position in the scan.
+    """
     students = course_info.where(F.col("first_college_group").isin(*fv.CONFIRMED_GROUPS))
     awards = student_plan.dated_awards(raw.awards, p).select(
         F.col("student_uuid").alias("uuid"), F.col("sp01").alias("topcode"),
-        F.col("sp02").alias("award_code"), "gi03", F.col("degree_date").alias("awarded_date"))
+        F.col("sp02").alias("award_code"), "gi03", F.col("degree_date").alias("awarded_date"),
+        F.monotonically_increasing_id().alias("position"))
     titles = raw.topcodes.select(F.col("top6").alias("topcode"),
                                  F.col("top6title").alias("award_subject_title"))
-    joined = students.join(awards, "uuid").join(titles, "topcode")
-    by_student = Window.partitionBy("uuid")
-    by_date = by_student.orderBy(F.col("awarded_date").asc_nulls_last())
-    twin = Window.partitionBy("uuid", "awarded_date", "topcode", "award_code", "gi03").orderBy(
-        "award_code")
-    id_parts = ("uuid", "awarded_date", "topcode", "award_code", "gi03", "_copy")
-    return joined.withColumns({
+    titled = awards.join(titles, "topcode")
+    by_date = Window.partitionBy("uuid").orderBy("awarded_date")
+    ranks = (titled.select("uuid", "awarded_date").distinct()
+             .withColumn("award_number", F.row_number().over(by_date)))
+    id_parts = ("uuid", "awarded_date", "topcode", "award_code", "gi03", "position")
+    described = titled.join(ranks, ["uuid", "awarded_date"]).withColumns({
         "award_description": label_map(F.col("award_code"), fv.AWARD_DESCRIPTIONS,
                                        fv.UNKNOWN_AWARD),
-        "award_number": F.dense_rank().over(by_date),
-        "_copy": F.row_number().over(twin),
-    }).withColumn("award_uuid", F.sha2(F.concat_ws("|", *id_parts), 256)).select(
+        "award_uuid": F.sha2(F.concat_ws("|", *id_parts), 256)})
+    return students.join(described, "uuid").select(
         *course_info.columns, "award_uuid", "topcode", "award_subject_title", "award_code",
         "award_description", "gi03", "awarded_date", "award_number")
 

@@ -14,6 +14,7 @@ from termtrail.functions import recode
 from termtrail.functions import sequences as seq
 from termtrail.functions.rates import percent_half_even, ratio_half_even
 from termtrail.params import DISCLOSURE, DisclosureParams
+from termtrail.sources.sinks import publish
 from termtrail.sources.tables import require_columns
 
 ESL = "any_esl_enrollment_by_terms"
@@ -220,3 +221,13 @@ def tables(d: DataFrame, run_date: str, p: DisclosureParams = DISCLOSURE) -> lis
          "counts within each pathway"),
         ("14_awards_by_top_code_family", awards_by_family(d, p), one,
          "first award only")]
+
+
+def publish_tables(flat: DataFrame, folder: str, run_date: str,
+                   p: DisclosureParams = DISCLOSURE) -> DataFrame:
+    """The whole disclosure job: classify once, then write every table and the manifest."""
+    d = classified(flat).persist()
+    try:
+        return publish(tables(d, run_date, p), flat, folder, run_date, p)
+    finally:
+        d.unpersist()

@@ -66,30 +66,32 @@ def dated_awards(awards: DataFrame, p: StudyParams = STUDY) -> DataFrame:
 
 
 def award_summary(raw: RawTables, p: StudyParams = STUDY) -> DataFrame:
-    """First award, number of awards, highest-ranked award and the first award's term."""
-    awards = dated_awards(raw.awards, p)
-    when = F.col("degree_date")
+    """First award, number of awards, highest-ranked award and the first award's term.
+
+    Award types are looked up before grouping, so one grouped pass serves the
+    first and the highest award alike.
+    """
+    types = raw.award_types.select(F.col("award_code").alias("sp02"), "award_ranking",
+                                   "award_description", F.lit(True).alias("ranked"))
+    awards = dated_awards(raw.awards, p).join(types, "sp02", "left")
+    when, rank = F.col("degree_date"), F.col("award_ranking")
+    counted = F.col("ranked") & F.col("gi03").between(*p.profile_window)
     firsts = awards.groupBy(KEY).agg(
         F.min(when).alias("earliest_degree_date"),
         earliest(F.col("sp02"), when).alias("earliest_degree_type"),
         earliest(F.col("sp01"), when).alias("earliest_degree_topcode"),
-        F.count("*").alias("number_degrees_17_23"))
-    rank = F.col("award_ranking")
-    highest = (awards.where(F.col("gi03").between(*p.profile_window))
-               .join(raw.award_types, F.col("sp02") == F.col("award_code"))
-               .groupBy(KEY).agg(
-                   earliest(F.col("award_code"), rank).alias("highest_degree_earned"),
-                   earliest(F.col("award_description"), rank)
-                   .alias("highest_degree_earned_description")))
+        F.count("*").alias("number_degrees_17_23"),
+        earliest(F.col("sp02"), rank, counted).alias("highest_degree_earned"),
+        earliest(F.col("award_description"), rank, counted)
+        .alias("highest_degree_earned_description"))
     # One row per calendar quarter, so at most 4 x 100: the join cannot fan out.
-    quarters = raw.terms.groupBy(
+    quarters = raw.terms.where(F.col("gi03").between(0, 999)).groupBy(
         F.col("quarter").alias("_q"), term_fn.year_prefix(F.col("gi03")).alias("_yy")).agg(
             F.max("gi03").alias("earliest_degree_term"))
     day = F.col("earliest_degree_date")
     dated = firsts.withColumns({
         "_q": F.quarter(day), "_yy": F.right(F.year(day).cast("string"), F.lit(2))})
-    return (dated.join(F.broadcast(quarters), ["_q", "_yy"], "left").drop("_q", "_yy")
-            .join(highest, KEY, "left"))
+    return dated.join(F.broadcast(quarters), ["_q", "_yy"], "left").drop("_q", "_yy")
 
 
 def degree_info(raw: RawTables, p: StudyParams = STUDY) -> DataFrame:
@@ -100,8 +102,8 @@ def degree_info(raw: RawTables, p: StudyParams = STUDY) -> DataFrame:
     return people.join(award_summary(raw, p), KEY, "left").select(*people.columns, *columns)
 
 
-def first_terms(raw: RawTables, p: StudyParams = STUDY) -> DataFrame:
-    """First enrollment term per student, reconciled over three sources."""
+def first_terms_by_key(raw: RawTables, p: StudyParams = STUDY) -> DataFrame:
+    """First enrollment term per natural key, reconciled over three sources."""
     gi03 = F.col("gi03")
     finished = F.when((F.col("sx02") == p.not_dropped) & ~F.col("sx04").isin(*p.withdrawn), gi03)
     cut, low, high = p.enrollment_wrap
@@ -111,12 +113,14 @@ def first_terms(raw: RawTables, p: StudyParams = STUDY) -> DataFrame:
         .alias("first_term_enrollment_finished_term"))
     head = raw.head.groupBy(KEY).agg(F.min("ccc_first_term").alias("hf"))
     basic = raw.basic.groupBy(KEY).agg(F.min("scd1").alias("scd1_val"))
-    joined = raw.students.join(sx, KEY).join(head, KEY).join(basic, KEY)
+    joined = sx.join(head, KEY).join(basic, KEY)
     any_term, done = F.col("first_term_enrollment_any"), F.col("first_term_enrollment_finished_term")
     first = F.least(any_term, F.col("hf"), F.col("scd1_val"))
     # A recorded start in the same year is trusted only as far as it was finished.
     same_year = term_fn.year_prefix(first) == term_fn.year_prefix(any_term)
     chosen = F.when(same_year & done.isNotNull(), done).otherwise(first)
-    return joined.select("uuid", KEY, "first_term_enrollment_any",
-                         "first_term_enrollment_finished_term", "hf", "scd1_val",
-                         chosen.alias("first_term_enrollment"))
+    return joined.withColumn("first_term_enrollment", chosen)
+
+
+def first_terms(raw: RawTables, p: StudyParams = STUDY) -> DataFrame:
+    return raw.students.select("uuid", KEY).join(first_terms_by_key(raw, p), KEY)

@@ -39,7 +39,7 @@ def publish(tables: list[tuple], source: DataFrame, folder: str, run_date: str,
             p: DisclosureParams = DISCLOSURE) -> DataFrame:
     """Suppress, guard and write each table, then the manifest; returns the manifest."""
     spark: SparkSession = source.sparkSession
-    entries = []
+    entries = []   # one small record per written file
     for stem, df, counts, note in tables:
         safe = guard_identifiers(suppress(df, counts, p.min_cell) if counts else df, stem)
         path = f"{folder}/{stem}.csv"
