@@ -200,12 +200,13 @@ def crosstab_margins(df: DataFrame, x: str, y: str) -> DataFrame:
     Spark refuses more column values than ``spark.sql.pivotMaxValues``.
     """
     require_columns(df, (x, y))
-    named = df.select(recode.text_or(F.col(x), fv.MISSING).alias("x"),
-                      recode.text_or(F.col(y), fv.MISSING).alias("y"))
+    named = df.select(recode.text_or(F.col(x), fv.MISSING).alias("_row"),
+                      recode.text_or(F.col(y), fv.MISSING).alias("_col"))
     level = lambda c: F.when(F.grouping(c) == 1, fv.TOTAL).otherwise(F.col(c))
-    cube = named.cube("x", "y").agg(level("x").alias(x), level("y").alias("_across"),
-                                    F.count("*").alias("students"))
-    return cube.select(x, "_across", "students").groupBy(x).pivot("_across").agg(
+    cube = named.cube("_row", "_col").agg(
+        level("_row").alias("_down"), level("_col").alias("_across"),
+        F.count("*").alias("students"))
+    return cube.groupBy(F.col("_down").alias(x)).pivot("_across").agg(
         F.first("students")).na.fill(0)
 
 

@@ -84,6 +84,11 @@ def read_catalog_tables(spark: SparkSession, database: str) -> RawTables:
     return RawTables(**{n: spark.table(f"{database}.{WAREHOUSE_NAMES[n]}") for n in TABLE_NAMES})
 
 
+def read_csv(spark: SparkSession, path: str, columns: StructType) -> DataFrame:
+    """CSV with a header and a stated schema, so code-like text keeps its leading zeros."""
+    return spark.read.schema(columns).option("header", True).csv(path)
+
+
 def require_columns(df: DataFrame, names) -> DataFrame:
     missing = [n for n in names if n not in df.columns]
     if missing:
