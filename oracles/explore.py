@@ -53,7 +53,7 @@ BLOCKS = {
              CASE WHEN f.c % 31 = 0 THEN 'n/a' ELSE age_at_first_term END AS age_at_first_term,
              CASE WHEN f.c % 37 = 0 THEN ' ' WHEN f.c % 41 = 0 THEN NULL ELSE first_college_name END AS main_campus_name,
              CASE WHEN f.c % 19 = 0 THEN ' ' WHEN f.c % 5 = 0 THEN NULL ELSE 'A' || (f.c % 6 + 1) END AS earliest_efl_score,
-             CASE WHEN f.c % 7 = 0 THEN NULL ELSE 'A' || ((f.c // 3) % 6 + 1) END AS latest_efl_score,
+             CASE WHEN f.c % 3 = 0 THEN NULL ELSE 'A' || ((f.c // 3) % 6 + 1) END AS latest_efl_score,
              l.first_level::VARCHAR AS first_level, l.lowest_level::VARCHAR AS lowest_level,
              CASE WHEN f.c % 43 = 0 THEN 'unknown' ELSE l.highest_level::VARCHAR END AS highest_level
       FROM o_flat f LEFT JOIN e_levels l ON l.c = f.c""",

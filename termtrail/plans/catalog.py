@@ -37,8 +37,16 @@ def _layer(pick: Callable[[Journey], DataFrame]) -> Query:
     return lambda spark, sf_dir: pick(journey(spark, sf_dir))
 
 
-def _history(where: str, *columns) -> Query:
-    return _layer(lambda j: j.history.where(where).select("student_uuid", *columns))
+def _history(where: str, *columns: str) -> Query:
+    """Columns of the history, as SQL text: registering needs no session."""
+    return _layer(lambda j: j.history.where(where).selectExpr("student_uuid", *columns))
+
+
+def _cohort_assignment(j: Journey) -> DataFrame:
+    return j.history.where("first_college_name IS NOT NULL").select(
+        "student_uuid", "first_esl_term", "first_college_name", "multiple_colleges",
+        "first_term_integrated_esl_course", "first_academic_year", "cohort",
+        college_group(F.col("first_college_name")).alias("first_college_group"))
 
 
 def _flat(pick: Callable[[DataFrame], DataFrame]) -> Query:
@@ -103,11 +111,7 @@ def queries() -> dict[str, Query]:
         "degree_info": _layer(lambda j: j.degree_info),
         "degree_expanded": _layer(lambda j: j.degree_expanded.drop("award_uuid")),
         "first_terms": _layer(lambda j: j.first_terms),
-        "cohort_assignment": _history(
-            "first_college_name IS NOT NULL", "first_esl_term", "first_college_name",
-            "multiple_colleges", "first_term_integrated_esl_course",
-            college_group(F.col("first_college_name")).alias("first_college_group"),
-            "first_academic_year", "cohort"),
+        "cohort_assignment": _layer(_cohort_assignment),
         "esl_profile": _history(
             "ever_credit_esl IS NOT NULL", "ever_credit_esl", "always_noncredit_esl",
             "always_credit_esl", "both_credit_noncredit_esl"),
@@ -115,14 +119,14 @@ def queries() -> dict[str, Query]:
             "first_term_noncredit IS NOT NULL", "first_term_noncredit", "first_term_credit_only",
             "first_term_credit_and_noncredit"),
         "first_level": _history(
-            "first_cb21_level IS NOT NULL", F.col("first_level").alias("lowest_starting_level"),
+            "first_cb21_level IS NOT NULL", "first_level AS lowest_starting_level",
             "first_cb21_level"),
         "first_level_adjusted": _history(
             "first_cb21_level_adj IS NOT NULL",
-            F.col("first_level_adj").alias("lowest_starting_level"), "first_cb21_level_adj"),
+            "first_level_adj AS lowest_starting_level", "first_cb21_level_adj"),
         "first_level_credit_only": _history(
             "first_cb21_level_credit_only IS NOT NULL",
-            F.col("credit_level").alias("lowest_starting_level_credit_only"),
+            "credit_level AS lowest_starting_level_credit_only",
             "first_cb21_level_credit_only"),
         "level_completion": _history(
             "terms_to_full_completion_adj IS NOT NULL", "terms_to_full_completion_adj",

@@ -300,7 +300,7 @@ def dashboard_people(flat: DataFrame) -> DataFrame:
         F.when(c % 37 == 0, " ").when(c % 41 != 0, F.col("first_college_name"))
         .alias("main_campus_name"),
         F.when(c % 19 == 0, " ").when(c % 5 != 0, score(c)).alias("earliest_efl_score"),
-        F.when(c % 7 != 0, score(_div(c, 3))).alias("latest_efl_score"),
+        F.when(c % 3 != 0, score(_div(c, 3))).alias("latest_efl_score"),
         F.try_element_at(levels, F.lit(1)).cast("string").alias("first_level"),
         F.array_max(levels).cast("string").alias("lowest_level"),
         F.when(c % 43 == 0, "unknown").otherwise(F.array_min(levels).cast("string"))
