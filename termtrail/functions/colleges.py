@@ -2,23 +2,29 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from termtrail import fixed_values as fv
-from termtrail.functions.recode import label_map
+
+
+GROUP_MEMBERS = {fv.GROUP_AB: fv.COLLEGES_AB, fv.GROUP_EF: fv.COLLEGES_EF,
+                 fv.GROUP_SIX: fv.COLLEGES_SIX, fv.GROUP_POSSIBLE: fv.COLLEGES_POSSIBLE}
+
+
+def _by_group(name: Column, labels: Mapping[str, str], default: str) -> Column:
+    arms = [F.when(name.isin(*members), labels[group]) for group, members in GROUP_MEMBERS.items()]
+    return F.coalesce(*arms, F.lit(default))
 
 
 def college_group(name: Column) -> Column:
-    return (F.when(name.isin(*fv.COLLEGES_AB), fv.GROUP_AB)
-            .when(name.isin(*fv.COLLEGES_EF), fv.GROUP_EF)
-            .when(name.isin(*fv.COLLEGES_SIX), fv.GROUP_SIX)
-            .when(name.isin(*fv.COLLEGES_POSSIBLE), fv.GROUP_POSSIBLE)
-            .otherwise(fv.GROUP_OTHER))
+    return _by_group(name, {g: g for g in GROUP_MEMBERS}, fv.GROUP_OTHER)
 
 
 def group_letter(name: Column) -> Column:
-    return label_map(college_group(name), fv.GROUP_LETTERS, fv.OTHER_GROUP_LETTER)
+    return _by_group(name, fv.GROUP_LETTERS, fv.OTHER_GROUP_LETTER)
 
 
 def combined_level(letter: Column, merges_ab: Column, merges_ef: Column,

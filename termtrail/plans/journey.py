@@ -17,6 +17,7 @@ from termtrail.plans import students as student_plan
 from termtrail.sources.store import TableStore
 from termtrail.sources.tables import RawTables
 
+DEGREE_COLUMNS = student_plan.DEMOGRAPHICS + student_plan.AWARDS
 COHORT_COLUMNS = (
     "first_term_enrolled", "first_esl_term", "multiple_colleges", "first_academic_year", "cohort",
     "first_term_noncredit", "first_term_credit_only", "first_term_credit_and_noncredit",
@@ -42,13 +43,8 @@ class Journey:
             return self
         reader = Journey(self.raw, self.params)
         reader.wide = self.store.table("student_table", self.wide)
-        reader.degree_info_columns = self.degree_info_columns
         return reader
 
-    @cached_property
-    def degree_info_columns(self) -> list[str]:
-        return self.degree_info.columns
-
     @cached_property
     def terms_adjusted(self) -> DataFrame:
         return facts_plan.terms_adjusted(self.raw.terms)
@@ -93,15 +89,16 @@ class Journey:
         The cohort and course layers are projections of this one plan, so the
         enrollment facts are never computed twice.
         """
-        first = student_plan.first_terms_by_key(self.raw, self.params).select(
-            "maskedsb00", F.col("first_term_enrollment").alias("first_term_enrolled"))
-        joined = (self.degree_info.join(first, "maskedsb00", "left")
-                  .join(self.history.withColumnRenamed("student_uuid", "uuid"), "uuid", "left"))
+        people = student_plan.with_awards(student_plan.person(self.raw, self.params), self.raw,
+                                          self.params)
+        named = people.select(*student_plan.DEMOGRAPHICS, *student_plan.AWARDS,
+                              F.col("first_term_enrollment").alias("first_term_enrolled"))
+        joined = named.join(self.history.withColumnRenamed("student_uuid", "uuid"), "uuid", "left")
         return joined.withColumn("first_college_group", college_group(F.col("first_college_name")))
 
     @cached_property
     def cohort_info(self) -> DataFrame:
-        return self.wide.select(*self.degree_info_columns, *COHORT_COLUMNS)
+        return self.wide.select(*DEGREE_COLUMNS, *COHORT_COLUMNS)
 
     def _sample(self, first_esl_window: bool) -> DataFrame:
         kept = self.wide.where(F.col("first_term_enrolled").between(*self.params.entry_window)
@@ -116,7 +113,7 @@ class Journey:
         relative = [history_plan.relative_name(m) for m in facts_plan.RELATIVE_SEQUENCES]
         absolute = [history_plan.absolute_name(m) for m in facts_plan.ABSOLUTE_SEQUENCES]
         return self._sample(True).where("has_term_window").select(
-            *self.degree_info_columns, *COHORT_COLUMNS, *relative, "term_in_6", "term_in_12",
+            *DEGREE_COLUMNS, *COHORT_COLUMNS, *relative, "term_in_6", "term_in_12",
             F.col("uuid").alias("sca_uuid"), *absolute)
 
     @cached_property

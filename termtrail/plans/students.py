@@ -33,31 +33,81 @@ def person_details(details: DataFrame, p: StudyParams = STUDY) -> DataFrame:
         earliest(F.col("sb14"), gi03).alias("sb14_student_ed_goal"))
 
 
-def english_or_math(enrollments: DataFrame, courses: DataFrame) -> DataFrame:
-    """More than one transferable English/Math enrollment, counted per course offering.
+def enrollment_summary(enrollments: DataFrame, courses: DataFrame,
+                       p: StudyParams = STUDY) -> DataFrame:
+    """First terms and the English/Math flag of a student, from one pass over enrollments.
 
-    The course id meets every term it was offered in. Offerings are counted per
-    id first, so the join stays one row per enrollment whatever the fan-out.
+    The flag counts transferable English/Math enrollments once per offering of
+    the course id in any term. Offerings are counted per id before the join, so
+    it keeps one row per enrollment whatever the fan-out.
     """
     programs = fv.TRANSFER_ENGLISH_PROGRAMS + fv.TRANSFER_MATH_PROGRAMS
     offered = (courses.where(F.col("cb05").isin(*fv.TRANSFERABLE_STATUS)
                              & F.col("cb03").isin(*programs))
                .groupBy("cb00").agg(F.count("*").alias("offerings")))
-    counted = F.sum(F.when(F.col("sx01").isNotNull(), F.col("offerings")).otherwise(0))
-    return (enrollments.join(offered, "cb00").groupBy(KEY)
-            .agg((counted > 1).alias("english_or_math_enrollment")))
+    gi03, offerings = F.col("gi03"), F.col("offerings")
+    finished = F.when((F.col("sx02") == p.not_dropped) & ~F.col("sx04").isin(*p.withdrawn), gi03)
+    counted = F.sum(F.when(F.col("sx01").isNotNull(), offerings).otherwise(0))
+    cut, low, high = p.enrollment_wrap
+    return enrollments.join(offered, "cb00", "left").groupBy(KEY).agg(
+        term_fn.first_term_wrapped(gi03, cut, low, high).alias("first_term_enrollment_any"),
+        term_fn.first_term_wrapped(finished, cut, low, high)
+        .alias("first_term_enrollment_finished_term"),
+        F.lit(True).alias("enrolled"),
+        F.when(F.count(offerings) > 0, F.coalesce(counted, F.lit(0)) > 1)
+        .alias("english_or_math_enrollment"))
 
 
-def demographics(raw: RawTables, p: StudyParams = STUDY) -> DataFrame:
+def side_sources(raw: RawTables) -> DataFrame:
+    """Aid flags and the two recorded first terms, stacked and grouped in one shuffle."""
+    empty = {"sf21": "string", "ccc_first_term": "int", "scd1": "int"}
+
+    def source(df: DataFrame, kind: str, column: str) -> DataFrame:
+        return df.select(KEY, F.lit(kind).alias("kind"), *[
+            F.col(c) if c == column else F.lit(None).cast(t).alias(c) for c, t in empty.items()])
+
+    stacked = (source(raw.aid, "aid", "sf21")
+               .unionByName(source(raw.head, "head", "ccc_first_term"))
+               .unionByName(source(raw.basic, "basic", "scd1")))
+    kind, aid = F.col("kind"), F.col("kind") == "aid"
+    return stacked.groupBy(KEY).agg(
+        F.bool_or(F.when(aid, F.col("sf21") == fv.PELL_AWARD)).alias("pell_grant_recipient"),
+        F.bool_or(F.when(aid, F.col("sf21") == fv.EOPS_AWARD)).alias("eops_recipient"),
+        F.min("ccc_first_term").alias("hf"), F.min("scd1").alias("scd1_val"),
+        (F.bool_or(kind == "head") & F.bool_or(kind == "basic")).alias("recorded"))
+
+
+def person(raw: RawTables, p: StudyParams = STUDY) -> DataFrame:
+    """Demographics and first terms per student: every table keyed by student, joined once."""
     disability = raw.disability.groupBy(KEY).agg(F.min("sd01").alias("primary_disability"))
-    aid = raw.aid.groupBy(KEY).agg(
-        F.bool_or(F.col("sf21") == fv.PELL_AWARD).alias("pell_grant_recipient"),
-        F.bool_or(F.col("sf21") == fv.EOPS_AWARD).alias("eops_recipient"))
     out = raw.students.select(KEY, "uuid")
     for part in (person_details(raw.details, p), disability,
-                 english_or_math(raw.enrollments, raw.courses), aid):
+                 enrollment_summary(raw.enrollments, raw.courses, p), side_sources(raw)):
         out = out.join(part, KEY, "left")
-    return out
+    any_term, done = F.col("first_term_enrollment_any"), F.col("first_term_enrollment_finished_term")
+    first = F.least(any_term, F.col("hf"), F.col("scd1_val"))
+    # A recorded start in the same year is trusted only as far as it was finished.
+    same_year = term_fn.year_prefix(first) == term_fn.year_prefix(any_term)
+    chosen = F.when(same_year & done.isNotNull(), done).otherwise(first)
+    enrolled = F.coalesce(F.col("recorded"), F.lit(False)) & F.col("enrolled")
+    return out.withColumn("first_term_enrollment", F.when(enrolled, chosen))
+
+
+DEMOGRAPHICS = (
+    KEY, "uuid", "gender", "hispanic_non_hispanic", "latin_american", "aapi", "black",
+    "indigenous_american", "white", "no_data", "citizenship_earliest", "citizenship_latest",
+    "highest_ed", "primary_disability", "age_at_first_term", "special_admit_dual_enrollment",
+    "sb14_student_ed_goal", "english_or_math_enrollment", "pell_grant_recipient", "eops_recipient")
+AWARDS = (
+    "earliest_degree_date", "earliest_degree_type", "earliest_degree_topcode",
+    "number_degrees_17_23", "earliest_degree_term", "highest_degree_earned",
+    "highest_degree_earned_description")
+FIRST_TERMS = ("uuid", KEY, "first_term_enrollment_any", "first_term_enrollment_finished_term",
+               "hf", "scd1_val", "first_term_enrollment")
+
+
+def demographics(raw: RawTables, p: StudyParams = STUDY) -> DataFrame:
+    return person(raw, p).select(*DEMOGRAPHICS)
 
 
 def dated_awards(awards: DataFrame, p: StudyParams = STUDY) -> DataFrame:
@@ -94,33 +144,14 @@ def award_summary(raw: RawTables, p: StudyParams = STUDY) -> DataFrame:
     return dated.join(F.broadcast(quarters), ["_q", "_yy"], "left").drop("_q", "_yy")
 
 
-def degree_info(raw: RawTables, p: StudyParams = STUDY) -> DataFrame:
-    columns = ("earliest_degree_date", "earliest_degree_type", "earliest_degree_topcode",
-               "number_degrees_17_23", "earliest_degree_term", "highest_degree_earned",
-               "highest_degree_earned_description")
-    people = demographics(raw, p)
-    return people.join(award_summary(raw, p), KEY, "left").select(*people.columns, *columns)
+def with_awards(people: DataFrame, raw: RawTables, p: StudyParams = STUDY) -> DataFrame:
+    return people.join(award_summary(raw, p), KEY, "left")
 
 
-def first_terms_by_key(raw: RawTables, p: StudyParams = STUDY) -> DataFrame:
-    """First enrollment term per natural key, reconciled over three sources."""
-    gi03 = F.col("gi03")
-    finished = F.when((F.col("sx02") == p.not_dropped) & ~F.col("sx04").isin(*p.withdrawn), gi03)
-    cut, low, high = p.enrollment_wrap
-    sx = raw.enrollments.groupBy(KEY).agg(
-        term_fn.first_term_wrapped(gi03, cut, low, high).alias("first_term_enrollment_any"),
-        term_fn.first_term_wrapped(finished, cut, low, high)
-        .alias("first_term_enrollment_finished_term"))
-    head = raw.head.groupBy(KEY).agg(F.min("ccc_first_term").alias("hf"))
-    basic = raw.basic.groupBy(KEY).agg(F.min("scd1").alias("scd1_val"))
-    joined = sx.join(head, KEY).join(basic, KEY)
-    any_term, done = F.col("first_term_enrollment_any"), F.col("first_term_enrollment_finished_term")
-    first = F.least(any_term, F.col("hf"), F.col("scd1_val"))
-    # A recorded start in the same year is trusted only as far as it was finished.
-    same_year = term_fn.year_prefix(first) == term_fn.year_prefix(any_term)
-    chosen = F.when(same_year & done.isNotNull(), done).otherwise(first)
-    return joined.withColumn("first_term_enrollment", chosen)
+def degree_info(raw: RawTables, p: StudyParams = STUDY) -> DataFrame:
+    return with_awards(person(raw, p), raw, p).select(*DEMOGRAPHICS, *AWARDS)
 
 
 def first_terms(raw: RawTables, p: StudyParams = STUDY) -> DataFrame:
-    return raw.students.select("uuid", KEY).join(first_terms_by_key(raw, p), KEY)
+    """Students with an enrollment and a record in both other sources, and their first term."""
+    return person(raw, p).where("enrolled AND recorded").select(*FIRST_TERMS)
