@@ -315,3 +315,18 @@ def test_store_uses_the_cluster_folder(spark):
     configured = spark.conf.get("spark.checkpoint.dir", None)
     folder = shared_folder(spark)
     assert folder == configured if configured else folder.startswith("/tmp")
+
+
+def test_profile_bundles_one_dashboard_refresh(spark):
+    df = spark.createDataFrame(
+        [("175", "F", "Y", "Y", "30", "CITRUS", "A1", "A2", "3", "1"),
+         ("185", "M", "N", "N", "60", " ", None, "A2", "2", "2")],
+        "sample_first_term string, gender string, hispanic_non_hispanic string, white string,"
+        "age_at_first_term string, main_campus_name string, earliest_efl_score string,"
+        "latest_efl_score string, first_level string, highest_level string")
+    got = explore.profile(df, years=["17"], x="gender", y="main_campus_name")
+    assert got["summary"].first().total_students == 1
+    assert rows(got["race"], "race", "students") == [("White", 1)]
+    assert rows(got["explore"], "x_val", "y_val", "students") == [("F", "CITRUS", 1)]
+    assert got["heatmap"].where("students > 0").count() == 1
+    assert rows(explore.profile(df, x="gender")["explore"], "value", "students")[0] == ("Female", 1)
