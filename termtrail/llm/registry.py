@@ -6,14 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from termtrail.llm import winnow
+from termtrail.llm import decontam, substring, token_file, url_filter, winnow
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_token_file": token_file.query,
+        "op5_url_filter": url_filter.query,
+        "op7_substring_dedup": substring.query,
+        "op9_decontamination": decontam.query,
         "op10_winnowing": winnow.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op5_url_filter": url_filter.ORACLE_SQL,
+        "op7_substring_dedup": substring.ORACLE_SQL,
+        "op9_decontamination": decontam.ORACLE_SQL,
+    }
