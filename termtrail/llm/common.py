@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,6 +13,19 @@ from pyspark.sql import functions as F
 LOWEST = -(1 << 63)
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once for each application."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+        made = shutil.make_archive(os.path.join(tempfile.mkdtemp(), "termtrail_llm"), "zip", root, "termtrail")
+        context.addPyFile(made)
+        _shipped.add(context.applicationId)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path under the folder that driver and executors share; removed when the session ends.
 

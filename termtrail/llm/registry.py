@@ -6,17 +6,29 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from termtrail.llm import decontam, substring, token_file, url_filter, winnow
+from termtrail.llm import common, decontam, near_duplicates, substring, token_file, url_filter, winnow
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        "op1_token_file": token_file.query,
-        "op5_url_filter": url_filter.query,
-        "op7_substring_dedup": substring.query,
-        "op9_decontamination": decontam.query,
-        "op10_winnowing": winnow.query,
-    }
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {
+    "op1_token_file": token_file.query,
+    "op4_near_duplicates": near_duplicates.query,
+    "op5_url_filter": url_filter.query,
+    "op7_substring_dedup": substring.query,
+    "op9_decontamination": decontam.query,
+    "op10_winnowing": winnow.query,
+}
+
+
+def _shipped(query: Query) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        common.ship(spark)
+        return query(spark, sf_dir)
+    return run
+
+
+def queries() -> dict[str, Query]:
+    return {name: _shipped(query) for name, query in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
