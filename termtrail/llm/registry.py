@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from termtrail.llm import common, decontam, near_duplicates, substring, token_file, url_filter, winnow
+from termtrail.llm import common, decontam, near_duplicates, quality, substring, token_file, toxicity, url_filter, winnow
 
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -14,7 +14,9 @@ QUERIES: dict[str, Query] = {
     "op1_token_file": token_file.query,
     "op4_near_duplicates": near_duplicates.query,
     "op5_url_filter": url_filter.query,
+    "op6_toxicity": toxicity.query,
     "op7_substring_dedup": substring.query,
+    "op8_quality": quality.query,
     "op9_decontamination": decontam.query,
     "op10_winnowing": winnow.query,
 }
