@@ -10,6 +10,7 @@ size, raw size and an XXH64 checksum for each frame and ends with the number of
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 from collections.abc import Iterator
@@ -29,7 +30,7 @@ from termtrail.llm import common
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 FRAME_BYTES = 1 << 22
-CACHED_WORDS = 400_000
+CACHED_WORDS = 600_000
 SKIPPABLE_INDEX, SKIPPABLE_SEEK, SEEK_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 _ENTRY = np.dtype([("packed", "<u4"), ("raw", "<u4"), ("check", "<u4")])
 _INDEX = np.dtype([("doc_id", "<i8"), ("has_id", "<i8"), ("tokens", "<i8"), ("frame", "<i8")])
@@ -39,28 +40,71 @@ class Encoder:
     """Token ids of whole texts, as bytes; ids of words already met come from a bounded cache.
 
     The tokenizer never joins characters across a space or a line end, so a text's ids are those of
-    its parts between them, in order. Parts that are new go to the library in batches.
+    its parts between them, in order. A new part that is one run of composed Latin letters, with or
+    without a run of punctuation behind, needs no normaliser but lower case and goes to the
+    library's model at once; all others go through the whole tokenizer. A tokenizer of another
+    build, seen by a few probes, uses the whole way for all parts.
     """
 
+    _simple = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([!-&(-/:-@\\[-`{-~]*)")
+    _probes = ("word", "Mixed", "\u00c9t\u00e9,", "na\u00efve!?", "\u0141\u00f3d\u017a...", "x", "THE!!", "the&&&")
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
+        self.bytes = {b: chr(b) for b in plain}
+        self.bytes |= {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in self.bytes)}
         self.known: dict[str, bytes] = {"": b""}
+        self.direct = all(self._at_once(p) == self._whole([p])[0] for p in self._probes)
+
+    def _whole(self, parts: list[str]) -> list[bytes]:
+        return [struct.pack(f"<{len(e.ids)}I", *e.ids)
+                for e in self.library.encode_batch_fast(parts, add_special_tokens=False)]
+
+    def _at_once(self, part: str) -> bytes | None:
+        found = self._simple.fullmatch(part)
+        if found is None:
+            return None
+        ids = []
+        for run in found.groups():
+            if run:
+                run = run.lower()
+                if not run.isascii():
+                    run = run.encode().decode("latin-1").translate(self.bytes)
+                ids += [t.id for t in self.library.model.tokenize(run)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _learn(self, new: list[str]) -> None:
+        other = []
+        for part in new:
+            ids = self._at_once(part) if self.direct else None
+            if ids is None:
+                other.append(part)
+            else:
+                self.known[part] = ids
+        for lo in range(0, len(other), 4096):
+            self.known.update(zip(other[lo:lo + 4096], self._whole(other[lo:lo + 4096]), strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        known = self.known
-        new = list({p for parts in split for p in parts if p not in known})
-        for lo in range(0, len(new), 4096):
-            part = new[lo:lo + 4096]
-            for p, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[p] = struct.pack(f"<{len(e.ids)}I", *e.ids)
-        out = [b"".join(map(known.__getitem__, parts)) for parts in split]
-        if len(known) > CACHED_WORDS:
-            self.known = {"": b""}
-        return out
+        if len(self.known) > CACHED_WORDS:  # short words come again more often
+            self.known = {k: v for k, v in self.known.items() if len(k) < 8}
+            if len(self.known) > CACHED_WORDS // 2:
+                self.known = {"": b""}
+        known, out, gaps = self.known, [], {}
+        for text in texts:
+            parts = (text or "").replace("\n", " ").split(" ")
+            ids = list(map(known.get, parts))
+            if None in ids:
+                gaps[len(out)] = [(i, parts[i]) for i, x in enumerate(ids) if x is None]
+            out.append(ids)
+        self._learn(list({p for gap in gaps.values() for _, p in gap}))
+        for at, gap in gaps.items():
+            for i, part in gap:
+                out[at][i] = known[part]
+        return [b"".join(ids) for ids in out]
 
 
 _encoders: dict[str, Encoder] = {}
