@@ -161,13 +161,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     ``contaminated`` is ``n_hit > 0 and coverage * n_hit >= n_words``. ``clean_text`` lacks all hit
     passages. An item of fewer words than a window counts whole; one without words never occurs; a
     null item id is not named in ``items``, and equal ids are one item. Null texts have no words.
-    Columns of ``docs`` named in ``carry`` pass through; others are not read.
+    Columns of ``docs`` named in ``carry``, the text too, pass through; others are not read.
 
     The automaton is sent to all tasks, so its size is bounded: a benchmark of more than
     ``part_words`` words is dealt into parts by item, and the documents pass once for each part.
     """
     spark = docs.sparkSession
-    carried = [c for c in carry or [] if c not in (id_col, text_col)]
+    carried = [c for c in carry or [] if c != id_col]
     clash = {"n_words", "hits", "n_hit", "items", "contaminated", "clean_text"} & {id_col, text_col, *carried}
     if clash:
         raise ValueError(f"rename these columns first: {sorted(clash)}")
@@ -175,7 +175,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text"))
     size = items.agg(F.sum(F.size(F.split(F.coalesce("text", F.lit("")), r"[^0-9A-Za-z\x{80}-\x{10FFFF}]+")))).first()[0]
     parts = max(1, -(-(size or 0) // part_words))
-    names = [id_col, text_col, *carried]
+    names = list(dict.fromkeys([id_col, text_col, *carried]))
     base = ", ".join(f"`{c}` {kinds[c]}" for c in names)
     now = docs.select(*names)
     for part in range(parts):

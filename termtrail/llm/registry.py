@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from termtrail.llm import common, decontam, near_duplicates, quality, substring, token_file, toxicity, url_filter, winnow
+import corpus_pipeline
+from termtrail.llm import (common, decontam, html_wrapper, near_duplicates, packing, quality, substring, token_file,
+                           toxicity, url_filter, winnow)
 
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {
     "op1_token_file": token_file.query,
+    "op2_html_wrapper": html_wrapper.query,
+    "op3_packing": packing.query,
     "op4_near_duplicates": near_duplicates.query,
     "op5_url_filter": url_filter.query,
     "op6_toxicity": toxicity.query,
@@ -19,6 +23,7 @@ QUERIES: dict[str, Query] = {
     "op8_quality": quality.query,
     "op9_decontamination": decontam.query,
     "op10_winnowing": winnow.query,
+    "pipeline": corpus_pipeline.run,
 }
 
 

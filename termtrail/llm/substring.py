@@ -183,7 +183,7 @@ def _earliest(key: tuple, table: pa.Table) -> pa.Table:
                      "earlier": pa.array([packs.bits_of(earlier[border[i]:border[i + 1]]) for i in keep], pa.binary())})
 
 
-def _cut_out(id_col: str, text_col: str, window: int, bits: int, carried: list[str]):
+def _cut_out(id_col: str, text_col: str, window: int, bits: int, carried: list[str], tidy: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for blob, replies, later in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -202,7 +202,7 @@ def _cut_out(id_col: str, text_col: str, window: int, bits: int, carried: list[s
                         own = [w for w, f in zip(own, flags.tolist(), strict=True) if not f]
                     else:
                         spans.append([])
-                    kept.append(b" ".join(own).decode())
+                    kept.append(b" ".join(own).decode() if tidy or flags.any() else text)
                 step = 512
                 span_type = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
                 columns = [x.table[c].combine_chunks() for c in carried]
@@ -217,13 +217,14 @@ def _cut_out(id_col: str, text_col: str, window: int, bits: int, carried: list[s
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
-                   carry: list[str] | None = None) -> DataFrame:
+                   carry: list[str] | None = None, tidy: bool = True) -> DataFrame:
     """``(id, n_words, removed, kept_text)`` and the columns named in ``carry``, for every row.
 
     Words are runs of anything but ASCII white space, unchanged. A word goes if it lies in a window
     of ``window`` words (an even number) that also starts earlier: in a row with a smaller id, or
     earlier in the same row. All windows are judged on the input. ``removed`` holds word spans,
-    ``kept_text`` the other words joined by one space. Null texts have no words; null ids come
+    ``kept_text`` the other words joined by one space; without ``tidy``, a text that loses nothing
+    stays as it is. Null texts have no words; null ids come
     first; rows of equal id count in order of pack, so of two equal rows one keeps its words. An
     empty table gives no row. Columns not in ``carry`` are not read.
     """
@@ -253,7 +254,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                         *(f"`{c}` {kinds[c]}" for c in carried)])
     return (packed.select("batch", "blob").join(met, "batch", "left").join(later, "batch", "left")
             .select("blob", "replies", "later")
-            .mapInArrow(_cut_out(id_col, text_col, window, bits, carried), schema))
+            .mapInArrow(_cut_out(id_col, text_col, window, bits, carried, tidy), schema))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
