@@ -29,13 +29,19 @@ def max_letter(letter: Column, where: Column) -> Column:
     """Largest single-character code as its character number.
 
     Numbers keep the aggregation hash-based; a string buffer would force a sort
-    of every input row. ``letter_of`` turns the result back into text.
+    of every input row. ``letter_of`` turns the result back into text. A longer
+    code raises: sequences hold one character per row, so it would be cut.
     """
-    return F.max(F.when(where, F.ascii(letter)))
+    return F.max(F.when(where, _character_number(letter)))
 
 
 def min_letter(letter: Column, where: Column) -> Column:
-    return F.min(F.when(where, F.ascii(letter)))
+    return F.min(F.when(where, _character_number(letter)))
+
+
+def _character_number(letter: Column) -> Column:
+    longer = F.raise_error(F.concat(F.lit("a code must be one character: "), letter)).cast("int")
+    return F.when(F.length(letter) > 1, longer).otherwise(F.ascii(letter))
 
 
 def letter_of(code: Column) -> Column:

@@ -43,8 +43,8 @@ def terms_adjusted(terms: DataFrame) -> DataFrame:
 
 
 def term_lookup(terms: DataFrame) -> DataFrame:
-    """Broadcastable terms: the three-digit code domain bounds it to 1,000 rows."""
-    return F.broadcast(terms_adjusted(terms).where(F.col("gi03").between(0, 999)))
+    """Terms to look up: all of them. Spark's size check decides how they are joined."""
+    return terms_adjusted(terms)
 
 
 def semesters(terms: DataFrame, p: StudyParams = STUDY) -> DataFrame:

@@ -35,27 +35,31 @@ def person_details(details: DataFrame, p: StudyParams = STUDY) -> DataFrame:
 
 def enrollment_summary(enrollments: DataFrame, courses: DataFrame,
                        p: StudyParams = STUDY) -> DataFrame:
-    """First terms and the English/Math flag of a student, from one pass over enrollments.
+    """First terms and the English/Math flag of a student.
 
-    The flag counts transferable English/Math enrollments once per offering of
-    the course id in any term. Offerings are counted per id before the join, so
-    it keeps one row per enrollment whatever the fan-out.
+    First terms come from the enrollments alone. The flag counts transferable
+    English/Math enrollments once per offering of the course id in any term:
+    both sides are counted first, enrollments per (student, course id) and
+    offerings per id, so a large course, or rows without a course id, never
+    meet in a join row by row.
     """
     programs = fv.TRANSFER_ENGLISH_PROGRAMS + fv.TRANSFER_MATH_PROGRAMS
     offered = (courses.where(F.col("cb05").isin(*fv.TRANSFERABLE_STATUS)
                              & F.col("cb03").isin(*programs))
                .groupBy("cb00").agg(F.count("*").alias("offerings")))
-    gi03, offerings = F.col("gi03"), F.col("offerings")
+    gi03 = F.col("gi03")
     finished = F.when((F.col("sx02") == p.not_dropped) & ~F.col("sx04").isin(*p.withdrawn), gi03)
-    counted = F.sum(F.when(F.col("sx01").isNotNull(), offerings).otherwise(0))
+    taken = (enrollments.where(F.col("cb00").isNotNull()).groupBy(KEY, "cb00")
+             .agg(F.count("sx01").alias("taken")))
+    flags = taken.join(offered, "cb00").groupBy(KEY).agg(
+        (F.sum(F.col("taken") * F.col("offerings")) > 1).alias("english_or_math_enrollment"))
     cut, low, high = p.enrollment_wrap
-    return enrollments.join(offered, "cb00", "left").groupBy(KEY).agg(
+    firsts = enrollments.groupBy(KEY).agg(
         term_fn.first_term_wrapped(gi03, cut, low, high).alias("first_term_enrollment_any"),
         term_fn.first_term_wrapped(finished, cut, low, high)
         .alias("first_term_enrollment_finished_term"),
-        F.lit(True).alias("enrolled"),
-        F.when(F.count(offerings) > 0, F.coalesce(counted, F.lit(0)) > 1)
-        .alias("english_or_math_enrollment"))
+        F.lit(True).alias("enrolled"))
+    return firsts.join(flags, KEY, "left")
 
 
 def side_sources(raw: RawTables) -> DataFrame:
@@ -134,14 +138,14 @@ def award_summary(raw: RawTables, p: StudyParams = STUDY) -> DataFrame:
         earliest(F.col("sp02"), rank, counted).alias("highest_degree_earned"),
         earliest(F.col("award_description"), rank, counted)
         .alias("highest_degree_earned_description"))
-    # One row per calendar quarter, so at most 4 x 100: the join cannot fan out.
-    quarters = raw.terms.where(F.col("gi03").between(0, 999)).groupBy(
+    # One row per calendar quarter, so the join cannot fan out.
+    quarters = raw.terms.groupBy(
         F.col("quarter").alias("_q"), term_fn.year_prefix(F.col("gi03")).alias("_yy")).agg(
             F.max("gi03").alias("earliest_degree_term"))
     day = F.col("earliest_degree_date")
     dated = firsts.withColumns({
         "_q": F.quarter(day), "_yy": F.right(F.year(day).cast("string"), F.lit(2))})
-    return dated.join(F.broadcast(quarters), ["_q", "_yy"], "left").drop("_q", "_yy")
+    return dated.join(quarters, ["_q", "_yy"], "left").drop("_q", "_yy")
 
 
 def with_awards(people: DataFrame, raw: RawTables, p: StudyParams = STUDY) -> DataFrame:

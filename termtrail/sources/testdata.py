@@ -133,7 +133,7 @@ def _details(base: DataFrame) -> DataFrame:
 
 def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = (_order_columns(open_driver_table(spark, sf_dir, "orders"))
-            .select("gi03").where(F.col("gi03").between(0, 999)).distinct())
+            .select("gi03").distinct())
     codes = seen.union(seen.select((F.col("gi03") - F.col("gi03") % 10))).distinct()
     digit, yy = F.col("gi03") % 10, _div(F.col("gi03"), 10).cast("int")
     start = yy + F.when(F.col("gi03") < 270, 2000).otherwise(1900) - F.when(
@@ -145,8 +145,9 @@ def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _awards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = _order_columns(open_driver_table(spark, sf_dir, "orders")).where(
-        (F.col("priority") == "1") & (F.col("o_orderstatus") == "F"))
+    """Every order is an award row; those not awarded have no date."""
+    o = _order_columns(open_driver_table(spark, sf_dir, "orders"))
+    awarded = (F.col("priority") == "1") & (F.col("o_orderstatus") == "F")
     c, key = F.col("c"), F.col("o_orderkey")
     when = F.col("o_orderdate")
     day = F.least(F.day(when), F.lit(28))
@@ -156,7 +157,7 @@ def _awards(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(key % 23 != 0, F.element_at(top, (key % len(TOPCODES) + 1).cast("int")))
         .alias("sp01"),
         _pick(AWARD_CODES, key % len(AWARD_CODES)).alias("sp02"),
-        F.when(key % 29 != 0, F.col("y") * 10000 + F.month(when) * 100 + day).cast("int")
+        F.when(awarded & (key % 29 != 0), F.col("y") * 10000 + F.month(when) * 100 + day).cast("int")
         .alias("sp03"), "gi03")
 
 
@@ -208,9 +209,10 @@ class DriverTables:
     @cached_property
     def disability(self) -> DataFrame:
         c = F.col("c_custkey")
-        return self._open("customer").where("c_acctbal < 0").select(
+        recorded = F.col("c_acctbal") < 0
+        return self._open("customer").select(
             F.concat(F.lit("S"), c).alias("maskedsb00"),
-            F.when(c % 2 == 0, "M").otherwise("P").alias("sd01"))
+            F.when(recorded & (c % 2 == 0), "M").when(recorded, "P").alias("sd01"))
 
     @cached_property
     def aid(self) -> DataFrame:
@@ -277,7 +279,7 @@ def _number(column: str) -> Column:
 
 
 def dashboard_people(flat: DataFrame) -> DataFrame:
-    """The exploration table: a text projection of the flat file with dirty values."""
+    """The exploration table: a text projection of all students with dirty values."""
     c = _number("uuid")
     levels = seq.level_numbers(F.col("lowest_cb21_level_adjusted_all_credit_types_by_terms"))
     yes_no = lambda n: F.when(F.col(n), F.when(c % 8 == 0, "y ").otherwise("Y")).when(~F.col(n), "N")

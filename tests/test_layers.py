@@ -1,5 +1,6 @@
 """Quirks of the layers on hand-made rows."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from termtrail import fixed_values as fv
@@ -233,3 +234,36 @@ def test_award_rows_are_ranked_by_date_with_ties(spark):
         ("?", 3, "Unknown"), ("B", 1, "Credit Certi"), ("Q", 2, "Noncredit aw"),
         ("Z", 1, "Baccalaureat")]
     assert len({r.award_uuid for r in got}) == 4
+
+
+def test_terms_beyond_three_digits_are_kept(spark):
+    from termtrail.plans import facts
+    from tests.helpers import TERMS
+    raw = tables(spark, terms=[*TERMS, (1025, "2102-2103", "SUMMER TERM", 3)])
+    kept = {r.gi03 for r in facts.term_lookup(raw.terms).collect()}
+    assert kept == {r.gi03 for r in facts.terms_adjusted(raw.terms).collect()} and 1025 in kept
+
+
+def test_a_code_of_two_characters_raises(spark):
+    from termtrail.operators.aggregates import letter_of, max_letter
+    largest = letter_of(max_letter(F.col("l"), F.lit(True)))
+    assert spark.createDataFrame([("A",), ("C",), (None,)], "l string").agg(largest.alias("x")).first().x == "C"
+    with pytest.raises(Exception, match="one character"):
+        spark.createDataFrame([("10",)], "l string").agg(largest).collect()
+
+
+def test_english_or_math_with_a_hot_course_and_missing_course_ids(spark):
+    from termtrail.plans import students
+    hot = [enrollment(i % 40, 175, "hot") for i in range(900)] + [enrollment(99, 177, "hot")]
+    none = [enrollment(i % 5, 181, None) for i in range(600)]
+    offered = [course("hot", 175, cb03="150100", cb05="A"), course("hot", 185, cb03="150100", cb05="A"),
+               course("other", 175, cb03="150100", cb05="A")]
+    raw = tables(spark, enrollments=hot + none + [enrollment(50, 175, "else"), enrollment(51, 175, "other")],
+                 courses=offered)
+    got = {r.maskedsb00: (r.english_or_math_enrollment, r.first_term_enrollment_any)
+           for r in students.enrollment_summary(raw.enrollments, raw.courses).collect()}
+    assert got["S0"] == (True, 175) and got["S99"] == (True, 177)    # one enrollment, two offerings
+    assert got["S50"] == (None, 175) and got["S51"] == (False, 175) and len(got) == 43
+    plan = students.enrollment_summary(raw.enrollments, raw.courses)._jdf.queryExecution().optimizedPlan().toString()
+    joined = plan.split("Join Inner")[1]
+    assert joined.count("Aggregate [") == 2 and "isnotnull(cb00" in joined
