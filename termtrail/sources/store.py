@@ -2,47 +2,47 @@
 
 Layers that many reports read are written, as a warehouse would, so that a
 report starts from a table instead of rebuilding its inputs, and a lost
-executor costs a re-read, not a rebuild. The folder is ``spark.checkpoint.dir``.
-Where it is unset, a local session uses a temporary folder of its own; a
-cluster session writes nothing and hands back the lazy plan.
+executor costs a re-read, not a rebuild. The folder is the caller's, else
+``spark.checkpoint.dir``, else a folder in the warehouse: all of them are seen
+by driver and executors alike. It is removed when the session ends.
 """
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
+import hashlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def shared_folder(spark: SparkSession) -> str | None:
+def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if spark.conf.get("spark.master", "").startswith("local"):
-        own = tempfile.mkdtemp(prefix="termtrail-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        return own
-    return None
+    return folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_tables"
 
 
 class TableStore:
-    """Named Parquet tables under one fresh folder."""
+    """Parquet tables by name and version under one fresh folder."""
 
     def __init__(self, spark: SparkSession, folder: str | None = None):
-        base = folder or shared_folder(spark)
         self.spark = spark
-        self.root = f"{base}/tables-{uuid.uuid4().hex}" if base else None
-        self._tables: dict[str, DataFrame] = {}
-
-    def table(self, name: str, df: DataFrame) -> DataFrame:
-        """Write ``df`` as ``name`` on first use; afterwards read what was written."""
-        if self.root is None:
-            return df
-        if name not in self._tables:
-            path = f"{self.root}/{name}"
+        self.root = f"{(folder or shared_folder(spark)).rstrip('/')}/tables-{uuid.uuid4().hex}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+        self._tables: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
+
+    def table(self, name: str, df: DataFrame, version: str = "") -> DataFrame:
+        """Write ``df`` on first use; afterwards read what was written.
+
+        ``version`` states what else the rows depend on, such as parameters.
+        Another plan under the same name and version raises.
+        """
+        key = (name, version)
+        if key not in self._tables:
+            stamp = hashlib.sha256(version.encode()).hexdigest()[:12]
+            path = f"{self.root}/{name}-{stamp}"
             df.write.parquet(path)
-            self._tables[name] = self.spark.read.schema(df.schema).parquet(path)
-        return self._tables[name]
+            self._tables[key] = df, self.spark.read.schema(df.schema).parquet(path)
+        source, kept = self._tables[key]
+        if source is not df and not source.sameSemantics(df):
+            raise ValueError(f"table {name} already holds the rows of another plan")
+        return kept
