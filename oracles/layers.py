@@ -250,7 +250,9 @@ BLOCKS = {
              first_esl_term BETWEEN 175 AND 235 AS observation_12_sem
       FROM o_course_info WHERE first_college_group IN ({CONFIRMED})""",
     "o_awards_long": f"""
-      SELECT s.*, a.top AS topcode, 'Subject ' || a.top AS award_subject_title, a.code AS award_code,
+      SELECT s.*, sha256(concat_ws('|', s.uuid, a.day, a.top, a.code, a.gi03, 'Subject ' || a.top,
+               row_number() OVER (PARTITION BY s.c, a.day, a.top, a.code, a.gi03))) AS award_uuid,
+             a.top AS topcode, 'Subject ' || a.top AS award_subject_title, a.code AS award_code,
              {cases("a.code", fv.AWARD_DESCRIPTIONS, fv.UNKNOWN_AWARD)} AS award_description,
              a.gi03, a.day AS awarded_date,
              dense_rank() OVER (PARTITION BY s.c ORDER BY a.day)::INTEGER AS award_number

@@ -26,6 +26,8 @@ COHORT_COLUMNS = (
     "first_term_integrated_esl_course", "first_cb21_level", "first_cb21_level_adj",
     "first_cb21_level_credit_only", "first_college_group")
 
+AWARD_KEY = ("uuid", "awarded_date", "topcode", "award_code", "gi03", "award_subject_title")
+
 
 class Journey:
     """Lazy layers over one set of raw tables. Every property is a DataFrame."""
@@ -42,7 +44,7 @@ class Journey:
         if self.store is None:
             return self
         reader = Journey(self.raw, self.params)
-        reader.wide = self.store.table("student_table", self.wide)
+        reader.wide = self.store.table("student_table", self.wide, repr(self.params))
         return reader
 
     @cached_property
@@ -149,24 +151,25 @@ def degree_expanded(course_info: DataFrame, raw: RawTables, p: StudyParams = STU
 
     Ranks are taken over the distinct award dates of a student and joined back,
     so a student holding a large share of the awards is never one window group.
-    The award id hashes the award with its position in the scan.
+    The award id hashes the award and numbers equal awards of a student, so it
+    does not depend on files or partitions.
     """
     students = course_info.where(F.col("first_college_group").isin(*fv.CONFIRMED_GROUPS))
     awards = student_plan.dated_awards(raw.awards, p).select(
         F.col("student_uuid").alias("uuid"), F.col("sp01").alias("topcode"),
-        F.col("sp02").alias("award_code"), "gi03", F.col("degree_date").alias("awarded_date"),
-        F.monotonically_increasing_id().alias("position"))
+        F.col("sp02").alias("award_code"), "gi03", F.col("degree_date").alias("awarded_date"))
     titles = raw.topcodes.select(F.col("top6").alias("topcode"),
                                  F.col("top6title").alias("award_subject_title"))
-    titled = awards.join(titles, "topcode")
+    titled = (awards.join(students.select("uuid"), "uuid", "left_semi").join(titles, "topcode")
+              .withColumn("copy", F.row_number().over(
+                  Window.partitionBy(*AWARD_KEY).orderBy(F.lit(1)))))
     by_date = Window.partitionBy("uuid").orderBy("awarded_date")
     ranks = (titled.select("uuid", "awarded_date").distinct()
              .withColumn("award_number", F.row_number().over(by_date)))
-    id_parts = ("uuid", "awarded_date", "topcode", "award_code", "gi03", "position")
     described = titled.join(ranks, ["uuid", "awarded_date"]).withColumns({
         "award_description": label_map(F.col("award_code"), fv.AWARD_DESCRIPTIONS,
                                        fv.UNKNOWN_AWARD),
-        "award_uuid": F.sha2(F.concat_ws("|", *id_parts), 256)})
+        "award_uuid": F.sha2(F.concat_ws("|", *AWARD_KEY, "copy"), 256)})
     return students.join(described, "uuid").select(
         *course_info.columns, "award_uuid", "topcode", "award_subject_title", "award_code",
         "award_description", "gi03", "awarded_date", "award_number")

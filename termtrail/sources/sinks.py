@@ -30,8 +30,15 @@ def write_model(df: DataFrame, name: str, materialized: str = "table") -> None:
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
-    """Order-free content hash and row count, computed where the data is."""
-    return df.agg(F.expr("bit_xor(xxhash64(*))").alias("content_hash"),
+    """Order-free content hash and row count, computed where the data is.
+
+    A row's hash covers each value and whether it is null, and two hashes of
+    all rows are summed without overflow, so equal rows do not cancel out.
+    """
+    parts = [x for c in df.columns for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))]
+    wide = lambda seed: F.coalesce(
+        F.sum(F.xxhash64(F.lit(seed), *parts).cast("decimal(38,0)")), F.lit(0)).cast("string")
+    return df.agg(F.concat_ws("/", wide(1), wide(2)).alias("content_hash"),
                   F.count("*").alias("source_rows"))
 
 
