@@ -36,13 +36,16 @@ _AGE = "TRY_CAST(age_at_first_term AS DOUBLE)"
 _EFL = [f"A{i}" for i in range(1, 7)]
 
 BLOCKS = {
+    "e_students": """
+      SELECT i.*, r.any_esl_enrollment_by_terms, r.lowest_cb21_level_adjusted_all_credit_types_by_terms
+      FROM o_cohort_info i LEFT JOIN o_relative r ON r.c = i.c""",
     "e_levels": """
       SELECT c, arg_min(lvl, i) AS first_level, max(lvl) AS lowest_level, min(lvl) AS highest_level
       FROM (SELECT c, i, ascii(ch) - 64 AS lvl FROM (
               SELECT c, i, substr(s, i, 1) AS ch FROM (
                 SELECT c, lowest_cb21_level_adjusted_all_credit_types_by_terms AS s,
                        unnest(generate_series(1, length(lowest_cb21_level_adjusted_all_credit_types_by_terms))) AS i
-                FROM o_flat)) WHERE ch BETWEEN 'A' AND 'H') GROUP BY c""",
+                FROM e_students)) WHERE ch BETWEEN 'A' AND 'H') GROUP BY c""",
     "e_people": f"""
       SELECT f.c, first_term_enrolled::VARCHAR AS sample_first_term,
              CASE WHEN f.c % 13 = 0 THEN '' WHEN f.c % 11 = 0 THEN ' ' || lower(gender) ELSE gender END AS gender,
@@ -56,14 +59,14 @@ BLOCKS = {
              CASE WHEN f.c % 3 = 0 THEN NULL ELSE 'A' || ((f.c // 3) % 6 + 1) END AS latest_efl_score,
              l.first_level::VARCHAR AS first_level, l.lowest_level::VARCHAR AS lowest_level,
              CASE WHEN f.c % 43 = 0 THEN 'unknown' ELSE l.highest_level::VARCHAR END AS highest_level
-      FROM o_flat f LEFT JOIN e_levels l ON l.c = f.c""",
+      FROM e_students f LEFT JOIN e_levels l ON l.c = f.c""",
     "e_cohort": f"""
       SELECT {_spell('first_term_noncredit')} AS first_term_noncredit,
              {_spell('first_term_credit_only')} AS first_term_credit,
              {_spell('ever_credit_esl')} AS ever_credit_esl, {_spell('always_noncredit_esl')} AS always_noncredit_esl,
              {_spell('length(any_esl_enrollment_by_terms) >= 6')} AS six,
              {_spell('length(any_esl_enrollment_by_terms) >= 12')} AS twelve,
-             CASE WHEN c % 53 <> 0 THEN first_academic_year END AS yr, cohort FROM o_flat""",
+             CASE WHEN c % 53 <> 0 THEN first_academic_year END AS yr, cohort FROM e_students""",
     "e_pairs": f"SELECT {_named('earliest_efl_score', fv.MISSING)} AS x, {_named('latest_efl_score', fv.MISSING)} AS y FROM e_people",
     "e_wide": f"""
       WITH r AS (SELECT unnest([x, '{fv.TOTAL}']) AS x, y FROM e_pairs)
@@ -111,6 +114,11 @@ QUERIES = {
              count(main_campus_name) AS with_campus, quantile_disc({_AGE}, 0.5) AS median_age,
              count(DISTINCT main_campus_name) AS unique_campuses
       FROM e_people WHERE sample_first_term[1:2] BETWEEN '17' AND '20'""",
+    "summary_card_all_years": f"""
+      SELECT count(*) AS total_students,
+             sum((earliest_efl_score IS NOT NULL AND latest_efl_score IS NOT NULL)::INT)::BIGINT AS with_efl,
+             count(main_campus_name) AS with_campus, quantile_disc({_AGE}, 0.5) AS median_age,
+             count(DISTINCT main_campus_name) AS unique_campuses FROM e_people""",
     "starting_years": """SELECT DISTINCT '20' || sample_first_term[1:2] AS label, sample_first_term[1:2] AS value
                          FROM e_people WHERE sample_first_term IS NOT NULL""",
     "level_heatmap": """
@@ -126,7 +134,8 @@ QUERIES = {
                    CASE WHEN y IN (FROM ty) THEN y ELSE 'Other' END AS y FROM v)
       SELECT a.x AS x_val, b.y AS y_val, (SELECT count(*) FROM m WHERE m.x = a.x AND m.y = b.y) AS students
       FROM (SELECT DISTINCT x FROM m) a, (SELECT DISTINCT y FROM m) b""",
-    "crosstab_margins": "SELECT * FROM e_wide",
+    "crosstab_margins": """
+      UNPIVOT e_wide ON COLUMNS(* EXCLUDE (earliest_efl_score)) INTO NAME "column" VALUE students""",
     "cells_scaled": f"""
       WITH u AS (UNPIVOT e_wide ON COLUMNS(* EXCLUDE (earliest_efl_score)) INTO NAME "column" VALUE students)
       SELECT *, CASE WHEN max(students) OVER () = min(students) OVER () THEN 0.5
@@ -143,6 +152,10 @@ QUERIES = {
              count(*) AS total, sum(six::INT)::BIGINT AS six_terms_attended,
              sum(twelve::INT)::BIGINT AS twelve_terms_attended
       FROM e_flags GROUP BY 1, 2""",
+    "retention_of_cohort": """
+      SELECT coalesce(yr, 'Unknown') AS first_academic_year, cohort, count(*) AS total,
+             sum(six::INT)::BIGINT AS six_terms_attended, sum(twelve::INT)::BIGINT AS twelve_terms_attended
+      FROM e_flags WHERE cohort = 'F' GROUP BY 1, 2""",
     "flow_counts": " UNION ALL ".join(
         f"SELECT * FROM (SELECT '{fv.FLOW_LEFT[a]}' AS source, '{fv.FLOW_RIGHT[b]}' AS target, "
         f"sum(({x} AND {y})::INT)::BIGINT AS students FROM e_flags) WHERE students > 0"

@@ -194,26 +194,44 @@ def crosstab_top(df: DataFrame, x: str, y: str, top: int = 12) -> DataFrame:
     return grid.join(merged, ["x_val", "y_val"], "left").na.fill(0, ["students"])
 
 
+def _named(column: str) -> Column:
+    """Text of a value, blank as Missing; a value that reads like a margin is marked as a value."""
+    text = recode.text_or(F.col(column), fv.MISSING)
+    clash = text.rlike(f"^{fv.TOTAL}( \\(value\\))*$")
+    return F.when(clash, F.concat(text, F.lit(" (value)"))).otherwise(text)
+
+
 def crosstab_margins(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Wide cross-tab with a Total row and column; the column values are data-driven.
+    """Cross-tab with margins in long form, (x, column, students), zeros included.
 
-    Spark refuses more column values than ``spark.sql.pivotMaxValues``.
+    Rows are counted per cell before the cells are summed up to the margins. A
+    margin is called Total; a value Total reads ``Total (value)``.
     """
     require_columns(df, (x, y))
-    named = df.select(recode.text_or(F.col(x), fv.MISSING).alias("_row"),
-                      recode.text_or(F.col(y), fv.MISSING).alias("_col"))
+    cells = df.groupBy(_named(x).alias("_row"), _named(y).alias("_col")).agg(F.count("*").alias("n"))
     level = lambda c: F.when(F.grouping(c) == 1, fv.TOTAL).otherwise(F.col(c))
-    cube = named.cube("_row", "_col").agg(
-        level("_row").alias("_down"), level("_col").alias("_across"),
-        F.count("*").alias("students"))
-    return cube.groupBy(F.col("_down").alias(x)).pivot("_across").agg(
-        F.first("students")).na.fill(0)
+    cube = cells.cube("_row", "_col").agg(
+        level("_row").alias("down"), level("_col").alias("across"), F.sum("n").alias("students"))
+    long = cube.where("students IS NOT NULL").select("down", "across", "students")
+    columns = long.agg(F.collect_set("across").alias("columns")).scalar()
+    grid = long.select("down").distinct().withColumn("columns", columns).select(
+        "down", F.explode("columns").alias("across"))
+    return (grid.join(long, ["down", "across"], "left").na.fill(0, ["students"])
+            .select(F.col("down").alias(x), F.col("across").alias("column"), "students"))
+
+
+def crosstab_wide(df: DataFrame, x: str, y: str) -> DataFrame:
+    """The cross-tab with margins as a wide table, for files.
+
+    Finding the column names runs a job. Spark refuses more of them than
+    ``spark.sql.pivotMaxValues``.
+    """
+    return (crosstab_margins(df, x, y).groupBy(x).pivot("column").agg(F.first("students"))
+            .na.fill(0))
 
 
-def scaled_cells(wide: DataFrame, row: str) -> DataFrame:
-    """Numeric cells of a wide table with their position between the smallest and largest."""
-    columns = [c for c in wide.columns if c != row]
-    cells = wide.unpivot([row], columns, "column", "students")
+def scaled_cells(cells: DataFrame, row: str) -> DataFrame:
+    """Cells in long form with their position between the smallest and the largest."""
     span = cells.agg(F.struct(F.min("students").alias("low"), F.max("students").alias("high"))
                      .alias("span"))
     low, high = F.col("span")["low"], F.col("span")["high"]
@@ -270,9 +288,12 @@ def cohort_summary(df: DataFrame) -> DataFrame:
 
 def profile(df: DataFrame, years: Sequence[str] | None = None, x: str | None = None,
             y: str | None = None, heat_x: str = "first_level") -> dict[str, DataFrame]:
-    """Everything one dashboard refresh shows, over one cached filtered input."""
+    """Everything one dashboard refresh shows, over one filtered input.
+
+    ``input`` is that input, cached: unpersist it after the refresh.
+    """
     kept = in_years(df, years).cache()
-    out = {"gender": gender_counts(kept), "hispanic": hispanic_counts(kept),
+    out = {"input": kept, "gender": gender_counts(kept), "hispanic": hispanic_counts(kept),
            "race": race_flag_counts(kept), "age": age_bucket_counts(kept),
            "campus": top_campuses(kept), "heatmap": level_heatmap(kept, heat_x),
            "summary": summary_card(kept)}

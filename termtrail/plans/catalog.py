@@ -54,11 +54,12 @@ def _flat(pick: Callable[[DataFrame], DataFrame]) -> Query:
 
 
 def _people(pick: Callable[[DataFrame], DataFrame]) -> Query:
-    return _flat(lambda flat: pick(dashboard_people(flat)))
+    """Exploration runs over all students, not over the study sample."""
+    return _layer(lambda j: pick(dashboard_people(j.stored.wide)))
 
 
 def _cohort(pick: Callable[[DataFrame], DataFrame]) -> Query:
-    return _flat(lambda flat: pick(dashboard_cohort(flat)))
+    return _layer(lambda j: pick(dashboard_cohort(j.stored.wide)))
 
 
 def _published(pick: Callable[[DataFrame], DataFrame], *counts: str) -> Query:
@@ -109,7 +110,7 @@ def queries() -> dict[str, Query]:
             j.raw.enrollments, j.raw.colleges, college_group)),
         "demographics": _layer(lambda j: j.demographics),
         "degree_info": _layer(lambda j: j.degree_info),
-        "degree_expanded": _layer(lambda j: j.degree_expanded.drop("award_uuid")),
+        "degree_expanded": _layer(lambda j: j.degree_expanded),
         "first_terms": _layer(lambda j: j.first_terms),
         "cohort_assignment": _layer(_cohort_assignment),
         "esl_profile": _history(
@@ -170,6 +171,7 @@ def queries() -> dict[str, Query]:
         "top_campuses": _people(explore.top_campuses),
         "summary_card": _people(lambda d: explore.summary_card(explore.in_years(
             d, ["17", "18", "19", "20"]))),
+        "summary_card_all_years": _people(explore.summary_card),
         "starting_years": _people(explore.starting_years),
         "level_heatmap": _people(explore.level_heatmap),
         "crosstab_top12": _people(lambda d: explore.crosstab_top(
@@ -178,6 +180,8 @@ def queries() -> dict[str, Query]:
         "cells_scaled": _people(lambda d: explore.scaled_cells(_crosstab(d), "earliest_efl_score")),
         "overlap_regions": _cohort(explore.overlap_regions),
         "retention": _cohort(explore.retention),
+        "retention_of_cohort": _cohort(lambda d: explore.retention(
+            explore.where_equal(d, cohort="F", first_academic_year=""))),
         "flow_counts": _cohort(explore.flow_counts),
         "cohort_summary": _cohort(explore.cohort_summary),
     }

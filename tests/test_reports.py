@@ -156,6 +156,18 @@ def test_fingerprint_ignores_order_but_not_content(spark):
     assert prints[0] == prints[1] != prints[2]
 
 
+def test_fingerprint_sees_swapped_nulls_and_pairs(spark):
+    print_of = lambda *data: sinks.fingerprint(spark.createDataFrame(data, "a string, b string")).first()
+    assert print_of(("a", None)) != print_of((None, "a"))
+    assert print_of(("a", "a"), ("a", "a"), ("q", "q")) != print_of(("z", "z"), ("z", "z"), ("q", "q"))
+
+
+def test_a_value_called_total_stays_apart_from_the_margin(spark):
+    df = spark.createDataFrame([("Total", "a"), ("p", "a"), ("p", "b")], "x string, y string")
+    got = {(r.x, r.column): r.students for r in explore.crosstab_margins(df, "x", "y").collect()}
+    assert got["Total", "Total"] == 3 and got["Total (value)", "Total"] == 1 and got["Total", "a"] == 2
+
+
 # --- rollups ---------------------------------------------------------------
 BASE = ("uuid string, gender string, age_at_first_term string, always_noncredit_esl boolean, "
         "always_credit_esl boolean, both_credit_noncredit_esl boolean, first_college_group string")
@@ -236,14 +248,15 @@ def test_crosstab_top_folds_the_rest(spark):
 
 def test_crosstab_margins_and_scaling(spark):
     df = spark.createDataFrame([("A1", "A2"), ("A1", " "), (None, "A2")], "x string, y string")
-    wide = explore.crosstab_margins(df, "x", "y")
-    got = {r.x: r.asDict() for r in wide.collect()}
+    long = explore.crosstab_margins(df, "x", "y")
+    got = {r.x: r.asDict() for r in explore.crosstab_wide(df, "x", "y").collect()}
     assert got["A1"] == {"x": "A1", "A2": 1, "Missing": 1, "Total": 2}
     assert got["Total"] == {"x": "Total", "A2": 2, "Missing": 1, "Total": 3}
     assert got["Missing"]["Missing"] == 0
-    scaled = {(r.x, r.column): r.scaled for r in explore.scaled_cells(wide, "x").collect()}
+    scaled = {(r.x, r.column): r.scaled for r in explore.scaled_cells(long, "x").collect()}
     assert scaled[("Total", "Total")] == 1.0 and scaled[("Missing", "Missing")] == 0.0
-    flat = explore.scaled_cells(spark.createDataFrame([("a", 4)], "x string, n bigint"), "x")
+    flat = explore.scaled_cells(
+        spark.createDataFrame([("a", "n", 4)], "x string, column string, students bigint"), "x")
     assert flat.first().scaled == 0.5
     with pytest.raises(ValueError, match="nope"):
         explore.crosstab_margins(df, "x", "nope")
@@ -307,14 +320,18 @@ def test_raw_tables_round_trip_through_parquet(spark, tmp_path):
 def test_store_writes_once_and_reads_back(spark, tmp_path):
     store = TableStore(spark, str(tmp_path))
     first = store.table("t", spark.range(5))
-    assert store.table("t", spark.range(9)) is first and first.count() == 5
-    assert len(glob.glob(f"{store.root}/t/*.parquet")) > 0
+    assert store.table("t", spark.range(5)) is first and first.count() == 5
+    assert len(glob.glob(f"{store.root}/t-*/*.parquet")) > 0
+    with pytest.raises(ValueError, match="another plan"):
+        store.table("t", spark.range(9))
+    assert store.table("t", spark.range(9), "other parameters").count() == 9
 
 
 def test_store_uses_the_cluster_folder(spark):
     configured = spark.conf.get("spark.checkpoint.dir", None)
     folder = shared_folder(spark)
-    assert folder == configured if configured else folder.startswith("/tmp")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    assert folder == configured if configured else folder.startswith(warehouse)
 
 
 def test_profile_bundles_one_dashboard_refresh(spark):
