@@ -1,7 +1,8 @@
 """Toxicity by compression distance: windows compressed with a toxic and an ordinary dictionary.
 
-Words (runs of letters, digits and anything beyond ASCII, A-Z lower-cased) become codes of 8 bytes,
-so that zstandard matches whole words or nothing. The ordinary dictionary holds the codes of the
+Words (runs of letters, digits and anything beyond ASCII, A-Z lower-cased) become two codes of 8
+bytes each, one for the word and one for its first bytes, so that zstandard matches whole words or
+beginnings of words or nothing. The ordinary dictionary holds the codes of the
 commonest words of ordinary texts. The toxic dictionary holds those too, and before them the codes
 of words that toxic texts hold far more often than chance. A window's gain is the number of bytes
 by which the toxic dictionary compresses it better. Gains of a document's windows are turned into a
@@ -23,7 +24,8 @@ from termtrail.llm import labels, words
 
 THRESHOLD = 0.7
 SAMPLE = 10_000  # labelled rows of each label to fit on
-WINDOW = 32  # words
+WINDOW = 16  # words
+BEGINNING = 5  # bytes
 TERMS = 1_000  # codes in each part of a dictionary
 LEAST_ROWS = 4
 _RUN_IN = bytes(64)  # compressible, so that zstandard never stores a window uncompressed
@@ -44,7 +46,10 @@ def _parts(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch,
     while lo < batch.num_rows:
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + _STEP, side="right")) - 1)
         part = batch.slice(lo, min(hi - lo, _STEP_ROWS))
-        yield part, *words.word_hashes(*words.text_bytes(part.column(column)), space=_APART, fold=words.LOWER)
+        text = words.text_bytes(part.column(column))
+        whole, before = words.word_hashes(*text, space=_APART, fold=words.LOWER)
+        begun, _ = words.word_hashes(*text, space=_APART, fold=words.LOWER, first_bytes=BEGINNING)
+        yield part, np.column_stack((whole, begun)).ravel(), 2 * before
         lo += part.num_rows
 
 
@@ -68,8 +73,8 @@ def gains(h: np.ndarray, before: np.ndarray, toxic, ordinary) -> np.ndarray:
         raw = h[before[i]:before[i + 1]].tobytes()
         if raw:
             found = [len(ordinary.compress(w)) - len(toxic.compress(w))
-                     for w in (_RUN_IN + raw[lo:lo + 8 * WINDOW] for lo in range(0, len(raw), 8 * WINDOW))]
-            out[i] = (min(800 * sum(found) / len(raw), 400) / 10, min(max(found), 50) / 10,
+                     for w in (_RUN_IN + raw[lo:lo + 16 * WINDOW] for lo in range(0, len(raw), 16 * WINDOW))]
+            out[i] = (min(1600 * sum(found) / len(raw), 400) / 10, min(max(found), 50) / 10,
                       sum(g > 2 for g in found) / len(found))
     return out
 

@@ -50,10 +50,11 @@ def text_bytes(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarra
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE,
-                fold: np.ndarray = SAME) -> tuple[np.ndarray, np.ndarray]:
+                fold: np.ndarray = SAME, first_bytes: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word, and the number of words before each row (one entry more than rows).
 
     Words are maximal runs of bytes outside ``space``; rows end words. ``fold`` maps bytes first.
+    With ``first_bytes``, the hash is that of the word's beginning of at most so many bytes.
     """
     n = len(data)
     if not n:
@@ -75,6 +76,8 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE
         part = np.zeros(hi - lo + 1, dtype=np.uint64)
         np.cumsum((fold[data[lo:hi]].astype(np.uint64) + U(1)) * _power(_BASE, hi - lo), out=part[1:])
         s, e = starts[i:j] - lo, ends[i:j] - lo
+        if first_bytes:
+            e = np.minimum(e, s + first_bytes)
         out[i:j] = (part[e] - part[s]) * _power(_INVERSE, hi - lo)[s]
         i = j
     return mix(out), np.searchsorted(starts, offsets)
