@@ -5,6 +5,7 @@ from __future__ import annotations
 from oracles.layers import CONFIRMED
 from oracles.text import cases, half_even, pct1, pct2, quoted, rows
 from termtrail import fixed_values as fv
+from termtrail.sources import testdata as td
 
 ENTRY = quoted(fv.ENTRY_COHORTS)
 TWO = quoted((fv.GROUP_NONCREDIT, fv.GROUP_CREDIT))
@@ -73,9 +74,15 @@ _KINDS = {"noncredit_only": "always_noncredit_esl", "credit_only": "always_credi
 
 _CHECKS = [("students", "maskedsb00"), ("students", "uuid"), ("cohort_info", "maskedsb00"),
            ("cohort_info", "uuid"), ("course_info", "uuid"), ("demographic_base", "uuid"),
-           ("terms", "gi03")]
+           ("demographic_base", "maskedsb00"), ("terms", "gi03"), ("flat_file", "uuid"),
+           ("colleges", "gi01_college"), ("levels", "cb21"), ("levels", "levels_below_transfer"),
+           ("award_types", "award_code"), ("topcodes", "top6")]
 _CHECK_TABLES = {"students": "o_demographics", "cohort_info": "o_cohort_info",
-                 "course_info": "o_course_info", "demographic_base": "o_base", "terms": "t_terms"}
+                 "course_info": "o_course_info", "demographic_base": "o_base", "terms": "t_terms",
+                 "flat_file": "o_flat", "colleges": "(SELECT code AS gi01_college FROM t_colleges)",
+                 "levels": "(SELECT letter AS cb21, lvl AS levels_below_transfer FROM t_levels)",
+                 "award_types": f"(SELECT unnest(string_split('{td.AWARD_CODES}', '')) AS award_code)",
+                 "topcodes": f"(SELECT unnest([{', '.join(map(str, td.TOPCODES))}]) AS top6)"}
 
 
 def _check(layer: str, column: str) -> str:

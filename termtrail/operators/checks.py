@@ -22,11 +22,29 @@ CHECKS = {"unique": check_unique, "not_null": check_not_null}
 
 
 def key_report(layers: dict[str, DataFrame], rules: list[tuple[str, str, str]]) -> DataFrame:
-    """Violations per (layer, column, rule)."""
-    rows = []
-    for layer, column, rule in rules:
-        bad = CHECKS[rule](layers[layer], column)
-        rows.append(bad.agg(F.count("*").alias("violations")).select(
-            F.lit(layer).alias("layer"), F.lit(column).alias("column_name"),
-            F.lit(rule).alias("rule"), "violations"))
-    return reduce(DataFrame.unionByName, rows)
+    """Violations per (layer, column, rule); one pass over a layer serves all its rules.
+
+    Values are counted per (column, value) before the shuffle, so a value or a
+    null with a large share of the rows costs one row per task.
+    """
+    reports = []
+    for layer, df in layers.items():
+        own = [(column, rule) for name, column, rule in rules if name == layer]
+        if not own:
+            continue
+        cells = F.explode(F.array(*[
+            F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))
+            for c in dict.fromkeys(c for c, _ in own)]))
+        counted = (df.select(cells.alias("cell")).select("cell.*")
+                   .groupBy("column", "value").agg(F.count("*").alias("n")))
+        null, n, measures = F.col("value").isNull(), F.col("n"), []
+        for i, (column, rule) in enumerate(own):
+            here = F.col("column") == column
+            bad = (F.count_if(here & ~null & (n > 1)) if rule == "unique"
+                   else F.coalesce(F.sum(F.when(here & null, n)), F.lit(0)))
+            measures.append(bad.alias(f"v{i}"))
+        reports.append(counted.agg(*measures).select(F.inline(F.array(*[
+            F.struct(F.lit(layer).alias("layer"), F.lit(column).alias("column_name"),
+                     F.lit(rule).alias("rule"), F.col(f"v{i}").alias("violations"))
+            for i, (column, rule) in enumerate(own)]))))
+    return reduce(DataFrame.unionByName, reports)

@@ -136,9 +136,8 @@ def first_level_report(base: DataFrame) -> DataFrame:
 
 def college_group_counts(enrollments: DataFrame, colleges: DataFrame, group) -> DataFrame:
     """Colleges and enrollments per college group."""
-    named = enrollments.join(
+    per_college = enrollments.groupBy("gi01").agg(F.count("*").alias("n")).join(
         colleges.select(F.col("gi01_college").alias("gi01"), "college_name"), "gi01")
-    per_college = named.groupBy("gi01", "college_name").agg(F.count("*").alias("n"))
     return per_college.groupBy(group(F.col("college_name")).alias("college_group")).agg(
         F.count("*").alias("colleges"), F.sum("n").alias("enrollments"))
 

@@ -72,10 +72,13 @@ def _key_checks(j: Journey) -> DataFrame:
     stored = j.stored
     layers = {"students": j.raw.students, "cohort_info": stored.cohort_info,
               "course_info": stored.course_info, "demographic_base": stored.demographic_base,
-              "terms": j.raw.terms}
+              "terms": j.raw.terms, "flat_file": stored.flat_file, "colleges": j.raw.colleges,
+              "levels": j.raw.levels, "award_types": j.raw.award_types, "topcodes": j.raw.topcodes}
     keys = [("students", "maskedsb00"), ("students", "uuid"), ("cohort_info", "maskedsb00"),
             ("cohort_info", "uuid"), ("course_info", "uuid"), ("demographic_base", "uuid"),
-            ("terms", "gi03")]
+            ("demographic_base", "maskedsb00"), ("terms", "gi03"), ("flat_file", "uuid"),
+            ("colleges", "gi01_college"), ("levels", "cb21"), ("levels", "levels_below_transfer"),
+            ("award_types", "award_code"), ("topcodes", "top6")]
     return checks.key_report(layers, [(t, c, r) for t, c in keys for r in checks.CHECKS])
 
 

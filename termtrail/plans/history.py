@@ -142,10 +142,13 @@ def student_history(facts: DataFrame, terms: DataFrame, levels: DataFrame,
           for i, m in enumerate(RELATIVE_SEQUENCES)],
         *[seq.absolute_sequence(F.col("grid_codes"), i).alias(absolute_name(m))
           for i, m in enumerate(ABSOLUTE_SEQUENCES)])
-    for level, letter in (("first_level", "first_cb21_level"),
-                          ("first_level_adj", "first_cb21_level_adj"),
-                          ("credit_level", "first_cb21_level_credit_only")):
-        inverse = levels.select(F.col("levels_below_transfer").alias(level),
-                                F.col("cb21").alias(letter))
-        out = out.join(inverse, level, "left")
-    return out
+    # The level table has one row per letter. A map of it refuses doubled levels, and
+    # leaves no join behind in queries that do not read a letter.
+    pairs = F.collect_list(F.struct(F.col("levels_below_transfer").cast("int"), "cb21"))
+    inverse = levels.where("levels_below_transfer IS NOT NULL").agg(
+        F.map_from_entries(pairs).alias("inverse")).scalar()
+    return out.withColumns({
+        letter: F.try_element_at(inverse, F.col(level).cast("int"))
+        for level, letter in (("first_level", "first_cb21_level"),
+                              ("first_level_adj", "first_cb21_level_adj"),
+                              ("credit_level", "first_cb21_level_credit_only"))})
