@@ -7,7 +7,7 @@ scaled, length-normalised vectors a linear hinge-loss model is fitted by dual co
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -74,20 +74,20 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                   ["id", "label", "weight", "x"])
 
 
-def descend(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, weight: np.ndarray, size: int,
+def descend(row: Callable[[int], tuple[np.ndarray, np.ndarray]], y: np.ndarray, weight: np.ndarray, size: int,
             cost: float = COST, epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
     """Weights and bias of the hinge-loss model, by dual coordinate descent over the rows.
 
-    Rows are (positions, values); the bias is the weight of a constant feature 1.
+    ``row(i)`` gives the positions and values of row ``i``; the bias is the weight of a constant 1.
     """
     w, bias = np.zeros(size), 0.0
-    alpha = np.zeros(len(rows))
-    square = np.array([1 + float(v @ v) for _, v in rows])
+    alpha = np.zeros(len(y))
+    square = np.array([1 + float(v @ v) for _, v in map(row, range(len(y)))])
     order = np.random.default_rng(7)
     for _ in range(epochs):
         moved = 0.0
-        for i in order.permutation(len(rows)):
-            at, v = rows[i]
+        for i in order.permutation(len(y)):
+            at, v = row(i)
             gradient = y[i] * (float(w[at] @ v) + bias) - 1
             new = min(max(alpha[i] - gradient / square[i], 0.0), cost * weight[i])
             if new != alpha[i]:
@@ -109,10 +109,9 @@ def fit(docs: DataFrame, known: DataFrame, label_col: str = "quality", id_col: s
     """
     rows = labels.training_sample(docs, known, label_col, sample, id_col, text_col)
     got = (rows.select("text", "id", "label", "weight").mapInArrow(
-        _features, "id bigint, label int, weight double, x binary").orderBy("id").collect())
-    x = [np.frombuffer(r.x, dtype="<i4").astype(np.int64) for r in got]
-    label = np.array([r.label for r in got], dtype=float)
-    weight = np.array([r.weight for r in got], dtype=float)
+        _features, "id bigint, label int, weight double, x binary").toArrow().sort_by("id"))
+    x = [np.frombuffer(r.as_buffer(), dtype="<i4") for r in got["x"]]
+    label, weight = got["label"].to_numpy().astype(float), got["weight"].to_numpy().astype(float)
     counts = [np.full(_SIZE, 1.0), np.full(_SIZE, 1.0)]
     for at, one in zip(x, label, strict=True):
         counts[int(one)][at] += 1
@@ -122,12 +121,12 @@ def fit(docs: DataFrame, known: DataFrame, label_col: str = "quality", id_col: s
         v = ratio[at]
         return at, v / max(float(np.sqrt(v @ v)), 1e-12)
 
-    part = words.mix(np.array([r.id for r in got], dtype=np.int64).view(np.uint64)) % words.U(5) == 0
-    if len(got) < 50:
+    part = words.mix(got["id"].to_numpy().astype(np.int64).view(np.uint64)) % words.U(5) == 0
+    if len(x) < 50:
         part[:] = False
     y = 2 * label - 1
     inner = np.flatnonzero(~part)
-    w, bias = descend([scaled(x[i]) for i in inner], y[inner], weight[inner] / max(1.0, weight.max(initial=1.0)), _SIZE)
+    w, bias = descend(lambda i: scaled(x[inner[i]]), y[inner], weight[inner] / max(1.0, weight.max(initial=1.0)), _SIZE)
     outer = np.flatnonzero(part) if part.any() else inner
     margin = np.array([float(w[a] @ v) + bias for a, v in (scaled(x[i]) for i in outer)]).reshape(-1, 1)
     slope = labels.calibrate(margin, label[outer], weight[outer])

@@ -68,8 +68,7 @@ def test_no_held_out_label_is_learned(spark):
 
 def test_gain_is_a_difference_of_compressed_lengths():
     word = lambda *names: np.array([hash(n) & 0xFFFFFFFFFFFFFFFF for n in names], dtype=np.uint64)
-    listed = word("vile", "mean")
-    toxic, plain = toxicity._compressor(listed.tobytes() * 3), toxicity._compressor(b"")
+    toxic, plain = (toxicity._compressor(word(*names).tobytes() * 3) for names in (("vile", "mean"), ("soft", "nice")))
     assert isinstance(toxic, zstandard.ZstdCompressor)
     text = np.concatenate((word("a", "b", "vile", "c"), word("d", "e"), word()))
     gains = toxicity.gains(text, np.array([0, 4, 6, 6]), toxic, plain)
@@ -80,7 +79,7 @@ def test_descent_separates_and_respects_the_box():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(200, 5))
     y = np.sign(x @ [1, -2, 0.5, 0, 1] + 0.3)
-    w, bias = quality.descend([(np.arange(5), r) for r in x], y, np.ones(200), 5, cost=10, epochs=60)
+    w, bias = quality.descend(lambda i: (np.arange(5), x[i]), y, np.ones(200), 5, cost=10, epochs=60)
     assert ((x @ w + bias) * y > 0).mean() > 0.97
     hinge = lambda w, b: 0.5 * (w @ w + b * b) + 10 * np.maximum(0, 1 - y * (x @ w + b)).sum()
     best = hinge(w, bias)
