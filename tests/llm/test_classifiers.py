@@ -79,7 +79,7 @@ def test_descent_separates_and_respects_the_box():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(200, 5))
     y = np.sign(x @ [1, -2, 0.5, 0, 1] + 0.3)
-    w, bias = quality.descend(lambda i: (np.arange(5), x[i]), y, np.ones(200), 5, cost=10, epochs=60)
+    w, bias = quality.descend(lambda i: (np.arange(5), x[i]), y, np.ones(200), 5, cost=10, epochs=400)
     assert ((x @ w + bias) * y > 0).mean() > 0.97
     hinge = lambda w, b: 0.5 * (w @ w + b * b) + 10 * np.maximum(0, 1 - y * (x @ w + b)).sum()
     best = hinge(w, bias)
