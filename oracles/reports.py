@@ -191,6 +191,16 @@ QUERIES = {
           f"{n}, {pct2(n, 'total')} AS {n}_pct" for n in _KINDS)} FROM n
       UNION ALL
       SELECT 'Total', sum(total)::BIGINT, {", ".join(f"sum({n})::BIGINT, 100.0::DOUBLE" for n in _KINDS)} FROM n""",
+    "sequences_csv": """
+      SELECT uuid, first_esl_term, multiple_colleges, any_esl_enrollment_by_terms,
+             any_noncredit_esl_enrollment_by_terms, any_credit_esl_enrollment_by_terms,
+             any_both_esl_enrollment_by_terms FROM o_flat""",
+    "dated_snapshot": "SELECT uuid, first_esl_term, cohort FROM o_flat",
+    "crosstab_csv": "SELECT * FROM e_wide",
+    "other_college_ever": f"""
+      SELECT uuid, multiple_colleges AND regexp_matches(college_group_enrollment_by_terms, '[OP]')
+               AS non_64_college_enrollment
+      FROM o_course_info WHERE first_college_group IN ({CONFIRMED})""",
     "key_checks": " UNION ALL ".join(_check(*c) for c in _CHECKS),
     "sequence_features": """
       SELECT uuid, grp AS "group", lv AS level_seq, esl_terms, enrolled_terms, graded_terms, entry_level,

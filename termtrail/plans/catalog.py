@@ -16,8 +16,10 @@ from termtrail.functions.sequences import FEATURES
 from termtrail.operators import checks, explore, rollup
 from termtrail.operators.disclosure import guard_identifiers, suppress
 from termtrail.plans import facts, history, pathways
-from termtrail.plans.journey import Journey
+from termtrail.plans.journey import Journey, flat_file
+from termtrail.sources import sinks
 from termtrail.sources.store import TableStore
+from termtrail.sources.tables import read_csv
 from termtrail.sources.testdata import DriverTables, dashboard_cohort, dashboard_people
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,6 +88,29 @@ def _crosstab(people: DataFrame) -> DataFrame:
     return explore.crosstab_margins(people, "earliest_efl_score", "latest_efl_score")
 
 
+# Written and read back: what a reader of the file gets.
+def _csv_round_trip(j: Journey) -> DataFrame:
+    sequences = [history.relative_name(m) for m in facts.FLAG_SEQUENCES]
+    rows = j.stored.flat_file.select("uuid", "first_esl_term", "multiple_colleges", *sequences)
+    path = j.store.path("sequences_csv")
+    rows.write.option("header", True).csv(path)
+    return read_csv(rows.sparkSession, path, rows.schema)
+
+
+def _snapshot_round_trip(j: Journey) -> DataFrame:
+    path = sinks.write_snapshot(j.stored.flat_file.select("uuid", "first_esl_term", "cohort"),
+                                j.store.path("snapshots"), "flat_file", "20240131")
+    return j.raw.students.sparkSession.read.parquet(path)
+
+
+def _wide_round_trip(j: Journey) -> DataFrame:
+    wide = explore.crosstab_wide(dashboard_people(j.stored.wide), "earliest_efl_score",
+                                 "latest_efl_score")
+    path = j.store.path("crosstab_csv")
+    sinks.write_csv(wide, path)
+    return read_csv(wide.sparkSession, path, wide.schema)
+
+
 # Queries built from the raw tables; all others read the written student table.
 LAYER_QUERIES = (
     "terms_adjusted", "semesters_abs", "courses_level_adjusted", "college_groups", "demographics",
@@ -163,6 +188,12 @@ def queries() -> dict[str, Query]:
                                            "returned_for_later_esl_term"),
         "arrival_after": _published(pathways.arrival_and_after),
         "awards_by_family": _published(pathways.awards_by_family),
+        # sinks and readers
+        "sequences_csv": _layer(_csv_round_trip),
+        "dated_snapshot": _layer(_snapshot_round_trip),
+        "crosstab_csv": _layer(_wide_round_trip),
+        "other_college_ever": _layer(lambda j: flat_file(
+            j.stored.course_info, j.params, ever=True).select("uuid", "non_64_college_enrollment")),
         # exploration
         "field_counts_gender": _people(explore.gender_counts),
         "field_counts_hispanic": _people(explore.hispanic_counts),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from termtrail.operators.disclosure import guard_identifiers, suppress
@@ -50,9 +50,9 @@ def publish(tables: list[tuple], source: DataFrame, folder: str, run_date: str,
     for stem, df, counts, note in tables:
         safe = guard_identifiers(suppress(df, counts, p.min_cell) if counts else df, stem)
         path = f"{folder}/{stem}.csv"
-        write_csv(safe, path)
-        written = spark.read.schema(safe.schema).option("header", True).csv(path).count()
-        entries.append((f"{stem}.csv", written, safe.columns, note))
+        seen = Observation()
+        write_csv(safe.observe(seen, F.count(F.lit(1)).alias("rows")), path)
+        entries.append((f"{stem}.csv", seen.get["rows"], safe.columns, note))
     files = spark.createDataFrame(entries, "file string, rows bigint, columns array<string>, note string")
     packed = files.agg(F.array_sort(F.collect_list(F.struct(*files.columns))).alias("files"))
     manifest = fingerprint(source).select(

@@ -30,6 +30,10 @@ class TableStore:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
         self._tables: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
 
+    def path(self, name: str) -> str:
+        """A new path for files of a caller, removed with the tables."""
+        return f"{self.root}/{name}-{uuid.uuid4().hex}"
+
     def table(self, name: str, df: DataFrame, version: str = "") -> DataFrame:
         """Write ``df`` on first use; afterwards read what was written.
 
