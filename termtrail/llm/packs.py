@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -35,9 +36,8 @@ def pack(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         def flush() -> pa.RecordBatch:
             nonlocal number, held, size
             table = pa.Table.from_batches(held)
-            order = pa.table({"i": table[id_col], "t": table[text_col]}).to_pandas()
-            order["i"] = order["i"].astype("object").map(lambda v: common.LOWEST if v is None or v != v else int(v))
-            table = table.take(pa.array(order.sort_values(["i", "t"], na_position="first", kind="stable").index))
+            keys = pa.table({"i": table[id_col].cast(pa.int64()).fill_null(common.LOWEST), "t": table[text_col].fill_null("")})
+            table = table.take(pc.sort_indices(keys, sort_keys=[("i", "ascending"), ("t", "ascending")]))
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
                 out.write_table(table.combine_chunks())
