@@ -132,20 +132,20 @@ def entry_levels(d: DataFrame, p: DisclosureParams = DISCLOSURE) -> DataFrame:
     above = F.left(F.col("level_seq"), F.lit(1)) == "1"
     counts = reported(d, p).groupBy("group", "entry_level").agg(
         F.count("*").alias("students"), F.count_if(above).alias("above"))
-    totals = counts.withColumn("group_total", F.sum("students").over(Window.partitionBy("group")))
-    levels = totals.where("entry_level IS NOT NULL").select(
-        "group", F.col("entry_level").cast("string").alias("levels_below_transfer"), "students",
-        "group_total")
+    own = counts.groupBy("group").agg(
+        F.collect_list(F.struct(F.col("entry_level").cast("string").alias("levels_below_transfer"),
+                                "students")).alias("levels"),
+        F.sum("above").alias("above"), F.sum("students").alias("group_total"))
     names = d.sparkSession.range(1).select(
         F.explode(F.array(*[F.lit(g) for g in p.groups])).alias("group"))
-    top = counts.groupBy("group").agg(F.sum("above").alias("students"),
-                                      F.sum("students").alias("group_total"))
-    always = names.join(top, "group", "left").na.fill(0).select(
-        "group", F.lit(fv.AT_OR_ABOVE_TRANSFER).alias("levels_below_transfer"), "students",
-        "group_total")
-    both = levels.unionByName(always)
-    return both.withColumn("pct_of_group", percent_half_even(F.col("students"),
-                                                             F.col("group_total")))
+    always = F.array(F.struct(F.lit(fv.AT_OR_ABOVE_TRANSFER).alias("levels_below_transfer"),
+                              F.coalesce("above", F.lit(0)).cast("bigint").alias("students")))
+    known = F.filter("levels", lambda r: r["levels_below_transfer"].isNotNull())
+    rows = F.when(F.col("levels").isNull(), always).otherwise(F.concat(known, always))
+    both = names.join(own, "group", "left").na.fill(0, ["group_total"]).select(
+        "group", "group_total", F.inline(rows))
+    return both.select("group", "levels_below_transfer", "students", "group_total", percent_half_even(
+        F.col("students"), F.col("group_total")).alias("pct_of_group"))
 
 
 def advancement_by_level(d: DataFrame, p: DisclosureParams = DISCLOSURE) -> DataFrame:
