@@ -30,7 +30,7 @@ from termtrail.llm import common
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 FRAME_BYTES = 1 << 22
-CACHED_WORDS = 600_000
+CACHED_WORDS = 200_000
 SKIPPABLE_INDEX, SKIPPABLE_SEEK, SEEK_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 _ENTRY = np.dtype([("packed", "<u4"), ("raw", "<u4"), ("check", "<u4")])
 _INDEX = np.dtype([("doc_id", "<i8"), ("has_id", "<i8"), ("tokens", "<i8"), ("frame", "<i8")])
