@@ -238,7 +238,7 @@ def links(features: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
     ``features`` has one row for each class, ``docs`` the texts as ``(id, text)``, any row of a class.
     """
     ids = features.select("id", "bands")
-    members = ids.mapInArrow(_band_rows, "band int, key bigint, rep bigint")
+    members = ids.mapInArrow(words.tidy(_band_rows), "band int, key bigint, rep bigint")
     buckets = common.stored(
         members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("m"),
                                            F.min_by("rep", F.xxhash64("rep", "band")).alias("centre"))
@@ -248,7 +248,7 @@ def links(features: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
     known = common.stored(features.join(active, "id", "left_semi")
                           .select(F.col("id").alias("rep"), "n", "bands", "sketch").dropDuplicates(["rep"]), "known")
     texts = docs.join(active, "id", "left_semi").dropDuplicates(["id"])
-    sets = common.stored(texts.mapInArrow(_sets(size), "rep bigint, shingles binary"), "sets")
+    sets = common.stored(texts.mapInArrow(words.tidy(_sets(size)), "rep bigint, shingles binary"), "sets")
 
     def confirm(pairs: DataFrame) -> DataFrame:
         full = pairs.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x")), "a") \
@@ -289,7 +289,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     table gives no row. Further columns are not read.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    features = common.stored(docs.mapInArrow(_features(shingle), _FEATURES), "features")
+    features = common.stored(docs.mapInArrow(words.tidy(_features(shingle)), _FEATURES), "features")
     full = features.where("n > 0 AND id IS NOT NULL")
     classes = common.stored(full.groupBy("set_a", "set_b").agg(F.min("id").alias("rep")), "classes")
     own = full.join(classes, ["set_a", "set_b"]).where("id = rep").dropDuplicates(["set_a", "set_b"])

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termtrail.llm import common, token_file
+from termtrail.llm import common, token_file, words
 
 CAPACITY = 2048
 GROUP_ROWS = 2048
@@ -116,11 +116,11 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     if cluster_col:
         cluster = F.col(cluster_col).cast("long")
     else:
-        words = F.trim(F.regexp_replace(F.lower(F.col(text_col).cast("string")), r"[\x20\x09-\x0D]+", " "))
-        cluster = F.when(words != "", F.xxhash64(words))
+        plain = F.trim(F.regexp_replace(F.lower(F.col(text_col).cast("string")), r"[\x20\x09-\x0D]+", " "))
+        cluster = F.when(plain != "", F.xxhash64(plain))
     sized = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"),
                         cluster.alias("cluster"), F.col(text_col).cast("string").alias("text"))
-    sized = common.stored(sized.mapInArrow(_sized(tokenizer), "id long, source string, cluster long, n_tokens long"), "sizes")
+    sized = common.stored(sized.mapInArrow(words.tidy(_sized(tokenizer)), "id long, source string, cluster long, n_tokens long"), "sizes")
     groups = max(1, -(-sized.count() // GROUP_ROWS))
     # the row's place in the stored sizes keeps equal rows from meeting in one group
     spread = F.pmod(F.xxhash64("id", "n_tokens", F.monotonically_increasing_id()), F.lit(groups))

@@ -238,13 +238,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     packed = packs.pack(docs.select(id_col, text_col, *carried), id_col, text_col)
     bits = packs.bucket_bits(packed)
     sent = packed.select("batch", "blob").mapInArrow(
-        _find_anchors(text_col, window, bits), "bucket bigint, batch bigint, hashes binary, indexed binary, many binary")
+        words.tidy(_find_anchors(text_col, window, bits)), "bucket bigint, batch bigint, hashes binary, indexed binary, many binary")
     met = common.stored(sent.groupBy("bucket").applyInArrow(
         _meet, "batch bigint, bucket bigint, shared binary, anchored binary"), "anchors")
     met = met.groupBy("batch").agg(F.collect_list(F.struct("bucket", "shared", "anchored")).alias("replies"))
     known = packed.select("batch", "blob").join(met, "batch", "left")
     sent = known.select("batch", "blob", "replies").mapInArrow(
-        _find_windows(id_col, text_col, window, bits),
+        words.tidy(_find_windows(id_col, text_col, window, bits)),
         "bucket bigint, batch bigint, hashes binary, more binary, ids binary")
     later = common.stored(sent.groupBy("bucket").applyInArrow(
         _earliest, "batch bigint, bucket bigint, earlier binary"), "repeats")
@@ -254,7 +254,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                         *(f"`{c}` {kinds[c]}" for c in carried)])
     return (packed.select("batch", "blob").join(met, "batch", "left").join(later, "batch", "left")
             .select("blob", "replies", "later")
-            .mapInArrow(_cut_out(id_col, text_col, window, bits, carried, tidy), schema))
+            .mapInArrow(words.tidy(_cut_out(id_col, text_col, window, bits, carried, tidy)), schema))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termtrail.llm import common
+from termtrail.llm import common, words
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
@@ -229,7 +229,7 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
             zip(*made) if made else ((), (), (), ()), (pa.int32(), pa.string(), pa.int64(), pa.int64()), strict=True)],
             ["shard", "file", "n_docs", "n_tokens"])
 
-    made = rows.mapInArrow(run, "shard int, file string, n_docs bigint, n_tokens bigint")
+    made = rows.mapInArrow(words.tidy(run), "shard int, file string, n_docs bigint, n_tokens bigint")
     return common.stored(made, "manifest")
 
 

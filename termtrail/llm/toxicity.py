@@ -152,7 +152,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                                       [id_col, "score", *carried])
 
     schema = ", ".join([f"`{id_col}` {kinds[id_col]}", "score double", *(f"`{c}` {kinds[c]}" for c in carried)])
-    return docs.select(F.col(text_col).cast("string").alias("_text"), id_col, *carried).mapInArrow(run, schema)
+    return docs.select(F.col(text_col).cast("string").alias("_text"), id_col, *carried).mapInArrow(words.tidy(run), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 
@@ -18,6 +21,24 @@ LOWER = SAME.copy()
 LOWER[65:91] += 32
 
 
+def release() -> None:
+    """Gives memory that is no longer held back to the system: Python workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``run`` over the batches of a task, with memory released at its end."""
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+    return whole
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser that spreads every input bit."""
     x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
