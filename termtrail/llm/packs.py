@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 
 from termtrail.llm import common, words
 
-PACK_BYTES = 8 << 20
+PACK_BYTES = 4 << 20
 BUCKET_HASHES = 1 << 21
 
 
@@ -62,7 +62,7 @@ def pack(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         if held:
             yield flush()
 
-    return common.stored(docs.mapInArrow(run, "batch bigint, n_words bigint, blob binary"), "packs")
+    return common.stored(docs.mapInArrow(words.tidy(run), "batch bigint, n_words bigint, blob binary"), "packs")
 
 
 def unpack(blob: bytes) -> pa.Table:
