@@ -106,7 +106,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     A piece is the tokens ``start`` to ``start + n_tokens`` of a document (its ids and one end id),
     placed at ``offset`` of bin ``(grp, bin)`` of ``capacity`` tokens. No bin holds two pieces of one
     source or of one duplicate cluster. Without ``cluster_col`` (a long), texts that are equal but
-    for case and white space are a cluster. Null texts are empty (one end id); null sources and
+    for case are a cluster. Null texts are empty (one end id); null sources and
     clusters conflict with nothing; repeated rows are packed as often as they come. An empty table
     gives no row. Further columns are not read.
 
@@ -116,7 +116,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     if cluster_col:
         cluster = F.col(cluster_col).cast("long")
     else:
-        plain = F.trim(F.regexp_replace(F.lower(F.col(text_col).cast("string")), r"[\x20\x09-\x0D]+", " "))
+        plain = F.lower(F.col(text_col).cast("string"))
         cluster = F.when(plain != "", F.xxhash64(plain))
     sized = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"),
                         cluster.alias("cluster"), F.col(text_col).cast("string").alias("text"))
