@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termtrail.llm import common, token_file, words
+from termtrail.llm import common, near_duplicates, token_file, words
 
 CAPACITY = 2048
 GROUP_ROWS = 2048
@@ -99,14 +99,34 @@ def _packed(capacity: int):
     return run
 
 
+def _joined(sized: DataFrame, near: DataFrame) -> DataFrame:
+    """``sized`` with clusters that are joined where ``near``, as ``(id, component)``, has one component for them.
+
+    Rows of a component and rows of a cluster are all one cluster, named by the smallest component.
+    Rows without an id have no component, rows without a cluster (no text) get none.
+    """
+    of_id = near.where("id IS NOT NULL").groupBy("id").agg(F.min("component").alias("component"))
+    rows = common.stored(sized.join(of_id, "id", "left").withColumn("component", F.when(F.col("cluster").isNotNull(), F.col("component"))),
+                         "placed")
+    spans = common.stored(rows.where("cluster IS NOT NULL").groupBy("cluster").agg(
+        F.min("component").alias("lo"), F.max("component").alias("hi")), "spans")
+    labels = common.components(rows.join(spans.where("lo <> hi"), "cluster").select(
+        F.col("component").alias("a"), F.col("lo").alias("b")))
+    rows = rows.join(spans.select("cluster", "lo"), "cluster", "left").withColumn("node", F.coalesce("component", "lo", "cluster"))
+    return rows.join(labels.withColumnRenamed("component", "top"), "node", "left").select(
+        "id", "source", F.coalesce("top", "node").alias("cluster"), "n_tokens")
+
+
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-         cluster_col: str | None = None, capacity: int = CAPACITY, tokenizer: str = token_file.TOKENIZER) -> DataFrame:
+         cluster_col: str | None = None, capacity: int = CAPACITY, tokenizer: str = token_file.TOKENIZER,
+         near: DataFrame | None = None) -> DataFrame:
     """``(id, source, cluster, start, n_tokens, grp, bin, offset)``: one row for each piece.
 
     A piece is the tokens ``start`` to ``start + n_tokens`` of a document (its ids and one end id),
     placed at ``offset`` of bin ``(grp, bin)`` of ``capacity`` tokens. No bin holds two pieces of one
     source or of one duplicate cluster. Without ``cluster_col`` (a long), texts that are equal but
-    for case are a cluster. Null texts are empty (one end id); null sources and
+    for case and white space are a cluster; ``near``, with columns ``id`` and ``component`` (longs),
+    joins clusters of one component. Null texts are empty (one end id); null sources and
     clusters conflict with nothing; repeated rows are packed as often as they come. An empty table
     gives no row. Further columns are not read.
 
@@ -116,11 +136,13 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     if cluster_col:
         cluster = F.col(cluster_col).cast("long")
     else:
-        plain = F.lower(F.col(text_col).cast("string"))
+        plain = F.trim(F.regexp_replace(F.lower(F.col(text_col).cast("string")), r"[\x20\x09-\x0D]+", " "))
         cluster = F.when(plain != "", F.xxhash64(plain))
     sized = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"),
                         cluster.alias("cluster"), F.col(text_col).cast("string").alias("text"))
     sized = common.stored(sized.mapInArrow(words.tidy(_sized(tokenizer)), "id long, source string, cluster long, n_tokens long"), "sizes")
+    if near is not None:
+        sized = common.stored(_joined(sized, near), "clustered")
     groups = max(1, -(-sized.count() // GROUP_ROWS))
     # the row's place in the stored sizes keeps equal rows from meeting in one group
     spread = F.pmod(F.xxhash64("id", "n_tokens", F.monotonically_increasing_id()), F.lit(groups))
@@ -129,4 +151,6 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    found = near_duplicates.near_duplicates(docs).select(F.col("doc_id").alias("id"), F.col("component_id").alias("component"))
+    return pack(docs, near=found)

@@ -59,3 +59,20 @@ def test_all_pieces_once_and_no_conflict(spark, monkeypatch):
     for doc_id, text in {r[0]: r[1] for r in rows}.items():
         assert tokens[doc_id] == (len(encode([text])[0]) // 4 + 1) * (5 if doc_id == 301 else 1)
     assert packing.pack(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_white_space_variants_and_near_copies_share_no_bin(spark, tmp_path):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text, "a"), (2, text.replace(" ", " \t\r\n ").upper() + " \n", "b"), (3, text + " tail", "c"), (None, f" {text}", "d"),
+            (5, "Äpfel", "e"), (6, "äPFEL ", "f"), (7, "of the", "g"), (8, None, "h"), (9, " \n", "i"), (8, "", "j"),
+            (10, text.upper(), None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    found = packing.query(spark, str(tmp_path)).collect()
+    cluster = {r.source: r.cluster for r in found}
+    assert len(found) == len(rows) and len({cluster[s] for s in ("a", "b", "c", "d", None)}) == 1
+    assert cluster["e"] == cluster["f"] and len({cluster[s] for s in "aeg"}) == 3 and not any(cluster[s] for s in "hij")
+    bins = [(r.grp, r.bin) for r in found if r.cluster == cluster["a"]]
+    assert len(bins) == len(set(bins)) == 5
+    spaced = packing.pack(docs.where("source IN ('a', 'b')")).collect()
+    assert len({(r.grp, r.bin) for r in spaced}) == 2
