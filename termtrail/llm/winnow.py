@@ -49,7 +49,13 @@ def winnow(text: str, gram: int = GRAM, window: int = WINDOW) -> tuple[np.ndarra
 
 def signature(text: str) -> np.ndarray:
     """The set of selected hashes, sorted, 32 bits each."""
-    return np.unique((winnow(text)[0] >> words.U(8)).astype("<u4"))
+    return np.unique(selected(text)[0])
+
+
+def selected(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Selected hashes of 32 bits and their positions, in text order."""
+    hashes, at = winnow(text)
+    return (hashes >> words.U(8)).astype("<u4"), at
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -80,37 +86,49 @@ _EDITED = ("doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint str
            "edited_fingerprint string, near_edited double, near_next double")
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compare(positions: bool):
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-    held: tuple | None = None
-    out: list[tuple] = []
+    if positions:
+        names, types = [*names, "selected"], [*types, pa.string()]
 
     def encoded(s: np.ndarray) -> str:
         return base64.b64encode(s.tobytes()).decode()
 
-    for batch in batches:
-        for shard, role, doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            text = text or ""
-            own = None
-            if held is not None and held[0] == shard:
-                own = signature(text)
-                half = len(held[2]) // 2
-                edited = held[2][:len(held[2]) - half] + text[:half]
-                changed = signature(edited)
-                out.append((held[1], len(held[2]), hashlib.sha256(edited.encode()).hexdigest(), encoded(held[3]),
-                            encoded(changed), likeness(held[3], changed), likeness(held[3], own)))
-            held = (shard, doc_id, text, signature(text) if own is None else own) if role == 0 else None
-            if len(out) >= 512:
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), types, strict=True)], names)
-                out = []
-    if out:
-        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), types, strict=True)], names)
-
-
-def likeness_to_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    def fingerprint(text: str) -> tuple[np.ndarray, str]:
+        hashes, at = selected(text)
+        return np.unique(hashes), encoded(np.stack((hashes.astype("<u8"), at.astype("<u8")), axis=1)) if positions else ""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple | None = None
+        out: list[tuple] = []
+        for batch in batches:
+            for shard, role, doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                text = text or ""
+                own = None
+                if held is not None and held[0] == shard:
+                    own = fingerprint(text)
+                    half = len(held[2]) // 2
+                    edited = held[2][:len(held[2]) - half] + text[:half]
+                    changed = signature(edited)
+                    first, where = held[3]
+                    out.append((held[1], len(held[2]), hashlib.sha256(edited.encode()).hexdigest(), encoded(first),
+                                encoded(changed), likeness(first, changed), likeness(first, own[0]), where)[:len(names)])
+                held = (shard, doc_id, text, fingerprint(text) if own is None else own) if role == 0 else None
+                if len(out) >= 512:
+                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), types, strict=True)], names)
+                    out = []
+        if out:
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), types, strict=True)], names)
+    return run
+
+
+def likeness_to_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", positions: bool = False) -> DataFrame:
     """Fingerprint of each text, of the text edited with its successor, and both likenesses.
 
+    With ``positions``, a further column ``selected`` has the pairs (hash, position) of the text in
+    text order, as little-endian 64-bit numbers in base64.
+
     The successor is the next row by ascending (id, text); the first row follows the last. Rows are
     dealt out by id range, sorted within a shard, and the first row of a shard is also sent to the
     shard before it, so each text is shuffled once and no row needs the whole order. Null ids come
@@ -128,8 +146,9 @@ def likeness_to_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = rows.select("doc_id", "text", "key", F.explode(F.filter(F.array(*places), lambda p: p.isNotNull())).alias("p"))
     rows = (rows.repartition(common.partitions(docs.sparkSession), "p.shard")
             .sortWithinPartitions("p.shard", "p.role", "key", "text"))
-    return rows.select("p.shard", "p.role", "doc_id", "text").mapInArrow(_compare, _EDITED)
+    return rows.select("p.shard", "p.role", "doc_id", "text").mapInArrow(
+        _compare(positions), _EDITED + ", selected string" * positions)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return likeness_to_next(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return likeness_to_next(spark.read.parquet(f"{sf_dir}/documents.parquet"), positions=True)

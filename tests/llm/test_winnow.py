@@ -75,3 +75,14 @@ def test_single_row_empty_table_and_positions(spark):
     got = winnow.fingerprints(one.union(spark.createDataFrame([(2, None, 0, "s")], SCHEMA)))
     assert {r.doc_id: list(r.positions) for r in got.collect()} == {1: [0], 2: []}
     assert got.where(F.size("hashes") != F.size("positions")).count() == 0
+
+
+def test_query_carries_positions(spark, tmp_path):
+    rows = [(1, "abcabd" * 30, 0, "s"), (2, "short", 0, "s"), (3, None, 0, "s")]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in winnow.query(spark, str(tmp_path)).collect()}
+    for doc_id, text, *_ in rows:
+        pairs = np.frombuffer(base64.b64decode(got[doc_id].selected), dtype="<u8").reshape(-1, 2)
+        hashes, at = winnow.winnow(text or "")
+        assert pairs[:, 1].tolist() == at.tolist() and pairs[:, 0].tolist() == (hashes >> words.U(8)).tolist()
+        assert np.unique(pairs[:, 0].astype("<u4")).tobytes() == base64.b64decode(got[doc_id].fingerprint)
