@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from termtrail.llm import (common, decontam, html_wrapper, near_duplicates, packing, quality, substring, token_file,
-                           toxicity, url_filter, winnow)
+from termtrail.llm import (byte_bpe, common, decontam, html_wrapper, merkle, near_duplicates, packing, periodic_runs,
+                           quality, substring, token_file, toxicity, url_filter, winnow)
 
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,9 @@ QUERIES: dict[str, Query] = {
     "op8_quality": quality.query,
     "op9_decontamination": decontam.query,
     "op10_winnowing": winnow.query,
+    "op11_merkle": merkle.query,
+    "op12_periodic_runs": periodic_runs.query,
+    "op13_byte_bpe": byte_bpe.query,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -43,4 +46,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_url_filter": url_filter.ORACLE_SQL,
         "op7_substring_dedup": substring.ORACLE_SQL,
         "op9_decontamination": decontam.ORACLE_SQL,
+        "op11_merkle": merkle.ORACLE_SQL,
     }
