@@ -29,7 +29,7 @@ def compose(sql: str) -> str:
             wanted.add(name)
             frontier += [n for n in _needs(BLOCKS[name]) if n != name]
     body = ",\n".join(f"{n} AS ({BLOCKS[n]})" for n in BLOCKS if n in wanted)
-    return f"WITH {body}\nSELECT * FROM ({sql})"
+    return (f"WITH {body}\n" if body else "") + f"SELECT * FROM ({sql})"
 
 
 def oracle_sql() -> dict[str, str]:

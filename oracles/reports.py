@@ -289,3 +289,111 @@ QUERIES = {
       WHERE award_family IS NOT NULL GROUP BY 1, 2, 3""",
                               ["students", "pathway_total"], ['"group"', "pathway", "award_family"]),
 }
+
+# --- published files -------------------------------------------------------
+_TAIL = "pathway,students,group_total,pct_of_group"
+_STEMS = {"entry_level": "03_pathway_by_entry_level", "cohort": "04_pathway_by_cohort",
+          "structure": "05_pathway_by_college_structure", "age_band": "06_pathway_by_age",
+          "gender": "07_pathway_by_gender", "goal": "08_pathway_by_goal"}
+_FILES = [("00_provenance", "provenance", "true",
+           "source_rows,students_in_eligible_cohorts,eligible_cohorts,censored_cohort_reported_separately,"
+           "min_cell_suppression,level_variant_used,credit_status_source,generated", "run parameters"),
+          ("01_composition_by_group_and_cohort", "composition", "true", "group,cohort,students",
+           "students by credit status and entry cohort"),
+          ("09_pathway_by_race_flag", "pathway_by_race", "true", f"group,race_flag,{_TAIL}", "race flags are not mutually exclusive"),
+          ("10_terms_within_pathway", "terms_within_pathway", "true",
+           "group,pathway,esl_terms,students,pathway_total,median_esl_terms,mean_esl_terms", "ESL term counts, capped at 10 or more"),
+          ("11_entry_level_distribution", "entry_levels", "true", "group,levels_below_transfer,students,group_total,pct_of_group",
+           "level at first ESL term"),
+          ("12_advancement_by_level_six_level_colleges", "advancement_by_level", "true",
+           "levels_below_transfer,students_at_level,returned_for_later_esl_term,pct_returned,reached_next_level,"
+           "pct_of_returners_next_level,reached_any_higher_level,pct_of_returners_any_higher",
+           "a student is counted at every level they appear at; rows are not exclusive"),
+          ("13_arrival_and_what_followed", "arrival_after", "true",
+           "group,pathway,students,esl_was_first_enrollment,nothing_after_last_esl_term,any_non_esl_enrolled_term,"
+           "ever_slipped_back_a_level", "counts within each pathway"),
+          ("14_awards_by_top_code_family", "awards_by_family", "true", "group,pathway,award_family,students,pathway_total",
+           "first award only")]
+for _g in (fv.GROUP_NONCREDIT, fv.GROUP_CREDIT):
+    _tag = _g.split()[0]
+    _FILES.append((f"02_pathway_totals_{_tag}", "pathway_totals", f"\"group\" = '{_g}'", _TAIL, f"pathway totals, {_g}"))
+    _FILES += [(f"{stem}_{_tag}", "pathway_by_margin", f"\"group\" = '{_g}' AND margin = '{m}'", f"{m},{_TAIL}", f"pathway by {m}")
+               for m, stem in _STEMS.items()]
+QUERIES["published_manifest"] = " UNION ALL ".join(
+    f"SELECT '{stem}.csv' AS file, (SELECT count(*) FROM ({QUERIES[key]}) WHERE {where}) AS rows, '{columns}' AS columns, '{note}' AS note"
+    for stem, key, where, columns, note in _FILES)
+
+_FLAG_NAMES = ", ".join(fv.SEQUENCE_COLUMNS)
+QUERIES |= {
+    "sequences_csv_by_name": f"SELECT uuid, first_esl_term, {_FLAG_NAMES} FROM o_flat",
+    "csv_bad_values": """
+      SELECT 'first_esl_term' AS "column", first_esl_term::VARCHAR || 'F' AS value, count(*) AS rows
+      FROM o_flat WHERE first_esl_term % 10 = 7 GROUP BY 2""",
+    "csv_doubled_header": "SELECT count(*) AS students, first_esl_term FROM o_flat GROUP BY 2",
+    "student_tables": """
+      SELECT a.uuid, a.first_esl_term, a.cohort, b.any_esl_enrollment_by_terms
+      FROM o_cohort_info a JOIN o_course_info b ON a.uuid = b.uuid""",
+    "fingerprint_parts": """
+      SELECT coalesce(first_academic_year, 'none') AS part, count(*) AS source_rows, true AS adds_up FROM o_flat GROUP BY 1""",
+    "field_catalogue": """
+      SELECT (ordinal_position - 1)::INTEGER AS position, column_name AS name,
+             CASE data_type WHEN 'VARCHAR' THEN 'string' ELSE lower(data_type) END AS type,
+             array_to_string(list_transform(string_split(column_name, '_'), lambda w: upper(w[1]) || w[2:]), ' ') AS label,
+             CASE column_name WHEN 'doc_id' THEN n.a WHEN 'lang' THEN n.b WHEN 'source' THEN n.c WHEN 'n_chars' THEN n.d END AS filled
+      FROM information_schema.columns,
+           (SELECT count(doc_id) AS a, count(lang) AS b, count(source) AS c, count(n_chars) AS d FROM documents) n
+      WHERE table_name = 'documents' AND column_name <> 'text'""",
+    # one arm for each rule: partners of small totals, their shared values, rectangles, and what is left
+    "pathway_protected": f"""
+      WITH tot AS (SELECT grp AS g, pathway AS p, count(*) AS t FROM p_rep GROUP BY 1, 2),
+      cel AS (SELECT grp AS g, margin AS m, value AS v, pathway AS p, count(*) AS n
+              FROM ({" UNION ALL ".join(_margin(m, x) for m, x in _MARGINS.items())}
+                    UNION ALL {" UNION ALL ".join(f"SELECT grp, pathway, 'race_flag', '{label}' FROM p_rep WHERE {c}"
+                                                  for c, label in fv.RACE_FLAG_LABELS.items())})
+              WHERE value IS NOT NULL GROUP BY ALL),
+      cov AS (SELECT g, m FROM cel GROUP BY 1, 2 HAVING sum(n) = (SELECT sum(t) FROM tot WHERE tot.g = cel.g)),
+      fits AS (SELECT a.g, a.p, b.p AS q, CASE WHEN b.t < {fv.MIN_CELL} THEN 0 ELSE b.t END AS price
+               FROM tot a JOIN tot b ON a.g = b.g AND a.p <> b.p
+               WHERE a.t < {fv.MIN_CELL} AND NOT EXISTS (
+                 SELECT 1 FROM cov WHERE cov.g = a.g AND NOT EXISTS (
+                   SELECT 1 FROM cel x JOIN cel y USING (g, m, v) WHERE x.g = a.g AND x.m = cov.m AND x.p = a.p AND y.p = b.p))),
+      pal AS (SELECT g, p, q FROM fits QUALIFY row_number() OVER (PARTITION BY g, p ORDER BY price, q) = 1),
+      alone AS (SELECT DISTINCT g FROM tot WHERE t < {fv.MIN_CELL} AND (g, p) NOT IN (SELECT (g, p) FROM pal)),
+      anch AS (SELECT cov.g, cov.m, x.v, pal.p, pal.q FROM pal JOIN cov ON cov.g = pal.g
+               JOIN cel x ON x.g = cov.g AND x.m = cov.m AND x.p = pal.p
+               JOIN cel y ON y.g = x.g AND y.m = x.m AND y.v = x.v AND y.p = pal.q
+               QUALIFY row_number() OVER (PARTITION BY cov.g, cov.m, pal.p, pal.q
+                                          ORDER BY CASE WHEN y.n < {fv.MIN_CELL} THEN 0 ELSE y.n END, x.v) = 1),
+      tie AS (SELECT g, m, v, p FROM anch UNION SELECT g, m, v, q FROM anch),
+      pri AS (SELECT c.*, tie.g IS NOT NULL AS tied, CASE WHEN c.n < {fv.MIN_CELL} OR tie.g IS NOT NULL THEN 0 ELSE c.n END AS w
+              FROM cel c LEFT JOIN tie ON tie.g = c.g AND tie.m = c.m AND tie.v = c.v AND tie.p = c.p),
+      todo AS (SELECT * FROM pri WHERE w = 0 AND NOT tied),
+      best AS (SELECT o.g, o.m, o.v, o.p, z.v AS v2, z.p AS p2 FROM todo o
+               JOIN pri x ON x.g = o.g AND x.m = o.m AND x.v = o.v AND x.p <> o.p
+               JOIN pri y ON y.g = o.g AND y.m = o.m AND y.p = o.p AND y.v <> o.v
+               JOIN pri z ON z.g = o.g AND z.m = o.m AND z.v = y.v AND z.p = x.p
+               QUALIFY row_number() OVER (PARTITION BY o.g, o.m, o.v, o.p ORDER BY x.w + y.w + z.w, z.v, z.p) = 1),
+      rest AS (SELECT o.*, (o.g, o.m) IN (SELECT (g, m) FROM cov) AS full_margin FROM todo o
+               WHERE (o.g, o.m, o.v, o.p) NOT IN (SELECT (g, m, v, p) FROM best)),
+      side AS (SELECT r.g, r.m, r.v, x.p FROM rest r JOIN pri x ON x.g = r.g AND x.m = r.m AND x.v = r.v AND x.p <> r.p
+               WHERE NOT r.full_margin
+               QUALIFY row_number() OVER (PARTITION BY r.g, r.m, r.v, r.p ORDER BY x.w, x.p) = 1),
+      byt AS (SELECT r.g, r.m, r.v, r.p, pal.q FROM rest r JOIN pal ON pal.g = r.g AND pal.p = r.p
+              JOIN cel x ON x.g = r.g AND x.m = r.m AND x.v = r.v AND x.p = pal.q WHERE r.full_margin),
+      dark AS (SELECT r.g, r.m, r.v, y.v AS v2 FROM rest r JOIN cel y ON y.g = r.g AND y.m = r.m AND y.p = r.p AND y.v <> r.v
+               WHERE r.full_margin AND (r.g, r.m, r.v, r.p) NOT IN (SELECT (g, m, v, p) FROM byt)
+               QUALIFY row_number() OVER (PARTITION BY r.g, r.m, r.v, r.p ORDER BY
+                 (SELECT sum(n) FROM cel s WHERE s.g = y.g AND s.m = y.m AND s.v = y.v), y.v) = 1),
+      more AS (SELECT g, m, v, p2 AS p FROM best UNION SELECT g, m, v2, p FROM best UNION SELECT g, m, v2, p2 FROM best
+               UNION SELECT g, m, v, p FROM side UNION SELECT g, m, v, q FROM byt UNION SELECT g, m, v, p FROM tie),
+      dim AS (SELECT g, m, v FROM dark UNION SELECT g, m, v2 FROM dark),
+      fin AS (
+        SELECT g, m, v, p, n, CASE WHEN n < {fv.MIN_CELL} THEN 'small'
+                 WHEN (g, m, v, p) IN (SELECT (g, m, v, p) FROM more) OR (g, m, v) IN (SELECT (g, m, v) FROM dim)
+                      OR g IN (SELECT g FROM alone) THEN 'complement' END AS hidden FROM cel
+        UNION ALL
+        SELECT g, NULL, NULL, p, t, CASE WHEN t < {fv.MIN_CELL} THEN 'small'
+                 WHEN (g, p) IN (SELECT (g, q) FROM pal) OR g IN (SELECT g FROM alone) THEN 'complement' END FROM tot)
+      SELECT g AS "group", m AS margin, v AS value, p AS pathway,
+             CASE WHEN hidden IS NULL THEN n::VARCHAR ELSE '{fv.SUPPRESSED}' END AS students, hidden FROM fin""",
+}

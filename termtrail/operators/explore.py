@@ -52,6 +52,15 @@ def field_options(df: DataFrame, excluded: Sequence[str] = fv.EXCLUDED_FIELDS) -
             for n in df.columns if n not in excluded]
 
 
+def field_rows(df: DataFrame, excluded: Sequence[str] = fv.EXCLUDED_FIELDS) -> DataFrame:
+    """The selectable fields as rows (position, name, type, label) with how many rows fill them."""
+    fields = [(i, f) for i, f in enumerate(df.schema.fields) if f.name not in excluded]
+    rows = F.array(*[F.struct(
+        F.lit(i).alias("position"), F.lit(f.name).alias("name"), F.lit(f.dataType.simpleString()).alias("type"),
+        F.lit(f.name.replace("_", " ").title()).alias("label"), F.count(F.col(f"`{f.name}`")).alias("filled")) for i, f in fields])
+    return df.agg(rows.alias("fields")).select(F.inline("fields"))
+
+
 def first_of_duplicate_columns(df: DataFrame) -> DataFrame:
     """Keep the first column of every name."""
     names = df.columns

@@ -37,6 +37,7 @@ class DisclosureParams:
     censored_cohort: str = fv.CENSORED_COHORT
     groups: tuple[str, ...] = (fv.GROUP_NONCREDIT, fv.GROUP_CREDIT)
     term_cap: int = 10
+    complementary: bool = False   # also blank what would give small counts away
 
 
 STUDY = StudyParams()

@@ -6,20 +6,24 @@ written student table, as reports over a warehouse do.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from termtrail import fixed_values as fv
 from termtrail.functions.colleges import college_group
 from termtrail.functions.sequences import FEATURES
 from termtrail.operators import checks, explore, rollup
 from termtrail.operators.disclosure import guard_identifiers, suppress
+from termtrail.params import DisclosureParams
 from termtrail.plans import facts, history, pathways
 from termtrail.plans.journey import Journey, flat_file
 from termtrail.sources import sinks
 from termtrail.sources.store import TableStore
-from termtrail.sources.tables import read_csv
+from termtrail.sources.tables import BAD_VALUES, read_csv
 from termtrail.sources.testdata import DriverTables, dashboard_cohort, dashboard_people
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -111,6 +115,69 @@ def _wide_round_trip(j: Journey) -> DataFrame:
     return read_csv(wide.sparkSession, path, wide.schema)
 
 
+def _csv_by_name(j: Journey) -> DataFrame:
+    """All code-like columns, written in another order and read by name."""
+    rows = j.stored.flat_file.select("uuid", "first_esl_term", *fv.SEQUENCE_COLUMNS)
+    path = j.store.path("sequences_by_name")
+    rows.select(*reversed(rows.columns)).write.option("header", True).csv(path)
+    return read_csv(rows.sparkSession, path, rows.schema)
+
+
+def _csv_bad_values(j: Journey) -> DataFrame:
+    """How many values of a column a typed reader refuses, and which: nothing turns to null unseen."""
+    term = F.col("first_esl_term")
+    rows = j.stored.flat_file.select(
+        F.when(term % 10 == 7, F.concat(term.cast("string"), F.lit("F"))).otherwise(term.cast("string")).alias("first_esl_term"),
+        "uuid", F.col("multiple_colleges").cast("string").alias("multiple_colleges"))
+    path = j.store.path("bad_values")
+    rows.write.option("header", True).csv(path)
+    read = read_csv(rows.sparkSession, path, StructType.fromDDL("uuid string, first_esl_term int, multiple_colleges boolean"), True)
+    found = read.select(F.inline(BAD_VALUES))
+    return found.groupBy("column", "value").agg(F.count("*").alias("rows"))
+
+
+def _csv_doubled_header(j: Journey) -> DataFrame:
+    """A small table whose file names two columns alike: the first of them counts."""
+    counts = j.stored.flat_file.groupBy("first_esl_term").agg(F.count("*").alias("students"))
+    lines = counts.select(F.lit(1).alias("part"), F.concat_ws(",", "first_esl_term", "students", F.lit("0")).alias("value"))
+    head = counts.sparkSession.createDataFrame([(0, "first_esl_term,students,students")], "part int, value string")
+    path = j.store.path("doubled_header")
+    lines.unionAll(head).coalesce(1).sortWithinPartitions("part").select("value").write.text(path)
+    return read_csv(counts.sparkSession, path, StructType.fromDDL("students bigint, first_esl_term int"))
+
+
+def _student_tables(j: Journey) -> DataFrame:
+    """Two layers as bucketed tables of the student key, joined without a shuffle."""
+    tag = uuid.uuid4().hex[:12]
+    count = int(j.raw.students.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keep = {"cohort_info": ("uuid", "first_esl_term", "cohort"), "course_info": ("uuid", "any_esl_enrollment_by_terms")}
+    left, right = (sinks.write_model(getattr(j.stored, layer).select(*columns), f"{layer}_{tag}", by="uuid", buckets=count,
+                                     path=j.store.path(layer)) for layer, columns in keep.items())
+    return left.join(right, "uuid")
+
+
+def _manifest(j: Journey) -> DataFrame:
+    """The files of a publishing run, their rows and columns, as its manifest lists them."""
+    out = pathways.publish_tables(j.stored.flat_file, j.store.path("published"), "20240131")
+    return out.select(F.inline("files")).select("file", "rows", F.array_join("columns", ",").alias("columns"), "note")
+
+
+def _parts(j: Journey) -> DataFrame:
+    """Fingerprints by starting cohort: their rows, and whether the parts add up to the whole."""
+    flat = j.stored.flat_file
+    parts = sinks.part_fingerprints(flat, F.coalesce("first_academic_year", F.lit("none")))
+    whole = sinks.merged(parts).crossJoin(sinks.fingerprint(flat).toDF("whole_hash", "whole_rows"))
+    sound = whole.select((F.col("content_hash") == F.col("whole_hash")) & (F.col("source_rows") == F.col("whole_rows")))
+    return parts.select("part", "source_rows", sound.scalar().alias("adds_up"))
+
+
+def _protected(j: Journey) -> DataFrame:
+    d = pathways.classified(j.stored.flat_file)
+    hidden = pathways.protected(d, TableStore(d.sparkSession), DisclosureParams(complementary=True))
+    shown = F.when(F.col("hidden").isNull(), F.col("students").cast("string")).otherwise(fv.SUPPRESSED)
+    return hidden.withColumn("students", shown)
+
+
 # Queries built from the raw tables; all others read the written student table.
 LAYER_QUERIES = (
     "terms_adjusted", "semesters_abs", "courses_level_adjusted", "college_groups", "demographics",
@@ -182,6 +249,7 @@ def queries() -> dict[str, Query]:
         "pathway_totals": _published(pathways.pathway_totals),
         "pathway_by_margin": _published(pathways.pathway_by_margins),
         "pathway_by_race": _published(pathways.pathway_by_race),
+        "pathway_protected": _layer(_protected),
         "terms_within_pathway": _published(pathways.terms_within_pathway),
         "entry_levels": _published(pathways.entry_levels),
         "advancement_by_level": _published(pathways.advancement_by_level, "students_at_level",
@@ -191,6 +259,12 @@ def queries() -> dict[str, Query]:
         # sinks and readers
         "sequences_csv": _layer(_csv_round_trip),
         "dated_snapshot": _layer(_snapshot_round_trip),
+        "sequences_csv_by_name": _layer(_csv_by_name),
+        "csv_bad_values": _layer(_csv_bad_values),
+        "csv_doubled_header": _layer(_csv_doubled_header),
+        "student_tables": _layer(_student_tables),
+        "published_manifest": _layer(_manifest),
+        "fingerprint_parts": _layer(_parts),
         "crosstab_csv": _layer(_wide_round_trip),
         "other_college_ever": _layer(lambda j: flat_file(
             j.stored.course_info, j.params, ever=True).select("uuid", "non_64_college_enrollment")),
@@ -199,6 +273,7 @@ def queries() -> dict[str, Query]:
         "field_counts_hispanic": _people(explore.hispanic_counts),
         "field_counts_binary": _people(lambda d: explore.categorical_counts(d, "prior_non_success")),
         "field_counts_generic": _people(lambda d: explore.field_counts(d, "age_at_first_term", 15)),
+        "field_catalogue": lambda spark, sf_dir: explore.field_rows(spark.read.parquet(f"{sf_dir}/documents.parquet"), ("text",)),
         "field_values_sorted": _people(lambda d: explore.sorted_values(d, "age_at_first_term")),
         "race_flag_counts": _people(explore.race_flag_counts),
         "age_buckets": _people(explore.age_bucket_counts),

@@ -13,8 +13,10 @@ from termtrail import fixed_values as fv
 from termtrail.functions import recode
 from termtrail.functions import sequences as seq
 from termtrail.functions.rates import percent_half_even, ratio_half_even
+from termtrail.operators.disclosure import complementary
 from termtrail.params import DISCLOSURE, DisclosureParams
 from termtrail.sources.sinks import publish
+from termtrail.sources.store import TableStore
 from termtrail.sources.tables import require_columns
 
 ESL = "any_esl_enrollment_by_terms"
@@ -22,6 +24,10 @@ NONCREDIT = "any_noncredit_esl_enrollment_by_terms"
 CREDIT = "any_credit_esl_enrollment_by_terms"
 LEVELS = "lowest_cb21_level_adjusted_all_by_terms"
 CREDIT_LEVELS = "lowest_cb21_level_adjusted_all_credit_types_by_terms"
+# columns of a classified student that the published tables read
+DISCLOSED = ("group", "pathway", "cohort", "level_seq", "entry_level", "entry_level_label", "structure", "age_band",
+             "gender_label", "goal", "esl_terms", "enrolled_terms", "esl_first_term", "nothing_after_last_esl",
+             "ever_slipped_back", "first_college_group", "earliest_degree_topcode")
 MARGINS = {"entry_level": "entry_level_label", "cohort": "cohort", "structure": "structure",
            "age_band": "age_band", "gender": "gender_label", "goal": "goal"}
 
@@ -192,42 +198,74 @@ def awards_by_family(d: DataFrame, p: DisclosureParams = DISCLOSURE) -> DataFram
         "award_family IS NOT NULL")
 
 
-def tables(d: DataFrame, run_date: str, p: DisclosureParams = DISCLOSURE) -> list[tuple]:
+def counted(d: DataFrame, store: TableStore, p: DisclosureParams = DISCLOSURE) -> tuple[DataFrame, DataFrame]:
+    """Pathways by all margins and in total, written once: small tables that several outputs read."""
+    return (store.table("pathway_margins", pathway_by_margins(d, p), repr(p)),
+            store.table("pathway_totals", pathway_totals(d, p), repr(p)))
+
+
+def protected(d: DataFrame, store: TableStore, p: DisclosureParams = DISCLOSURE) -> DataFrame:
+    """``complementary`` over all margins and race flags: which counts to blank, and why."""
+    margins, totals = counted(d, store, p)
+    key = ["group", "margin", "value", "pathway", "students"]
+    race = pathway_by_race(d, p).select("group", F.lit("race_flag").alias("margin"), F.col("race_flag").alias("value"),
+                                        "pathway", "students")
+    cells = store.table("pathway_cells", margins.select(key).unionByName(race), repr(p))
+    return store.table("hidden", complementary(cells, totals.select("group", "pathway", "students"), p.min_cell), repr(p))
+
+
+def _marked(df: DataFrame, hidden: DataFrame, keys: list[str]) -> DataFrame:
+    """``hide_row`` where the row's keys are among those hidden."""
+    return df.join(hidden.select(*keys).distinct().withColumn("hide_row", F.lit(True)), keys, "left")
+
+
+def tables(d: DataFrame, run_date: str, p: DisclosureParams = DISCLOSURE, store: TableStore | None = None) -> list[tuple]:
     """The published tables: (file stem, table, count columns, note)."""
     margin_files = (("entry_level", "03_pathway_by_entry_level"), ("cohort", "04_pathway_by_cohort"),
                     ("structure", "05_pathway_by_college_structure"), ("age_band", "06_pathway_by_age"),
                     ("gender", "07_pathway_by_gender"), ("goal", "08_pathway_by_goal"))
+    store = store or TableStore(d.sparkSession)
+    margins, totals = counted(d, store, p)
+    people, race, levels = composition(d), pathway_by_race(d, p), entry_levels(d, p)
+    terms, after, awards = terms_within_pathway(d, p), arrival_and_after(d, p), awards_by_family(d, p)
+    if p.complementary:
+        hidden = protected(d, store, p)
+        gone = hidden.where("hidden IS NOT NULL")
+        margins = _marked(margins, gone, ["group", "margin", "value", "pathway"])
+        race = _marked(race, gone.where("margin = 'race_flag'").withColumnRenamed("value", "race_flag"),
+                       ["group", "race_flag", "pathway"])
+        # further tables that show a total, or the sum of a row of which no cell is shown
+        over = gone.where("margin IS NULL")
+        totals, terms, after, awards = (_marked(t, over, ["group", "pathway"]) for t in (totals, terms, after, awards))
+        dark = hidden.where("margin IS NOT NULL").groupBy("group", "margin", "value").agg(
+            F.every(F.col("hidden").isNotNull()).alias("dark")).where("dark")
+        people = _marked(people, dark.where("margin = 'cohort'").withColumnRenamed("value", "cohort"), ["group", "cohort"])
+        level = F.regexp_replace("value", " below transfer$", "").alias("levels_below_transfer")
+        levels = _marked(levels, dark.where("margin = 'entry_level'").select("group", level), ["group", "levels_below_transfer"])
     one = ["students"]
     out = [("00_provenance", provenance(d, p).withColumn("generated", F.lit(run_date)), [], "run parameters"),
-           ("01_composition_by_group_and_cohort", composition(d), one,
-            "students by credit status and entry cohort")]
+           ("01_composition_by_group_and_cohort", people, one, "students by credit status and entry cohort")]
     for group in p.groups:
         tag = group.split()[0]
         pick = F.col("group") == group
-        out.append((f"02_pathway_totals_{tag}", pathway_totals(d, p).where(pick).drop("group"), one,
-                    f"pathway totals, {group}"))
-        out += [(f"{stem}_{tag}", pathway_by(d, MARGINS[m], m, p).where(pick).drop("group"), one,
-                 f"pathway by {m}") for m, stem in margin_files]
+        out.append((f"02_pathway_totals_{tag}", totals.where(pick).drop("group"), one, f"pathway totals, {group}"))
+        out += [(f"{stem}_{tag}", margins.where(pick & (F.col("margin") == m)).drop("group", "margin").withColumnRenamed(
+            "value", m), one, f"pathway by {m}") for m, stem in margin_files]
     return out + [
-        ("09_pathway_by_race_flag", pathway_by_race(d, p), one,
-         "race flags are not mutually exclusive"),
-        ("10_terms_within_pathway", terms_within_pathway(d, p), one,
-         f"ESL term counts, capped at {p.term_cap} or more"),
-        ("11_entry_level_distribution", entry_levels(d, p), one, "level at first ESL term"),
+        ("09_pathway_by_race_flag", race, one, "race flags are not mutually exclusive"),
+        ("10_terms_within_pathway", terms, one, f"ESL term counts, capped at {p.term_cap} or more"),
+        ("11_entry_level_distribution", levels, one, "level at first ESL term"),
         ("12_advancement_by_level_six_level_colleges", advancement_by_level(d, p),
          ["students_at_level", "returned_for_later_esl_term"],
          "a student is counted at every level they appear at; rows are not exclusive"),
-        ("13_arrival_and_what_followed", arrival_and_after(d, p), one,
-         "counts within each pathway"),
-        ("14_awards_by_top_code_family", awards_by_family(d, p), one,
-         "first award only")]
+        ("13_arrival_and_what_followed", after, one, "counts within each pathway"),
+        ("14_awards_by_top_code_family", awards, one, "first award only")]
 
 
-def publish_tables(flat: DataFrame, folder: str, run_date: str,
-                   p: DisclosureParams = DISCLOSURE) -> DataFrame:
+def publish_tables(flat: DataFrame, folder: str, run_date: str, p: DisclosureParams = DISCLOSURE,
+                   store: TableStore | None = None) -> DataFrame:
     """The whole disclosure job: classify once, then write every table and the manifest."""
-    d = classified(flat).persist()
-    try:
-        return publish(tables(d, run_date, p), flat, folder, run_date, p)
-    finally:
-        d.unpersist()
+    store = store or TableStore(flat.sparkSession)
+    keep = [*DISCLOSED, *fv.RACE_FLAG_LABELS]
+    d = store.table("classified", classified(flat).select(*keep), repr(p))
+    return publish(tables(d, run_date, p, store), flat, folder, run_date, p)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 # DDL of every raw table. Reads are always typed; nothing is inferred.
 RAW_SCHEMAS = {
@@ -84,9 +85,55 @@ def read_catalog_tables(spark: SparkSession, database: str) -> RawTables:
     return RawTables(**{n: spark.table(f"{database}.{WAREHOUSE_NAMES[n]}") for n in TABLE_NAMES})
 
 
-def read_csv(spark: SparkSession, path: str, columns: StructType) -> DataFrame:
-    """CSV with a header and a stated schema, so code-like text keeps its leading zeros."""
-    return spark.read.schema(columns).option("header", True).csv(path)
+BAD_VALUES = "bad_values"
+_ROW = "_row"
+
+
+def csv_header(spark: SparkSession, path: str) -> list[str]:
+    """Names in the first line of a CSV file, or of the first of several."""
+    first = spark.read.option("header", False).csv(path).first()
+    return [] if first is None else [n or "" for n in first]
+
+
+def read_csv(spark: SparkSession, path: str, columns: StructType, report_bad: bool = False) -> DataFrame:
+    """Columns of a CSV file by the names in its header, as the stated types.
+
+    Order and number of the file's columns do not matter: a column that the file lacks is null, a
+    further one is not read, and of columns of one name the first counts. Text stays text, so codes
+    keep their leading zeros. A value that is not of its type, or a line with too many or too few
+    fields, raises; with ``report_bad`` it is null and listed in ``bad_values``, an array of
+    (column, value) that is empty in a good row; a line is listed whole, under ``_row``. Files of
+    one path whose headers differ raise.
+    """
+    header = csv_header(spark, path)
+    if not header:
+        none = spark.createDataFrame([], columns)
+        empty = F.lit(None).cast("array<struct<column: string, value: string>>")
+        return none.withColumn(BAD_VALUES, empty) if report_bad else none
+    single = len(set(header)) == len(header)
+    names = header if single else [f"c{i}" for i in range(len(header))]  # the engine knows no doubled names
+    text = StructType([StructField(n, StringType()) for n in [*names, _ROW]])
+    rows = (spark.read.schema(text).option("header", True).option("enforceSchema", not single)
+            .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _ROW).csv(path))
+    at = {n: names[i] for i, n in reversed(list(enumerate(header)))}
+    raw = lambda f: F.col(f"`{at[f.name]}`") if f.name in at else F.lit(None).cast("string")
+    bad, typed = [], []
+    for f in columns.fields:
+        value = raw(f).try_cast(f.dataType)
+        wrong = raw(f).isNotNull() & value.isNull()
+        report = F.struct(F.lit(f.name).alias("column"), raw(f).alias("value"))
+        if not isinstance(f.dataType, StringType):
+            bad.append(F.when(wrong, report))
+            if not report_bad:
+                value = F.when(wrong, F.raise_error(F.concat(F.lit(f"{f.name} of {path} is not {f.dataType.simpleString()}: "),
+                                                             raw(f)))).otherwise(value)
+        typed.append(value.cast(f.dataType).alias(f.name))
+    line = F.col(_ROW)
+    if not report_bad:
+        intact = F.when(line.isNotNull(), F.raise_error(F.concat(F.lit(f"a line of {path} is broken: "), line)))
+        return rows.where(intact.cast("boolean").isNull()).select(*typed)
+    broken = F.when(line.isNotNull(), F.struct(F.lit(_ROW).alias("column"), line.alias("value")))
+    return rows.select(*typed, F.filter(F.array(broken, *bad), lambda b: b.isNotNull()).alias(BAD_VALUES))
 
 
 def require_columns(df: DataFrame, names) -> DataFrame:
