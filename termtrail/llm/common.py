@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LOWEST = -(1 << 63)
-BATCH_ROWS = 1000
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 _shipped: set[str] = set()
@@ -24,8 +25,9 @@ def ship(spark: SparkSession) -> None:
     Texts are long: the session's default of 10,000 rows would hold a batch of tens of megabytes
     several times over in each task.
     """
-    if int(spark.conf.get(_BATCH)) > BATCH_ROWS:
+    if not 0 < int(spark.conf.get(_BATCH)) <= BATCH_ROWS:
         spark.conf.set(_BATCH, BATCH_ROWS)
+    spark.conf.set(_BYTES, BATCH_BYTES)
     context = spark.sparkContext
     if context.applicationId not in _shipped:
         root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))

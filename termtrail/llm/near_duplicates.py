@@ -126,19 +126,15 @@ def _features(size: int):
             for part in _parts(batch, 1):
                 sets, at = shingle_sets(part.column(1), size)
                 n = np.diff(at)
-                full = np.flatnonzero(n)
+                a, b, full = _class_keys(sets, at)
                 bands = np.empty(len(n), dtype=object)
                 sketch = np.empty(len(n), dtype=object)
-                a, b = np.zeros(len(n), dtype=np.uint64), np.zeros(len(n), dtype=np.uint64)
                 if len(full):
-                    starts = np.append(at[:-1][full], at[-1])
-                    keys, folded = signatures(sets, starts)
-                    a[full] = np.add.reduceat(words.mix(sets), starts[:-1])
-                    b[full] = np.add.reduceat(words.mix(sets ^ words.U(0x1F83D9ABFB41BD6B)), starts[:-1])
+                    keys, folded = signatures(sets, np.append(at[:-1][full], at[-1]))
                     for j, i in enumerate(full):
                         bands[i], sketch[i] = keys[j].tobytes(), folded[j].tobytes()
                 yield pa.record_batch([
-                    part.column(0), pa.array(n), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)),
+                    part.column(0), pa.array(n), pa.array(a), pa.array(b),
                     pa.array(bands, pa.binary()), pa.array(sketch, pa.binary())],
                     ["id", "n", "set_a", "set_b", "bands", "sketch"])
     return run
@@ -155,13 +151,26 @@ def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array(np.repeat(ids, BANDS))], ["band", "key", "rep"])
 
 
+def _class_keys(sets: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two 64-bit keys of each set, and the rows with a set that is not empty."""
+    full = np.flatnonzero(np.diff(at))
+    a, b = np.zeros(len(at) - 1, dtype=np.uint64), np.zeros(len(at) - 1, dtype=np.uint64)
+    if len(full):
+        starts = at[:-1][full]
+        a[full] = np.add.reduceat(words.mix(sets), starts)
+        b[full] = np.add.reduceat(words.mix(sets ^ words.U(0x1F83D9ABFB41BD6B)), starts)
+    return a.view(np.int64), b.view(np.int64), full
+
+
 def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _parts(batch, 1):
-                sets, at = shingle_sets(part.column(1), size)
-                yield pa.record_batch([part.column(0), pa.array([sets[x:y].tobytes() for x, y in zip(at[:-1], at[1:], strict=True)],
-                                                                pa.binary())], ["rep", "shingles"])
+            for part in _parts(batch, 0):
+                sets, at = shingle_sets(part.column(0), size)
+                a, b, _ = _class_keys(sets, at)
+                raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [
+                    None, pa.py_buffer(np.ascontiguousarray(8 * at, dtype=np.int64)), pa.py_buffer(sets)])
+                yield pa.record_batch([pa.array(a), pa.array(b), raw.cast(pa.binary())], ["set_a", "set_b", "shingles"])
     return run
 
 
@@ -175,15 +184,29 @@ def _sketched(percent: int):
     return run
 
 
+def _blobs(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of a binary column as they lie in its buffer, and the offsets of its rows."""
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, dtype=np.int64, count=len(column) + 1, offset=8 * column.offset)
+    return np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, np.uint8), at
+
+
 def _confirmed(percent: int):
+    """Pairs whose full sets are similar enough; sets are read in place, one pair at a time."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            if not batch.num_rows:
+                continue
+            (x, at_x), (y, at_y) = _blobs(batch.column("x")), _blobs(batch.column("y"))
+            ok = np.zeros(batch.num_rows, dtype=bool)
+            for i in range(batch.num_rows):
+                a, b = x[at_x[i]:at_x[i + 1]].view(np.uint64), y[at_y[i]:at_y[i + 1]].view(np.uint64)
+                if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+                    continue
+                both = len(a) + len(b) - len(np.union1d(a, b))
+                ok[i] = 100 * both >= percent * (len(a) + len(b) - both)
+            yield batch.select(["a", "b"]).filter(pa.array(ok))
     return run
 
 
@@ -235,20 +258,23 @@ def _across(percent: int):
 def links(features: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Enough confirmed links ``(a, b)`` between classes to connect all that are linked.
 
-    ``features`` has one row for each class, ``docs`` the texts as ``(id, text)``, any row of a class.
+    ``features`` has one row ``(node, id, n, set_a, set_b, bands, sketch)`` for each class, with the
+    id of one of its documents; ``docs`` has the texts as ``(id, text)``.
+
+    The centre of a bucket is its member of smallest node: near copies that meet in many bands meet
+    the same centre in most of them, so a pair is sketched and confirmed once.
     """
-    ids = features.select("id", "bands")
-    members = ids.mapInArrow(words.tidy(_band_rows), "band int, key bigint, rep bigint")
+    members = features.select("node", "bands").mapInArrow(words.tidy(_band_rows), "band int, key bigint, rep bigint")
     buckets = common.stored(
-        members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("m"),
-                                           F.min_by("rep", F.xxhash64("rep", "band")).alias("centre"))
-        .where("m > 1"), "buckets")
+        members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("m"), F.min("rep").alias("centre")).where("m > 1"), "buckets")
     members = common.stored(members.join(buckets, ["band", "key"]), "members")
-    active = common.stored(members.select(F.col("rep").alias("id")).distinct(), "active")
-    known = common.stored(features.join(active, "id", "left_semi")
-                          .select(F.col("id").alias("rep"), "n", "bands", "sketch").dropDuplicates(["rep"]), "known")
-    texts = docs.join(active, "id", "left_semi").dropDuplicates(["id"])
-    sets = common.stored(texts.mapInArrow(words.tidy(_sets(size)), "rep bigint, shingles binary"), "sets")
+    active = common.stored(members.select("rep").distinct(), "active")
+    known = common.stored(features.withColumnRenamed("node", "rep").join(active, "rep", "left_semi"), "known")
+    texts = docs.join(known.select("id").distinct(), "id", "left_semi").select("text")
+    keyed = texts.mapInArrow(words.tidy(_sets(size)), "set_a bigint, set_b bigint, shingles binary")
+    sets = common.stored(keyed.join(known.select("rep", "set_a", "set_b"), ["set_a", "set_b"]).select("rep", "shingles"), "sets")
+    if not sets.groupBy("rep").count().where("count > 1").isEmpty():  # rows that are equal, or equal but for order
+        sets = common.stored(sets.dropDuplicates(["rep"]), "single")
 
     def confirm(pairs: DataFrame) -> DataFrame:
         full = pairs.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x")), "a") \
@@ -285,17 +311,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Documents whose sets of ``shingle``-word shingles have ``100 * both >= percent * either`` are
     linked; ``component_id`` is the smallest id reachable over links, ``kept`` marks that document.
     Null and empty texts have no shingles and are linked with nothing. Rows of equal id are one
-    document: equal ones get equal results, different ones are joined through the id. A row without an id is linked with nothing, has no component and is kept. An empty
-    table gives no row. Further columns are not read.
+    document: equal ones get equal results, different texts are each compared and then joined
+    through the id (one without words stays alone). A row without an id is linked with nothing, has
+    no component and is kept. An empty table gives no row. Further columns are not read.
     """
+    common.ship(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    features = common.stored(docs.mapInArrow(words.tidy(_features(shingle)), _FEATURES), "features")
+    features = common.stored(docs.mapInArrow(words.tidy(_features(shingle)), _FEATURES)
+                             .withColumn("row", F.monotonically_increasing_id()), "features")
     full = features.where("n > 0 AND id IS NOT NULL")
-    classes = common.stored(full.groupBy("set_a", "set_b").agg(F.min("id").alias("rep")), "classes")
-    own = full.join(classes, ["set_a", "set_b"]).where("id = rep").dropDuplicates(["set_a", "set_b"])
-    found = links(own.select("id", "n", "bands", "sketch"), docs, shingle, percent)
-    labels = common.components(found).withColumnRenamed("node", "rep")
-    of_class = classes.join(labels, "rep", "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component_id"))
+    # a class is named by one of its rows, for ids may stand for several texts
+    classes = common.stored(full.groupBy("set_a", "set_b").agg(F.min("id").alias("least"), F.min("row").alias("node")), "classes")
+    own = features.join(classes.select(F.col("node").alias("row")), "row", "left_semi").withColumnRenamed("row", "node")
+    found = links(own, docs, shingle, percent)
+    found = common.components(found.unionAll(_of_one_id(full, classes))).withColumnRenamed("component", "top")
+    placed = classes.join(found, "node", "left").withColumn("top", F.coalesce("top", "node"))
+    least = placed.groupBy("top").agg(F.min("least").alias("component_id"))
+    of_class = placed.join(least, "top").select("set_a", "set_b", "component_id")
     rows = features.select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("set_a")).alias("set_a"), "set_b")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
     return rows.join(of_class, ["set_a", "set_b"], "left").select(
@@ -303,5 +335,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
+def _of_one_id(full: DataFrame, classes: DataFrame) -> DataFrame:
+    """Edges between the classes of ids that stand for several texts."""
+    several = full.groupBy("id").agg(F.min("set_a").alias("a1"), F.max("set_a").alias("a2"), F.min("set_b").alias("b1"),
+                                     F.max("set_b").alias("b2")).where("a1 <> a2 OR b1 <> b2").select("id")
+    nodes = full.join(several, "id").join(classes, ["set_a", "set_b"]).select("id", "node")
+    first = nodes.groupBy("id").agg(F.min("node").alias("a"))
+    return nodes.join(first, "id").where("a <> node").select("a", F.col("node").alias("b"))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -99,3 +99,54 @@ def test_missing_ids_repeated_rows_and_empty_table(spark):
     got = sorted(map(tuple, nd.near_duplicates(docs).collect()), key=str)
     assert got == sorted([(None, 6, None, True), (4, 6, 4, True), (4, 6, 4, True), (2, 6, 2, True), (9, 6, 4, False)], key=str)
     assert nd.near_duplicates(docs.limit(0)).count() == 0
+
+
+def plain_rows(rows, size):
+    """As ``plain``, for rows of which several may have one id: texts compared one by one, ids join."""
+    sets = [frozenset(shingles(t, size)) for _, t in rows]
+    up = list(range(len(rows)))
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if rows[i][0] is None or rows[j][0] is None or not sets[i] or not sets[j]:
+                continue
+            if rows[i][0] == rows[j][0] or 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = sorted((top(i), top(j)))
+                up[b] = a
+    least = {}
+    for i, (doc_id, _) in enumerate(rows):
+        if doc_id is not None and sets[i]:
+            least[top(i)] = min(doc_id, least.get(top(i), doc_id))
+    out = []
+    for i, (doc_id, _) in enumerate(rows):
+        component = None if doc_id is None else least.get(top(i), doc_id) if sets[i] else doc_id
+        out.append((doc_id, len(sets[i]), component, doc_id is None or doc_id == component))
+    return sorted(out, key=repr)
+
+
+def test_several_texts_of_one_id(spark):
+    rnd = random.Random(11)
+    word = lambda: f"w{rnd.randrange(4000)}"
+    base = [[word() for _ in range(60)] for _ in range(12)]
+    near = lambda w: [*w[:-3], word(), word(), word()]
+    rows = [(1, base[0]), (5, base[1]), (5, [*base[0], word()]), (7, [*base[1], word()])]
+    rows += [(rnd.randrange(20, 60), near(rnd.choice(base))) for _ in range(60)]
+    rows = [(i, " ".join(w)) for i, w in rows] + [(5, ""), (5, None), (7, " ".join(base[1])), (7, " ".join(base[1])), (None, " ".join(base[0])),
+                                                   (80, "one"), (81, "ONE"), (81, "one two")]
+    docs = spark.createDataFrame([(i, t, 0, 0) for i, t in rows], SCHEMA).repartition(4)
+    got = sorted((tuple(r) for r in nd.near_duplicates(docs).collect()), key=repr)
+    assert got == plain_rows(rows, 2)
+    assert (7, 59, 1, False) in got
+
+
+def test_very_long_text_and_its_near_copy(spark):
+    rnd = random.Random(12)
+    long = [f"w{rnd.randrange(10 ** 6)}" for _ in range(150_000)]
+    rows = [(1, " ".join(long)), (2, " ".join([*long[:-900], "cut"])), (3, " ".join(long[:75_000])), (4, "short text")]
+    got = {r.doc_id: r.component_id for r in nd.near_duplicates(spark.createDataFrame([(i, t, 0, 0) for i, t in rows], SCHEMA)).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4}
