@@ -17,7 +17,8 @@ from __future__ import annotations
 
 import base64
 import functools
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import public_tokenizers
@@ -108,12 +109,15 @@ class Vocabulary:
         self.single = [self.ranks.get(bytes([b]), -1) for b in range(256)]
         if min(self.single) < 0:
             raise ValueError(f"{path} lacks some single bytes")
-        self.pairs: dict[int, int] = {}
+        # rank of a pair, by its left token and then its right one, and the other way about
+        self.by_left: dict[int, dict[int, int]] = {}
+        self.by_right: dict[int, dict[int, int]] = {}
         for token, rank in self.ranks.items():
             for cut in range(1, len(token)):
                 left, right = self.ranks.get(token[:cut]), self.ranks.get(token[cut:])
                 if left is not None and right is not None:
-                    self.pairs[left * self.size + right] = rank
+                    self.by_left.setdefault(left, {})[right] = rank
+                    self.by_right.setdefault(right, {})[left] = rank
         self._single = np.array(self.single, dtype=np.int64)
         self._pair = np.full((256, 256), -1, dtype=np.int64)
         for token, rank in self.ranks.items():
@@ -122,7 +126,7 @@ class Vocabulary:
 
     def merge(self, pieces: list[bytes]) -> list[bytes]:
         """Ids of each piece, as little-endian unsigned 32-bit integers; pieces are not empty."""
-        size, pairs, border = self.size, self.pairs, -1
+        border = -1  # an id that no pair has
         data = np.frombuffer(b"".join(pieces), dtype=np.uint8)
         ends = np.cumsum([len(p) for p in pieces])
         n = len(data)
@@ -135,7 +139,7 @@ class Vocabulary:
         if n > 1:
             beside = np.diff(place) == 1
             rank[place[:-1][beside]] = self._pair[data[:-1], data[1:]][beside]
-        queue = RankQueue(size)
+        queue = RankQueue(self.size)
         starts = np.flatnonzero(rank >= 0)
         starts = starts[np.argsort(rank[starts], kind="stable")]
         if len(starts):
@@ -143,41 +147,50 @@ class Vocabulary:
             for r, bucket in zip(rank[starts[first]].tolist(), np.split(starts, first[1:]), strict=True):
                 queue.fill(r, bucket.tolist())
         node, best = own.tolist(), rank.tolist()  # id of each node, rank of the pair that starts there
+        # the last node is a border, so no merge runs over the end, and -1 before the first means a border too
         after, ahead = list(range(1, total + 1)), list(range(-1, total - 1))
-        find, push = pairs.get, queue.push
+        buckets, fill = queue.buckets, queue.fill
+        nothing: dict[int, int] = {}
         while (taken := queue.pop()) is not None:
             lowest, bucket = taken
             bucket.sort()
+            to_right, to_left = self.by_left.get(lowest, nothing).get, self.by_right.get(lowest, nothing).get
             for i, at in enumerate(bucket):
                 if best[at] != lowest:  # stale: merged away or changed
                     continue
-                gone = after[at]
+                gone, left = after[at], ahead[at]
                 right = after[gone]
-                left = ahead[at]
-                node[at] = lowest
-                best[gone] = -1
-                node[gone] = -2
-                after[at] = right
-                back = False
-                best[at] = -1
-                if right < total:
-                    ahead[right] = at
-                    if node[right] >= 0 and (r := find(lowest * size + node[right])) is not None:
-                        best[at] = r
-                        push(r, at)
-                        back = r < lowest
-                if left >= 0 and node[left] >= 0:
-                    r = find(node[left] * size + lowest)
-                    if r is None:
-                        best[left] = -1
+                node[at], node[gone], best[gone] = lowest, -2, -1
+                after[at], ahead[right] = right, at
+                least = lowest
+                r = to_right(node[right])
+                if r is None:
+                    best[at] = -1
+                else:
+                    best[at] = r
+                    held = buckets.get(r)
+                    if held is None:
+                        fill(r, [at])
                     else:
-                        best[left] = r
-                        push(r, left)
-                        back = back or r < lowest
-                if back:
+                        held.append(at)
+                    if r < least:
+                        least = r
+                r = to_left(node[left])
+                if r is None:
+                    best[left] = -1
+                else:
+                    best[left] = r
+                    held = buckets.get(r)
+                    if held is None:
+                        fill(r, [left])
+                    else:
+                        held.append(left)
+                    if r < least:
+                        least = r
+                if least < lowest:  # a lower rank came up: the rest of the bucket waits
                     rest = bucket[i + 1:]
                     if rest:
-                        queue.fill(lowest, rest)
+                        fill(lowest, rest)
                     break
         ids = np.array(node, dtype=np.int64)
         alive = ids[ids != -2]
@@ -187,21 +200,57 @@ class Vocabulary:
         return [raw[4 * b:4 * e] for b, e in zip(begin.tolist(), borders.tolist(), strict=True)]
 
 
+def _spans(found: list[str]) -> str:
+    """Characters in ascending order as the inside of a character class."""
+    points = np.array([ord(c) for c in found])
+    cut = np.flatnonzero(np.diff(points) > 1)
+    return "".join(rf"\U{a:08x}-\U{b:08x}" for a, b in zip(
+        points[np.concatenate(([0], cut + 1))], points[np.concatenate((cut, [len(points) - 1]))], strict=True))
+
+
+def _spelled(pattern: str, characters: str) -> str:
+    """A pattern with letters, numbers and white space as ranges of these characters, as in Unicode 16."""
+    inside = {c: _spans(regex.findall(rf"[{c}--[{NEWER}]]", characters, regex.V1)) for c in (r"\p{L}", r"\p{N}", r"\s")}
+    out, depth = [], 0
+    for token in re.findall(r"\\p\{\w+\}|\\.|.", pattern, re.DOTALL):
+        depth += (token == "[") - (token == "]")
+        if token in inside:
+            token = inside[token] if depth else f"[{inside[token]}]"
+        elif token == r"\S" and not depth:
+            token = f"[^{inside[r'\s']}]"
+        out.append(token)
+    return "".join(out)
+
+
+@functools.lru_cache(maxsize=4)
+def splitter(pattern: str) -> Callable[[str], list[str]]:
+    """``findall`` of a pattern, with letters, numbers and white space as in Unicode 16.
+
+    The standard library's engine is the faster one where classes are short or lie in the basic
+    plane, so texts of ASCII and of that plane have their own spelling of the pattern. All others,
+    and patterns of further classes, are left to the engine that knows the classes by name.
+    """
+    named = pattern.replace(r"\p{L}", rf"[\p{{L}}--[{NEWER}]]").replace(r"\p{N}", rf"[\p{{N}}--[{NEWER}]]")
+    whole = regex.compile(named, regex.V1).findall
+    if r"\p" in re.sub(r"\\p\{[LN]\}", "", pattern).lower():
+        return whole
+    ascii_only = re.compile(_spelled(pattern, "".join(map(chr, range(128))))).findall
+    basic = re.compile(_spelled(pattern, "".join(map(chr, [*range(0xD800), *range(0xE000, 0x10000)])))).findall
+    beyond = re.compile("[\U00010000-\U0010ffff]").search
+
+    def cut(text: str) -> list[str]:
+        return (ascii_only if text.isascii() else whole if beyond(text) else basic)(text)
+    return cut
+
+
 class Coder:
     """Encodes and decodes whole texts; keeps the ids of pre-tokens it has met, up to ``_KNOWN``."""
 
     def __init__(self, path: str, pattern: str):
         self.vocabulary = Vocabulary(path)
-        self._cut = regex.compile(pattern).findall
-        older = pattern.replace(r"\p{L}", rf"[\p{{L}}--[{NEWER}]]").replace(r"\p{N}", rf"[\p{{N}}--[{NEWER}]]")
-        self._cut_newer = regex.compile(older, regex.V1).findall
-        self._newer = regex.compile(f"[{NEWER}]").search
+        self.cut = splitter(pattern)
         self.known: dict[str, bytes] = {}
 
-    def cut(self, text: str) -> list[str]:
-        """Pre-tokens of a text, by the character classes of Unicode 16."""
-        return (self._cut if text.isascii() or not self._newer(text) else self._cut_newer)(text)
-
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as little-endian unsigned 32-bit integers."""
         found = [self.cut(t) for t in texts]

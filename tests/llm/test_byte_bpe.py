@@ -53,6 +53,14 @@ def test_characters_of_every_range(library):
         assert numbers(raw) == library.encode_ordinary(text), text
 
 
+def test_splits_of_other_patterns():
+    text = "It's 12 à\u2028 x\U00010400\U00016ea0 \u0558y\x1c\x85z"
+    for pattern in (r"\s+|\S+", r"[\p{L}\p{N}]+|[^\p{L}\p{N}]", r"\p{Lu}|\p{L}+|."):
+        plain = bb.regex.compile(pattern.replace(r"\p{L}", rf"[\p{{L}}--[{bb.NEWER}]]"), bb.regex.V1)
+        for part in (text, text[:7], text[:12]):
+            assert bb.splitter(pattern)(part) == plain.findall(part)
+
+
 def test_merges_of_random_ranks():
     """Vocabularies in which a merge may bring up a lower rank than its own."""
     rnd = random.Random(3)
@@ -62,8 +70,13 @@ def test_merges_of_random_ranks():
         order = [bytes([b]) for b in range(256)] + rnd.sample(sorted(tokens), len(tokens))
         vocabulary.ranks = {t: i for i, t in enumerate(order)}
         vocabulary.size = len(order)
-        vocabulary.pairs = {vocabulary.ranks[t[:c]] * len(order) + vocabulary.ranks[t[c:]]: r for t, r in vocabulary.ranks.items()
-                            for c in range(1, len(t)) if t[:c] in vocabulary.ranks and t[c:] in vocabulary.ranks}
+        vocabulary.by_left, vocabulary.by_right = {}, {}
+        for t, r in vocabulary.ranks.items():
+            for c in range(1, len(t)):
+                if t[:c] in vocabulary.ranks and t[c:] in vocabulary.ranks:
+                    a, b = vocabulary.ranks[t[:c]], vocabulary.ranks[t[c:]]
+                    vocabulary.by_left.setdefault(a, {})[b] = r
+                    vocabulary.by_right.setdefault(b, {})[a] = r
         vocabulary._single = np.arange(256)
         vocabulary._pair = np.full((256, 256), -1)
         for t, r in vocabulary.ranks.items():
