@@ -165,3 +165,9 @@ QUERIES = {
       SELECT count(*) AS total_students, sum(six::INT)::BIGINT AS six_terms, sum(twelve::INT)::BIGINT AS twelve_terms,
              sum(k::INT)::BIGINT AS started_credit, sum(n::INT)::BIGINT AS started_noncredit FROM e_flags""",
 }
+
+QUERIES["summary_card_pruned"] = QUERIES["summary_card"]
+QUERIES["refresh"] = " UNION ALL ".join(
+    f"SELECT '{measure}' AS measure, {value} AS value, students FROM ({QUERIES[key]})" for measure, value, key in (
+        ("gender", "value", "field_counts_gender"), ("hispanic", "value", "field_counts_hispanic"), ("age", "value", "age_buckets"),
+        ("race", "race", "race_flag_counts"), ("campus", "value", "top_campuses"), ("level", "x_val || '/' || y_val", "level_heatmap")))

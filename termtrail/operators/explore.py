@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from termtrail import fixed_values as fv
@@ -21,10 +21,36 @@ LEVEL_DOMAIN = (1, 8)
 
 # --- filters and options ---------------------------------------------------
 def in_years(df: DataFrame, years: Sequence[str] | None) -> DataFrame:
-    """Rows whose first term starts with one of the two-digit years; no years keeps all."""
+    """Rows whose first term starts with one of the two-digit years; no years keeps all.
+
+    A table written by ``with_start_year`` is filtered by that column, so only the partitions of
+    these years are read.
+    """
     if not years:
         return df
-    return df.where(F.left(F.col("sample_first_term").cast("string"), F.lit(2)).isin(*years))
+    return df.where(start_year(df).isin(*years))
+
+
+START_YEAR = "start_year"
+
+
+def start_year(df: DataFrame) -> Column:
+    if START_YEAR in df.columns:
+        return F.col(START_YEAR)
+    return F.left(F.col("sample_first_term").cast("string"), F.lit(2))
+
+
+def with_start_year(df: DataFrame) -> DataFrame:
+    """The exploration table with the column to partition its files by: two digits of the first term."""
+    return df.withColumn(START_YEAR, start_year(df))
+
+
+def in_listed_years(df: DataFrame, years: DataFrame) -> DataFrame:
+    """Rows whose starting year is a ``value`` of another table, such as ``starting_years``.
+
+    Over a partitioned table the list prunes partitions at run time.
+    """
+    return df.join(years.select(F.col("value").alias("_year")).distinct(), start_year(df) == F.col("_year"), "left_semi")
 
 
 def where_equal(df: DataFrame, **values: str | None) -> DataFrame:
@@ -295,13 +321,45 @@ def cohort_summary(df: DataFrame) -> DataFrame:
         F.count_if(recode.truthy(F.col(c))).alias(n) for c, n in flags.items() if c in df.columns])
 
 
+def refresh(df: DataFrame, years: Sequence[str] | None = None, heat_x: str = "first_level",
+            heat_y: str = "highest_level", campuses: int = 10) -> DataFrame:
+    """All distributions of a dashboard refresh in long form (measure, value, students), from one scan.
+
+    Each row is stacked as its (measure, value) pairs, which are counted before anything is shuffled.
+    Values of a fixed domain that no row has come out as 0, campuses as the most frequent ones, the
+    level grid as ``x/y``.
+    """
+    coded = lambda column, labels: recode.label_map(recode.cleaned(F.col(column)), labels, fv.UNKNOWN)
+    x, y = recode.safe_integer(F.col(heat_x)), recode.safe_integer(F.col(heat_y))
+    low, high = LEVEL_DOMAIN
+    levels = range(low, high + 1)
+    campus = recode.text_or(F.col("main_campus_name"), fv.UNKNOWN)
+    values = [("gender", coded("gender", fv.DASHBOARD_GENDER)), ("hispanic", coded("hispanic_non_hispanic", fv.DASHBOARD_HISPANIC)),
+              ("age", recode.age_bucket(F.col("age_at_first_term"))), ("campus", campus),
+              ("level", F.when(x.between(low, high) & y.between(low, high), F.concat_ws("/", x, y)))]
+    races = [label for c, label in fv.DASHBOARD_RACES.items() if c in df.columns]
+    values += [("race", F.when(recode.truthy(F.col(c)), label)) for c, label in fv.DASHBOARD_RACES.items() if c in df.columns]
+    domains = {"gender": [*fv.DASHBOARD_GENDER.values(), fv.UNKNOWN], "hispanic": [*fv.DASHBOARD_HISPANIC.values(), fv.UNKNOWN],
+               "age": [label for label, _, _ in fv.DASHBOARD_AGES], "race": races, "level": [f"{a}/{b}" for a in levels for b in levels]}
+    pair = lambda measure, value: F.struct(F.lit(measure).alias("measure"), value.cast("string").alias("value"))
+    stacked = in_years(df, years).select(F.inline(F.array(*[pair(m, v) for m, v in values]))).where("value IS NOT NULL")
+    counts = stacked.groupBy("measure", "value").agg(F.count("*").alias("n"))
+    known = _single(df.sparkSession).select(F.inline(F.array(*[
+        pair(m, F.lit(v)) for m, names in domains.items() for v in dict.fromkeys(names)])))
+    both = counts.join(known.withColumn("fixed", F.lit(True)), ["measure", "value"], "full")
+    place = F.row_number().over(Window.partitionBy("measure").orderBy(F.desc_nulls_last("n"), "value"))
+    kept = (F.col("measure") != "campus") & F.col("fixed") | (F.col("measure") == "campus") & (place <= campuses)
+    return both.withColumn("kept", F.coalesce(kept, F.lit(False))).where("kept").select(
+        "measure", "value", F.coalesce("n", F.lit(0)).alias("students"))
+
+
 def profile(df: DataFrame, years: Sequence[str] | None = None, x: str | None = None,
             y: str | None = None, heat_x: str = "first_level") -> dict[str, DataFrame]:
     """Everything one dashboard refresh shows, over one filtered input.
 
-    ``input`` is that input, cached: unpersist it after the refresh.
+    Each table is a query of its own; ``refresh`` has all distributions from one scan.
     """
-    kept = in_years(df, years).cache()
+    kept = in_years(df, years)
     out = {"input": kept, "gender": gender_counts(kept), "hispanic": hispanic_counts(kept),
            "race": race_flag_counts(kept), "age": age_bucket_counts(kept),
            "campus": top_campuses(kept), "heatmap": level_heatmap(kept, heat_x),

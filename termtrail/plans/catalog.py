@@ -166,9 +166,14 @@ def _parts(j: Journey) -> DataFrame:
     """Fingerprints by starting cohort: their rows, and whether the parts add up to the whole."""
     flat = j.stored.flat_file
     parts = sinks.part_fingerprints(flat, F.coalesce("first_academic_year", F.lit("none")))
-    whole = sinks.merged(parts).crossJoin(sinks.fingerprint(flat).toDF("whole_hash", "whole_rows"))
-    sound = whole.select((F.col("content_hash") == F.col("whole_hash")) & (F.col("source_rows") == F.col("whole_rows")))
-    return parts.select("part", "source_rows", sound.scalar().alias("adds_up"))
+    text = lambda whole: whole.select(F.concat_ws("/", "content_hash", "source_rows")).scalar()
+    return parts.select("part", "source_rows", (text(sinks.merged(parts)) == text(sinks.fingerprint(flat))).alias("adds_up"))
+
+
+def _by_year(j: Journey) -> DataFrame:
+    """The exploration table, written by starting year."""
+    people = explore.with_start_year(dashboard_people(j.stored.wide))
+    return sinks.write_partitioned(people, j.store.path("people_by_year"), explore.START_YEAR)
 
 
 def _protected(j: Journey) -> DataFrame:
@@ -281,6 +286,8 @@ def queries() -> dict[str, Query]:
         "summary_card": _people(lambda d: explore.summary_card(explore.in_years(
             d, ["17", "18", "19", "20"]))),
         "summary_card_all_years": _people(explore.summary_card),
+        "summary_card_pruned": _layer(lambda j: explore.summary_card(explore.in_years(_by_year(j), ["17", "18", "19", "20"]))),
+        "refresh": _people(explore.refresh),
         "starting_years": _people(explore.starting_years),
         "level_heatmap": _people(explore.level_heatmap),
         "crosstab_top12": _people(lambda d: explore.crosstab_top(

@@ -44,6 +44,15 @@ def write_model(df: DataFrame, name: str, materialized: str = "table", by: str |
     return df.sparkSession.table(name)
 
 
+def write_partitioned(df: DataFrame, path: str, by: str) -> DataFrame:
+    """Parquet files in one folder for each value of a column; returns how they read.
+
+    Each task writes its rows of a value, so a value with most rows is many files.
+    """
+    df.write.mode("overwrite").partitionBy(by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _content(df: DataFrame) -> list:
     """Two sums of row hashes, and the rows; sums of parts add up to that of the whole.
 

@@ -102,3 +102,43 @@ def test_field_rows(spark):
     df = spark.createDataFrame([(1, "x", None), (2, None, None)], "doc_id long, first_name string, uuid string")
     got = [tuple(r) for r in explore.field_rows(df, ("uuid",)).collect()]
     assert got == [(0, "doc_id", "bigint", "Doc Id", 2), (1, "first_name", "string", "First Name", 1)]
+
+
+def test_years_prune_partitions(spark, tmp_path):
+    people = spark.range(400).selectExpr("CAST(id AS string) AS who", "CASE WHEN id % 50 = 49 THEN NULL ELSE "
+                                         "CAST(170 + 10 * (id % 5) + id % 3 AS string) END AS sample_first_term")
+    path = f"{tmp_path}/people"
+    table = sinks.write_partitioned(explore.with_start_year(people), path, explore.START_YEAR)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    chosen = explore.in_years(table, ["17", "19"])
+    scan = plan(chosen)
+    assert "PartitionFilters: [start_year" in scan and "PushedFilters: []" in scan
+    read = {r[0] for r in chosen.select(F.input_file_name()).distinct().collect()}
+    assert {f.split("start_year=")[1][:2] for f in read} == {"17", "19"}
+    expected = explore.in_years(people, ["17", "19"])
+    assert sorted(r.who for r in chosen.collect()) == sorted(r.who for r in expected.collect())
+    listed = explore.starting_years(people).where("value IN ('18', '20')")
+    joined = explore.in_listed_years(table, listed)
+    assert "dynamicpruning" in plan(joined)
+    assert sorted(r.who for r in joined.collect()) == sorted(r.who for r in explore.in_years(people, ["18", "20"]).collect())
+    assert explore.in_years(table, []).count() == 400
+
+
+def test_refresh_is_one_scan_and_equals_the_single_tables(spark, tmp_path):
+    columns = ["gender", "hispanic_non_hispanic", "age_at_first_term", "main_campus_name", "first_level", "highest_level",
+               "sample_first_term", *fv.DASHBOARD_RACES]
+    letters = ["M", " f", "X", "", None, "Y", "N", "22", "61", "n/a", "3", "8", "9"]
+    rows = [tuple(letters[(i * (k + 3) + k) % len(letters)] for k in range(len(columns))) for i in range(200)]
+    people = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in columns))
+    people.write.parquet(f"{tmp_path}/people")
+    people = spark.read.parquet(f"{tmp_path}/people")
+    got = explore.refresh(people)
+    assert got._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    found = {(r.measure, r.value): r.students for r in got.collect()}
+    want = {}
+    for measure, table, value in (("gender", explore.gender_counts(people), "value"), ("age", explore.age_bucket_counts(people), "value"),
+                                  ("hispanic", explore.hispanic_counts(people), "value"), ("campus", explore.top_campuses(people), "value"),
+                                  ("race", explore.race_flag_counts(people), "race")):
+        want |= {(measure, r[value]): r.students for r in table.collect()}
+    want |= {("level", f"{r.x_val}/{r.y_val}"): r.students for r in explore.level_heatmap(people).collect()}
+    assert found == want and 0 in found.values()
