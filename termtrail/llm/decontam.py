@@ -161,7 +161,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     ``contaminated`` is ``n_hit > 0 and coverage * n_hit >= n_words``. ``clean_text`` lacks all hit
     passages. An item of fewer words than a window counts whole; one without words never occurs; a
     null item id is not named in ``items``, and equal ids are one item. Null texts have no words.
-    Columns of ``docs`` named in ``carry``, the text too, pass through; others are not read.
+    Repeated rows get equal results, an empty table gives no row, an empty benchmark hits nothing.
+    Columns of ``docs`` named in ``carry``, the text too, pass through; others are not read, and one
+    named like a result raises.
 
     The automaton is sent to all tasks, so its size is bounded: a benchmark of more than
     ``part_words`` words is dealt into parts by item, and the documents pass once for each part.

@@ -105,7 +105,8 @@ def fit(docs: DataFrame, known: DataFrame, label_col: str = "quality", id_col: s
         sample: int = SAMPLE) -> Model:
     """Ratios, hinge-loss weights and calibration from at most ``sample`` labelled rows of each label.
 
-    Every fifth row by hash is kept from the descent and calibrates the margins.
+    Every fifth row by hash is kept from the descent and calibrates the margins; of fewer than 50
+    rows all are used for both.
     """
     rows = labels.training_sample(docs, known, label_col, sample, id_col, text_col)
     got = (rows.select("text", "id", "label", "weight").mapInArrow(
@@ -136,7 +137,8 @@ def fit(docs: DataFrame, known: DataFrame, label_col: str = "quality", id_col: s
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, score)`` of every row; whole texts, no shuffle.
 
-    Null and empty texts have no n-gram and get the score of the bias alone. The model has a fixed
+    Null and empty texts have no n-gram and get the score of the bias alone. Repeated rows get equal
+    scores, an empty table gives no row, further columns are not read. The model has a fixed
     size (two numbers for each of ``3 * 2 ** BITS`` indicators) and is broadcast.
     """
     kind = docs.schema[id_col].dataType.simpleString()

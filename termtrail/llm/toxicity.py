@@ -107,7 +107,13 @@ def _gain_rows(toxic: bytes, ordinary: bytes):
 
 def fit(docs: DataFrame, known: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text",
         sample: int = SAMPLE) -> Model:
-    """Dictionaries and calibration from at most ``sample`` labelled rows of each label."""
+    """Dictionaries and calibration from at most ``sample`` labelled rows of each label.
+
+    A code is toxic if it is in at least ``LEAST_ROWS`` toxic rows (an eighth of them where they are
+    few, but two), and more standard deviations above chance than a bound that rises from 3.5 to 8 as
+    toxic rows go from none to 1,000: with few rows a code cannot reach more. Each dictionary takes
+    the ``TERMS`` foremost codes. These bounds belong to the fit; scoring knows none.
+    """
     rows = labels.training_sample(docs, known, label_col, sample, id_col, text_col)
     size = {r.label: r.n for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     n0, n1 = size.get(0, 0), size.get(1, 0)
@@ -135,7 +141,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
           carry: list[str] | None = None) -> DataFrame:
     """``(id, score)`` and the columns named in ``carry`` for every row; whole texts, no shuffle.
 
-    Null and empty texts get the score of a text without any gain. Columns not named are not read.
+    Null and empty texts get the score of a text without any gain. Repeated rows get equal scores, an
+    empty table gives no row. Columns not named are not read; one named ``score`` raises.
     """
     carried = [c for c in carry or [] if c != id_col]
     if "score" in (id_col, *carried):

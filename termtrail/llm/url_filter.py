@@ -117,7 +117,7 @@ def verdicts(pages: DataFrame, listed: DataFrame, id_col: str = "page_id", url_c
 
     The longest fitting rule decides. Where none fits, a url on the list is blocked and any other
     allowed. Null urls and urls without ``://`` have an empty host and path and are allowed.
-    Repeated rows are judged alike, further columns are not read.
+    Repeated rows are judged alike, an empty table gives no row, further columns are not read.
     """
     urls = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"))
     judged = on_list(urls, listed).select("id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"),
