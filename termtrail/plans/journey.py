@@ -160,9 +160,9 @@ def degree_expanded(course_info: DataFrame, raw: RawTables, p: StudyParams = STU
         F.col("sp02").alias("award_code"), "gi03", F.col("degree_date").alias("awarded_date"))
     titles = raw.topcodes.select(F.col("top6").alias("topcode"),
                                  F.col("top6title").alias("award_subject_title"))
-    titled = (awards.join(students.select("uuid"), "uuid", "left_semi").join(titles, "topcode")
-              .withColumn("copy", F.row_number().over(
-                  Window.partitionBy(*AWARD_KEY).orderBy(F.lit(1)))))
+    # ranks need a student's own awards only, so the student plan is met once, at the end
+    titled = awards.join(titles, "topcode").withColumn("copy", F.row_number().over(
+        Window.partitionBy(*AWARD_KEY).orderBy(F.lit(1))))
     by_date = Window.partitionBy("uuid").orderBy("awarded_date")
     ranks = (titled.select("uuid", "awarded_date").distinct()
              .withColumn("award_number", F.row_number().over(by_date)))

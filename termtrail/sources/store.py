@@ -10,14 +10,25 @@ by driver and executors alike. It is removed when the session ends.
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
+from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    return folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_tables"
+    """The cluster's shared folder: ``spark.checkpoint.dir``, or the context's checkpoint folder.
+
+    Where neither is set, the warehouse serves; on a cluster only if it is no folder of one machine.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder:
+        return folder
+    warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master) and urlsplit(warehouse).scheme in ("", "file"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return warehouse.rstrip("/") + "/_tables"
 
 
 class TableStore:
