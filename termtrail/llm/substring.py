@@ -25,6 +25,7 @@ from termtrail.llm import common, packs, words
 
 WINDOW = 20
 EXTRA_BITS = 34
+RANGE_HASHES = 1 << 18
 
 
 class _Anchors:
@@ -128,18 +129,44 @@ def _gathered(table: pa.Table) -> tuple[list[int], list[np.ndarray], np.ndarray]
     return table["batch"].to_pylist(), hashes, np.concatenate(([0], np.cumsum([len(x) for x in hashes])))
 
 
+def _ranges(hashes: list[np.ndarray], border: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Hashes of one range of values after another, and their places in the concatenation.
+
+    Each batch's hashes are sorted, so a range is a slice of each; sorting one range at a time keeps
+    the memory of a bucket near that of its hashes.
+    """
+    some = [x for x in hashes if len(x)]
+    if not some:
+        return
+    parts = -(-int(border[-1]) // RANGE_HASHES)
+    least, most = int(min(x[0] for x in some)), int(max(x[-1] for x in some))
+    cuts = np.array([least + (most - least) * k // parts for k in range(1, parts)], dtype=np.uint64)
+    edges = [np.concatenate(([0], np.searchsorted(x, cuts), [len(x)])) for x in hashes]
+    for k in range(parts):
+        values = np.concatenate([x[e[k]:e[k + 1]] for x, e in zip(hashes, edges, strict=True)])
+        places = np.concatenate([np.arange(b + e[k], b + e[k + 1]) for b, e in zip(border[:-1], edges, strict=True)])
+        if len(values):
+            yield values, places
+
+
 def _meet(key: tuple, table: pa.Table) -> pa.Table:
     """For one bucket: which hashes occur more than once, and which of those are reference blocks."""
     batches, hashes, border = _gathered(table)
-    flags = [np.concatenate([packs.flags_of(b, len(x)) for b, x in zip(table[c].to_pylist(), hashes, strict=True)])
-             for c in ("indexed", "many")]
-    _, inverse, counts = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
-    many, indexed = counts > 1, np.zeros(len(counts), dtype=bool)
-    many[inverse[flags[1]]] = True
-    indexed[inverse[flags[0]]] = True
-    shared, anchored = many[inverse], (many & indexed)[inverse]
+    indexed, twice = (np.concatenate([packs.flags_of(b, len(x)) for b, x in zip(table[c].to_pylist(), hashes, strict=True)])
+                      for c in ("indexed", "many"))
+    shared, anchored = np.zeros(len(indexed), dtype=bool), np.zeros(len(indexed), dtype=bool)
+    for values, places in _ranges(hashes, border):
+        order = np.argsort(values)
+        values, places = values[order], places[order]
+        start = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
+        size = np.diff(np.append(start, len(values)))
+        many = (size > 1) | np.logical_or.reduceat(twice[places], start)
+        shared[places] = np.repeat(many, size)
+        anchored[places] = np.repeat(many & np.logical_or.reduceat(indexed[places], start), size)
+    del hashes
     keep = [i for i in range(len(batches)) if shared[border[i]:border[i + 1]].any()]
     cut = [slice(border[i], border[i + 1]) for i in keep]
+    words.release()
     return pa.table({"batch": pa.array([batches[i] for i in keep], pa.int64()),
                      "bucket": pa.array([key[0].as_py()] * len(keep), pa.int64()),
                      "shared": pa.array([packs.bits_of(shared[c]) for c in cut], pa.binary()),
@@ -177,6 +204,8 @@ def _earliest(key: tuple, table: pa.Table) -> pa.Table:
     later[1:] = (a[order][1:] == a[order][:-1]) & (b[order][1:] == b[order][:-1])
     earlier = np.empty(len(order), dtype=bool)
     earlier[order] = later
+    del hashes, a, b, ids, number, order, later
+    words.release()
     keep = [i for i in range(len(batches)) if earlier[border[i]:border[i + 1]].any()]
     return pa.table({"batch": pa.array([batches[i] for i in keep], pa.int64()),
                      "bucket": pa.array([key[0].as_py()] * len(keep), pa.int64()),
@@ -231,6 +260,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if window % 2 or window < 4:
         raise ValueError("window must be an even number of words")
     carried = [c for c in carry or [] if c not in (id_col, text_col)]
+    common.ship(docs.sparkSession)
     clash = {"n_words", "removed", "kept_text"} & {id_col, *carried}
     if clash:
         raise ValueError(f"rename these columns first: {sorted(clash)}")
