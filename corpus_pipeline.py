@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termtrail.llm import common, decontam, near_duplicates, packing, substring, toxicity
+from termtrail.llm import common, decontam, merkle, near_duplicates, packing, substring, toxicity
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 SHINGLE = 5
@@ -26,18 +26,24 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id in each group of near copies (five-word shingles, 0.8 or more).
+    """One row of each group of near copies (five-word shingles, 0.8 or more): that of smallest id.
 
-    Of rows with one id a single row stays; rows without an id all stay.
+    Where ids stand for several rows, each row is judged by its own text, and of rows of the smallest
+    id the one of smallest text stays. Texts without words and rows without an id all stay.
     """
     common.ship(spark)
     docs = docs.select(*COLUMNS)
-    judged = common.stored(near_duplicates.near_duplicates(docs, shingle=SHINGLE).select("doc_id", "kept"), "judged")
-    rest = docs.join(judged.where("NOT kept").select("doc_id").distinct(), "doc_id", "left_anti")
-    if judged.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return rest.select(*COLUMNS)
-    one = rest.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    return one.unionByName(rest.where("doc_id IS NULL")).select(*COLUMNS)
+    known = docs.where("doc_id IS NOT NULL")
+    if known.groupBy("doc_id").count().where("count > 1").isEmpty():
+        judged = near_duplicates.near_duplicates(docs, shingle=SHINGLE)
+        gone = common.stored(judged.where("NOT kept").select("doc_id"), "gone")
+        return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    placed = merkle.numbered(known.withColumn("row", F.monotonically_increasing_id()), ["doc_id", "text", "row"], None, "rows")
+    placed = common.stored(placed.select(*COLUMNS, "place"), "placed")
+    judged = near_duplicates.near_duplicates(placed, id_col="place", shingle=SHINGLE)
+    gone = common.stored(judged.where("NOT kept").select("place"), "gone")
+    rest = placed.join(gone, "place", "left_anti").select(*COLUMNS)
+    return rest.unionByName(docs.where("doc_id IS NULL"))
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
