@@ -108,3 +108,14 @@ def test_empty_documents(spark, folder, tmp_path):
 def test_every_operator_is_registered():
     names = registry.queries()
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
+
+
+def test_rows_of_one_id_are_judged_by_their_texts(spark):
+    rnd = random.Random(4)
+    a, b, c = (" ".join(f"w{rnd.randrange(9000)}" for _ in range(120)) for _ in range(3))
+    rows = [(1, a), (5, a + " more"), (5, b), (7, b + " end"), (None, a), (9, ""), (9, None), (9, c), (9, c), (12, c + " x")]
+    docs = spark.createDataFrame([(i, t, None, "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.keep_one_of_near_copies(spark, docs.repartition(3), "")
+    assert got.columns == corpus_pipeline.COLUMNS
+    want = [(1, a), (5, b), (None, a), (9, ""), (9, None), (9, c)]
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted(want, key=repr)
