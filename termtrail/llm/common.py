@@ -10,6 +10,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from termtrail.sources.store import shared_folder
+
 LOWEST = -(1 << 63)
 BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -39,12 +41,10 @@ def ship(spark: SparkSession) -> None:
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path under the folder that driver and executors share; removed when the session ends.
 
-    Reads ``spark.checkpoint.dir``. Where that is unset, the warehouse folder serves.
+    Reads ``spark.checkpoint.dir``. Where that is unset, the warehouse folder serves, on a cluster
+    only if it is no folder of one machine.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-    path = f"{root.rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
     return path

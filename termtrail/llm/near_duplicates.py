@@ -29,6 +29,7 @@ BANDS, ROWS = 50, 6
 SKETCH_BITS = 4096
 SMALL_SET = 1024
 BLOCK = 1024
+_BAND = np.uint64(63)
 _STEP, _STEP_ROWS = 1 << 21, 512
 _rng = np.random.default_rng(20240229)
 _FACTORS = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -144,11 +145,11 @@ def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo in range(0, batch.num_rows, 1000):
             part = batch.slice(lo, 1000)
-            keys = np.frombuffer(b"".join(part.column(1).to_pylist()), dtype=np.int64)
+            keys = np.frombuffer(b"".join(part.column(1).to_pylist()), dtype=np.uint64)
             ids = part.column(0).to_numpy()
-            yield pa.record_batch([
-                pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(ids))), pa.array(keys),
-                pa.array(np.repeat(ids, BANDS))], ["band", "key", "rep"])
+            # the last bits of a key name its band
+            keys = keys & ~_BAND | np.tile(np.arange(BANDS, dtype=np.uint64), len(ids))
+            yield pa.record_batch([pa.array(keys.view(np.int64)), pa.array(np.repeat(ids, BANDS))], ["key", "rep"])
 
 
 def _class_keys(sets: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -214,7 +215,7 @@ def _across(percent: int):
     """Pairs across components within the block pairs of a bucket; input sorted by block pair."""
     def pairs(group: pa.Table) -> pa.RecordBatch | None:
         ids, comp, n, block = (group[c].to_numpy() for c in ("rep", "component", "n", "block"))
-        band, centre = group["band"][0].as_py(), group["centre"][0].as_py()
+        band, centre = group["key"][0].as_py() & int(_BAND), group["centre"][0].as_py()
         i, j = group["i"][0].as_py(), group["j"][0].as_py()
         keys = np.frombuffer(b"".join(group["bands"].to_pylist()), dtype=np.uint64).reshape(len(ids), BANDS)[:, :band]
         sketch = np.frombuffer(b"".join(group["sketch"].to_pylist()), dtype=np.uint64).reshape(len(ids), -1)
@@ -239,7 +240,7 @@ def _across(percent: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = np.stack([batch.column(c).to_numpy() for c in ("band", "key", "i", "j")], axis=1)
+            keys = np.stack([batch.column(c).to_numpy() for c in ("key", "i", "j")], axis=1)
             cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), batch.num_rows]
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
                 key = tuple(keys[lo])
@@ -264,10 +265,10 @@ def links(features: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
     The centre of a bucket is its member of smallest node: near copies that meet in many bands meet
     the same centre in most of them, so a pair is sketched and confirmed once.
     """
-    members = features.select("node", "bands").mapInArrow(words.tidy(_band_rows), "band int, key bigint, rep bigint")
+    members = features.select("node", "bands").mapInArrow(words.tidy(_band_rows), "key bigint, rep bigint")
     buckets = common.stored(
-        members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("m"), F.min("rep").alias("centre")).where("m > 1"), "buckets")
-    members = common.stored(members.join(buckets, ["band", "key"]), "members")
+        members.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("rep").alias("centre")).where("m > 1"), "buckets")
+    members = common.stored(members.join(buckets, "key"), "members")
     active = common.stored(members.select("rep").distinct(), "active")
     known = common.stored(features.withColumnRenamed("node", "rep").join(active, "rep", "left_semi"), "known")
     texts = docs.join(known.select("id").distinct(), "id", "left_semi").select("text")
@@ -290,14 +291,14 @@ def links(features: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
 
     members = common.stored(members.join(labels, "rep", "left")
                             .withColumn("component", F.coalesce("component", "rep")), "labelled")
-    live = members.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")) \
-        .where("lo <> hi").select("band", "key")
+    live = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")) \
+        .where("lo <> hi").select("key")
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    open_ = (members.join(live, ["band", "key"], "left_semi").join(known, "rep")
+    open_ = (members.join(live, "key", "left_semi").join(known, "rep")
              .withColumn("block", F.pmod(F.xxhash64("rep"), blocks.cast("long")).cast("int"))
              .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
              .withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")))
-    keys = ["band", "key", "i", "j"]
+    keys = ["key", "i", "j"]
     crossed = (open_.select(*keys, "rep", "component", "n", "block", "centre", "bands", "sketch")
                .repartition(*keys).sortWithinPartitions(*keys)
                .mapInArrow(_across(percent), "a bigint, b bigint"))

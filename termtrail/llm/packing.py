@@ -14,10 +14,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termtrail.llm import common, near_duplicates, token_file, words
+from termtrail.llm import common, near_duplicates, token_counts, token_file, words
 
 CAPACITY = 2048
 GROUP_ROWS = 2048
@@ -73,14 +74,22 @@ def pack_group(lengths: list[int], sources: list, clusters: list, capacity: int)
     return out
 
 
-def _sized(tokenizer: str):
+def _plain(text: str | None) -> int | None:
+    """Hash of a text without regard to case and white space; none for a text without words."""
+    spelled = b" ".join((text or "").lower().encode().split())
+    return xxhash.xxh64_intdigest(spelled) - (1 << 63) if spelled else None
+
+
+def _sized(tokenizer: str, own_cluster: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = token_file.encoder(tokenizer).encode
+        count = token_counts.counter(tokenizer).count
         for batch in batches:
-            sizes = []
-            for lo in range(0, batch.num_rows, 256):
-                sizes += [len(ids) // 4 + 1 for ids in encode(batch.column(3).slice(lo, 256).to_pylist())]
-            yield pa.record_batch([*batch.columns[:3], pa.array(sizes, pa.int64())], ["id", "source", "cluster", "n_tokens"])
+            cluster = batch.column(2)
+            if not own_cluster:
+                cluster = pa.array([_plain(t) for lo in range(0, batch.num_rows, 256)
+                                    for t in batch.column(3).slice(lo, 256).to_pylist()], pa.int64())
+            yield pa.record_batch([batch.column(0), batch.column(1), cluster, pa.array(count(batch.column(3)) + 1)],
+                                  ["id", "source", "cluster", "n_tokens"])
     return run
 
 
@@ -133,14 +142,11 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     Lengths are found where the text lies; only ids, sources, clusters and lengths are shuffled. The
     number of groups follows the rows, about ``GROUP_ROWS`` each.
     """
-    if cluster_col:
-        cluster = F.col(cluster_col).cast("long")
-    else:
-        plain = F.trim(F.regexp_replace(F.lower(F.col(text_col).cast("string")), r"[\x20\x09-\x0D]+", " "))
-        cluster = F.when(plain != "", F.xxhash64(plain))
+    common.ship(docs.sparkSession)
+    cluster = F.col(cluster_col).cast("long") if cluster_col else F.lit(None).cast("long")
     sized = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"),
                         cluster.alias("cluster"), F.col(text_col).cast("string").alias("text"))
-    sized = common.stored(sized.mapInArrow(words.tidy(_sized(tokenizer)), "id long, source string, cluster long, n_tokens long"), "sizes")
+    sized = common.stored(sized.mapInArrow(words.tidy(_sized(tokenizer, bool(cluster_col))), "id long, source string, cluster long, n_tokens long"), "sizes")
     if near is not None:
         sized = common.stored(_joined(sized, near), "clustered")
     groups = max(1, -(-sized.count() // GROUP_ROWS))

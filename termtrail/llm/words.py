@@ -89,6 +89,12 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE
     last = last.copy()
     last[:-1] &= ~solid[1:] | edge[1:n]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    return span_hashes(data, starts, ends, fold, first_bytes), np.searchsorted(starts, offsets)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np.ndarray = SAME,
+                first_bytes: int = 0) -> np.ndarray:
+    """Hash of the bytes of every span; spans ascend and do not overlap."""
     out = np.empty(len(starts), dtype=np.uint64)
     i = 0
     while i < len(starts):  # pieces that fit the cache
@@ -101,7 +107,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE
             e = np.minimum(e, s + first_bytes)
         out[i:j] = (part[e] - part[s]) * _power(_INVERSE, hi - lo)[s]
         i = j
-    return mix(out), np.searchsorted(starts, offsets)
+    return mix(out)
 
 
 def grams(h: np.ndarray, n: int, seed: int = 0x2545F4914F6CDD1D) -> np.ndarray:
