@@ -25,6 +25,31 @@ def all_of(flag: Column, where: Column) -> Column:
     return F.bool_and(F.when(where, flag))
 
 
+class FlagBits:
+    """``bool_or`` and ``bool_and`` of many flags as one ``bit_or`` of a number.
+
+    Each flag has two bits, for a true and a false value seen; a null sets neither, so a flag that
+    was null in all rows comes out null. At most 31 flags fit.
+    """
+
+    def __init__(self, any_: dict[str, Column] | None = None, all_: dict[str, Column] | None = None):
+        self._flags = [(n, c, True) for n, c in (any_ or {}).items()] + [(n, c, False) for n, c in (all_ or {}).items()]
+        if len(self._flags) > 31:
+            raise ValueError("more than 31 flags do not fit in one number")
+
+    def packed(self) -> Column:
+        bits = F.lit(0).cast("bigint")
+        for i, (_, flag, _) in enumerate(self._flags):
+            bits = bits + F.when(flag, F.lit(1 << 2 * i).cast("bigint")).when(
+                ~flag, F.lit(2 << 2 * i).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+        return F.bit_or(bits)
+
+    def unpacked(self, bits: Column) -> dict[str, Column]:
+        seen = lambda mask: bits.bitwiseAND(F.lit(mask).cast("bigint")) != 0
+        return {n: F.when(seen((1 if wins else 2) << 2 * i), F.lit(wins)).when(
+            seen((2 if wins else 1) << 2 * i), F.lit(not wins)) for i, (n, _, wins) in enumerate(self._flags)}
+
+
 def max_letter(letter: Column, where: Column) -> Column:
     """Largest single-character code as its character number.
 

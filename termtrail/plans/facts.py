@@ -15,7 +15,7 @@ from termtrail import fixed_values as fv
 from termtrail.functions import colleges as col_fn
 from termtrail.functions import sequences as seq
 from termtrail.functions import terms as term_fn
-from termtrail.operators.aggregates import all_of, any_of, letter_of, max_letter, min_letter
+from termtrail.operators.aggregates import FlagBits, letter_of, max_letter, min_letter
 from termtrail.params import STUDY, StudyParams
 from termtrail.sources.tables import RawTables
 
@@ -61,41 +61,40 @@ def semesters(terms: DataFrame, p: StudyParams = STUDY) -> DataFrame:
         joined("term", ", ").alias("term_names"), joined("gi03", "-").alias("term_codes"))
 
 
-def courses_adjusted(courses: DataFrame, p: StudyParams = STUDY) -> DataFrame:
-    """Course offerings with program flags and the level after the college's rule."""
+def _course_flags(gi01: Column, p: StudyParams) -> dict[str, Column]:
+    """Program flags of an offering and its level letter after the college's rule."""
     esl = F.coalesce(F.col("cb03").isin(*p.esl_programs), F.lit(False))
     noncredit = F.coalesce(esl & (F.col("cb04") == fv.NONCREDIT), F.lit(False))
     credit = F.coalesce(esl & F.col("cb04").isin(*fv.CREDIT_CODES), F.lit(False))
+    return {"esl": esl, "noncredit": noncredit, "credit": credit,
+            "letter": F.when(noncredit, col_fn.level_by_college_code(F.col("cb21"), gi01)).otherwise(F.col("cb21"))}
+
+
+def courses_adjusted(courses: DataFrame, p: StudyParams = STUDY) -> DataFrame:
+    """Course offerings with program flags and the level after the college's rule."""
+    flags = _course_flags(F.col("gi01"), p)
     return courses.select(
         F.col("gi03").alias("term"), "cb00", "cb01", "gi01", "cb04", "cb21", "cb03",
-        esl.alias("is_esl_course"), noncredit.alias("is_noncredit_esl_course"),
-        credit.alias("is_credit_esl_course"),
-        F.when(noncredit, col_fn.level_by_college_code(F.col("cb21"), F.col("gi01")))
-        .otherwise(F.col("cb21")).alias("esl_course_level_adjusted_for_college"))
+        flags["esl"].alias("is_esl_course"), flags["noncredit"].alias("is_noncredit_esl_course"),
+        flags["credit"].alias("is_credit_esl_course"),
+        flags["letter"].alias("esl_course_level_adjusted_for_college"))
 
 
-def _leveled_courses(raw: RawTables, p: StudyParams) -> DataFrame:
-    """Adjusted courses with the numeric level of the raw and the name-adjusted letter.
+def _leveled(joined: DataFrame, raw: RawTables, p: StudyParams) -> DataFrame:
+    """Joined offerings with the numeric level of the raw and the name-adjusted letter.
 
     Lookups are left joins: each measure states which lookups it needs. They
     carry no hint, so Spark broadcasts them only while their size allows it.
     """
-    adjusted = courses_adjusted(raw.courses, p)
-    named = adjusted.join(
-        raw.colleges.select(F.col("gi01_college").alias("gi01"),
-                            F.col("college_name").alias("course_college")), "gi01", "left")
+    named = joined.join(
+        raw.colleges.select(F.col("gi01_college").alias("course_gi01"),
+                            F.col("college_name").alias("course_college")), "course_gi01", "left")
     named = named.withColumn("letter_adj", col_fn.level_by_college_name(
         F.col("cb21"), F.col("course_college")))
     raw_level = raw.levels.select("cb21", F.col("levels_below_transfer").alias("level_raw"))
     adj_level = raw.levels.select(F.col("cb21").alias("letter_adj"),
                                   F.col("levels_below_transfer").alias("level_adj"))
-    return (named.join(raw_level, "cb21", "left").join(adj_level, "letter_adj", "left")
-            .select(F.col("term").alias("gi03"), "cb00", F.col("gi01").alias("course_gi01"),
-                    "cb03", "cb04", "level_raw", "letter_adj", "level_adj",
-                    F.col("is_esl_course").alias("esl"),
-                    F.col("is_noncredit_esl_course").alias("noncredit"),
-                    F.col("is_credit_esl_course").alias("credit"),
-                    F.col("esl_course_level_adjusted_for_college").alias("letter")))
+    return named.join(raw_level, "cb21", "left").join(adj_level, "letter_adj", "left")
 
 
 def enrollment_courses(raw: RawTables, p: StudyParams = STUDY) -> DataFrame:
@@ -103,17 +102,20 @@ def enrollment_courses(raw: RawTables, p: StudyParams = STUDY) -> DataFrame:
 
     The join is deliberately not on college, so one enrollment can meet the
     same course id offered at several colleges; ``same_college`` marks the
-    three-key matches.
+    three-key matches. Offerings are shuffled as they are read: what follows
+    from them is worked out for those that meet an enrollment.
     """
     kept = raw.enrollments.where(F.col("sx02") == p.not_dropped).select(
         "student_uuid", "gi01", "gi03", "cb00", "sx04")
+    offered = raw.courses.select("gi03", "cb00", F.col("gi01").alias("course_gi01"), "cb03", "cb04", "cb21")
     colleges = raw.colleges.select(F.col("gi01_college").alias("gi01"), "college_name")
-    joined = kept.join(_leveled_courses(raw, p), ["cb00", "gi03"]).join(colleges, "gi01", "left")
     grade = F.col("sx04")
-    return joined.withColumns({
+    joined = kept.join(offered, ["cb00", "gi03"]).withColumns({
+        **_course_flags(F.col("course_gi01"), p),
         "same_college": F.col("gi01") == F.col("course_gi01"),
         "stayed": ~grade.isin(*p.withdrawn),
         "passed": ~grade.isin(*p.not_passed)})
+    return _leveled(joined, raw, p).join(colleges, "gi01", "left")
 
 
 def _lowest(taken: Column, specials: dict[str, str]) -> Column:
@@ -158,27 +160,28 @@ def term_facts(raw: RawTables, p: StudyParams = STUDY) -> DataFrame:
         _achieved(esl & passed))))
     programs = {n: (cb03 == code) & stayed for n, code in zip(PROGRAM_SEQUENCES, fv.ESL_PROGRAMS)}
 
+    # all flags of a scope are one number in the hash table and in the shuffle
+    sequence = FlagBits(any_={n: F.when(in_sequence, c) for n, c in (flags | programs).items()})
+    past = FlagBits(
+        any_={"history_noncredit": F.when(history, is_n), "history_credit": F.when(history, is_c),
+              "late_noncredit": F.when(esl & passed & (gi03 >= p.noncredit_from), is_n)},
+        all_={"only_integrated": F.when(history & known, ~apart),
+              "history_all_noncredit": F.when(history, is_n), "history_all_credit": F.when(history, is_c),
+              "passed_all_credit": F.when(esl & passed & level.isNotNull(), ~is_n)})
     grouped = rows.groupBy("student_uuid", "gi03", "college_name").agg(
-        F.count_if(in_sequence).alias("sequence_rows"),
-        *[any_of(c, in_sequence).alias(n) for n, c in flags.items()],
+        F.count_if(in_sequence).alias("sequence_rows"), sequence.packed().alias("sequence_bits"),
         *[max_letter(c, in_sequence).alias(n) for n, c in lowest.items()],
         *[min_letter(c, in_sequence).alias(n) for n, c in highest.items()],
-        *[any_of(c, in_sequence).alias(n) for n, c in programs.items()],
-        F.count_if(history & known).alias("history_rows"),
-        all_of(~apart, history & known).alias("only_integrated"),
-        any_of(is_n, history).alias("history_noncredit"),
-        any_of(is_c, history).alias("history_credit"),
-        all_of(is_n, history).alias("history_all_noncredit"),
-        all_of(is_c, history).alias("history_all_credit"),
-        any_of(is_n, esl & passed & (gi03 >= p.noncredit_from)).alias("late_noncredit"),
+        F.count_if(history & known).alias("history_rows"), past.packed().alias("history_bits"),
         F.max(F.when(raw_scope, level)).alias("first_level"),
         F.max(F.when(esl & passed, level)).alias("credit_level"),
-        all_of(~is_n, esl & passed & level.isNotNull()).alias("passed_all_credit"),
         F.count_if(adj_scope).alias("completion_rows"),
         F.max(F.when(adj_scope, level_adj)).alias("lowest_adj"),
         F.max(F.when(adj_scope & (F.col("letter_adj") != fv.UNSPECIFIED_LEVEL), level_adj))
         .alias("lowest_specified_adj"),
         F.min(F.when(adj_scope, level_adj)).alias("highest_adj"))
+    grouped = grouped.withColumns(sequence.unpacked(F.col("sequence_bits"))
+                                  | past.unpacked(F.col("history_bits"))).drop("sequence_bits", "history_bits")
     text = {n: F.col(n).cast("int").cast("string") for n in FLAG_SEQUENCES}
     text |= {n: letter_of(F.col(n)) for n in (*lowest, *highest)}
     text |= {n: F.coalesce(F.col(n), F.lit(False)).cast("int").cast("string") for n in programs}

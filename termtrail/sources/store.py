@@ -55,7 +55,7 @@ class TableStore:
         if key not in self._tables:
             stamp = hashlib.sha256(version.encode()).hexdigest()[:12]
             path = f"{self.root}/{name}-{stamp}"
-            df.write.parquet(path)
+            df.write.option("compression", "zstd").parquet(path)
             self._tables[key] = df, self.spark.read.schema(df.schema).parquet(path)
         source, kept = self._tables[key]
         if source is not df and not source.sameSemantics(df):

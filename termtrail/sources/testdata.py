@@ -35,6 +35,7 @@ LISTED_CODES = fv.COLLEGE_CODES_AB + fv.COLLEGE_CODES_EF
 PROGRAM_BY_TYPE = {"ECONOMY": "493084", "SMALL": "493085", "MEDIUM": "493086",
                    "LARGE": "493087", "PROMO": "150100", "STANDARD": "170000"}
 AWARD_CODES = "ASTEFGHJKUZ"
+GRADES = ("W", "F", "NP", "P")
 GOAL_CODES = "ABCEFGHJKLMNOX"
 TOPCODES = (493084, 493087, 493100, 493009, 493062, 490100, 499900, 70100)
 TERM_NAMES = {0: "ANNUAL", 1: "WINTER INTERSESSION", 3: "SPRING SEMESTER", 5: "SUMMER TERM",
@@ -58,6 +59,19 @@ def _div(a: Column, b: int) -> Column:
     return F.call_function("div", a, F.lit(b)).cast("bigint")
 
 
+def _course_id() -> Column:
+    return F.concat_ws("-", "pk", "cb04", "cb21")
+
+
+def _college(index: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(college_code(i)) for i in range(92)]), (index + 1).cast("int"))
+
+
+def _character(number: Column) -> Column:
+    """The character of ``F.ascii``, of any code point; nothing is 0."""
+    return F.when(number == 0, "").otherwise(F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))
+
+
 def _order_columns(orders: DataFrame) -> DataFrame:
     c = F.col("o_custkey")
     year = F.year("o_orderdate")
@@ -73,7 +87,10 @@ def _order_columns(orders: DataFrame) -> DataFrame:
 
 
 def enrollment_base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items with their order and part, as enrollment and course attributes."""
+    """Line items with their order and part, as enrollment and course attributes.
+
+    Ids that a projection of these columns gives are not written.
+    """
     li = open_driver_table(spark, sf_dir, "lineitem")
     orders = _order_columns(open_driver_table(spark, sf_dir, "orders"))
     part = open_driver_table(spark, sf_dir, "part")
@@ -81,7 +98,6 @@ def enrollment_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     size, pk = F.col("p_size"), F.col("p_partkey")
     brand = F.substring("p_brand", 7, 2).cast("int")
     college = F.when(line == 7, (c * 7 + 3) % 92).otherwise((c * 13) % 92)
-    codes = F.array(*[F.lit(college_code(i)) for i in range(92)])
     d = F.when(pk % 2 == 0, "C").otherwise("D")
     credit = (F.when(c % 10 < 5, "N").when(c % 10 < 8, d)
               .otherwise(F.when(size <= 25, "N").otherwise("C")))
@@ -89,32 +105,33 @@ def enrollment_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     level = F.when(brand == 25, "Y").otherwise(
         _pick("ABCDEFGH", F.greatest(F.lit(0), F.least(F.lit(7), level_at))))
     attended = ((F.col("o_orderkey") % 5 < 1 + c % 5)
-                & ((F.col("o_orderkey") + line) % 3 != 0) & (F.col("l_discount") < 0.095))
-    grade = (F.when(F.col("l_quantity") < 3, "W").when(F.col("l_quantity") < 5, "F")
-             .when(F.col("l_quantity") < 6, "NP").otherwise("P"))
-    joined = (li.join(orders, li.l_orderkey == orders.o_orderkey)
-              .join(part, li.l_partkey == part.p_partkey))
-    staged = joined.select(
+                & ((F.col("o_orderkey") + line) % 3 != 0) & F.col("cheap"))
+    # what a line or a part decides is worked out before it is shuffled: grades as their numbers
+    grade = (F.when((F.col("l_quantity") == 50) & (line == 3), F.lit(None))
+             .when(F.col("l_quantity") < 3, 1).when(F.col("l_quantity") < 5, 2)
+             .when(F.col("l_quantity") < 6, 3).otherwise(4))
+    li = li.select("l_orderkey", "l_partkey", "l_linenumber", grade.cast("tinyint").alias("grade"),
+                   (F.col("l_discount") < 0.095).alias("cheap"), (F.col("l_tax") > 0).alias("taxed"))
+    ordered = li.join(orders, li.l_orderkey == orders.o_orderkey).select(
+        "l_partkey", "l_linenumber", "grade", "taxed", attended.alias("attended"), "c", "y", "gi03", "priority")
+    joined = ordered.join(part, ordered.l_partkey == part.p_partkey)
+    return joined.select(
         "c", "y", "gi03", "priority", college.alias("college"), pk.alias("pk"),
-        F.element_at(codes, (college + 1).cast("int")).alias("gi01"),
         F.coalesce(*[F.when(F.col("p_type") == t, p) for t, p in PROGRAM_BY_TYPE.items()])
         .alias("cb03"),
         credit.alias("cb04"), level.alias("cb21"),
         F.when((college % 4 == 0) | (pk % 3 == 2), "Y").when(pk % 3 == 0, "A").otherwise("B")
         .alias("cb05"),
-        F.when(F.col("l_tax") > 0, line.cast("string")).alias("sx01"),
-        F.when(attended, fv.NOT_DROPPED).otherwise("20190101").alias("sx02"),
-        F.when((F.col("l_quantity") == 50) & (line == 3), F.lit(None)).otherwise(grade)
-        .alias("sx04"))
-    return staged.withColumns({
-        "cb00": F.concat_ws("-", "pk", "cb04", "cb21"),
-        "maskedsb00": F.concat(F.lit("S"), F.col("c")),
-        "student_uuid": F.concat(F.lit("U"), F.col("c"))})
+        F.when(F.col("taxed"), line.cast("string")).alias("sx01"),
+        F.when(F.col("attended"), fv.NOT_DROPPED).otherwise("20190101").alias("sx02"),
+        F.get(F.array(*map(F.lit, GRADES)), F.col("grade") - 1).alias("sx04"))
 
 
 def _details(base: DataFrame) -> DataFrame:
     c = F.col("c")
-    terms = base.groupBy("c", "college", "gi01", "gi03", "y").agg(F.min("priority").alias("p"))
+    # the one character as its number: a string buffer would sort every row
+    terms = base.groupBy("c", "college", "gi03", "y").agg(F.min(F.ascii("priority")).alias("p")).withColumns({
+        "gi01": _college(F.col("college")), "p": _character(F.col("p"))})
     bit = c % 11
     at = lambda *spots: F.lit("".join("Y" if i in spots else "N" for i in range(1, 22)))
     bits = (F.when(bit == 0, F.lit(None)).when(bit == 1, "NNN").when(bit == 2, at())
@@ -131,6 +148,25 @@ def _details(base: DataFrame) -> DataFrame:
         (16 + c % 60 + F.col("y") - 2017).cast("string").alias("std1"))
 
 
+def _courses(base: DataFrame) -> DataFrame:
+    """The distinct offerings. Part, term, college and codes decide all columns, so only they are
+    shuffled: the part, the term, and all others in one number, a digit for each (0: null).
+    """
+    digits = {"college": tuple(range(92)), "cb03": tuple(PROGRAM_BY_TYPE.values()), "cb04": ("N", "C", "D"),
+              "cb05": ("Y", "A", "B"), "cb21": tuple("ABCDEFGHY")}
+    number = F.lit(0)
+    for c, values in digits.items():
+        at = F.array_position(F.array(*map(F.lit, values)), F.col(c)) if c != "college" else F.col(c) + 1
+        number = number * (len(values) + 1) + F.coalesce(at, F.lit(0)).cast("int")
+    rest, columns = F.col("rest"), {}
+    for c, values in reversed(digits.items()):
+        columns[c] = F.get(F.array(F.lit(None), *map(F.lit, values)), rest % (len(values) + 1)).alias(c)
+        rest = F.floor(rest / (len(values) + 1)).cast("int")
+    out = base.select("pk", "gi03", number.alias("rest")).distinct().select("pk", "gi03", *columns.values())
+    return out.select(_college(F.col("college")).alias("gi01"), "gi03", _course_id().alias("cb00"),
+                      F.concat(F.lit("ESL "), F.col("pk")).alias("cb01"), "cb03", "cb04", "cb05", "cb21")
+
+
 def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = (_order_columns(open_driver_table(spark, sf_dir, "orders"))
             .select("gi03").distinct())
@@ -242,14 +278,14 @@ class DriverTables:
 
     @cached_property
     def enrollments(self) -> DataFrame:
+        c = F.col("c")
         return self._base.select(
-            "student_uuid", "maskedsb00", "gi01", "gi03", "cb00", "sx01", "sx02", "sx04")
+            F.concat(F.lit("U"), c).alias("student_uuid"), F.concat(F.lit("S"), c).alias("maskedsb00"),
+            _college(F.col("college")).alias("gi01"), "gi03", _course_id().alias("cb00"), "sx01", "sx02", "sx04")
 
     @cached_property
     def courses(self) -> DataFrame:
-        return self._keep("courses", self._base.select(
-            "gi01", "gi03", "cb00", F.concat(F.lit("ESL "), F.col("pk")).alias("cb01"), "cb03",
-            "cb04", "cb05", "cb21").distinct())
+        return self._keep("courses", _courses(self._base))
 
     @cached_property
     def terms(self) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from termtrail import fixed_values as fv
 from termtrail.operators import explore
+from termtrail.operators.aggregates import FlagBits
 from termtrail.plans import catalog, facts
 from termtrail.plans.journey import Journey
 from tests.conftest import SMALL
@@ -108,3 +109,27 @@ def test_a_hot_value_does_not_change_a_crosstab(spark):
     got = explore.crosstab_top(df, "x", "y", top=3)
     assert got.agg(F.sum("students")).first()[0] == 9000
     assert got.where("x_val = 'hot'").agg(F.sum("students")).first()[0] == 3000
+
+
+def test_offerings_are_shuffled_as_they_are_read(spark):
+    """What follows from an offering is worked out after it met an enrollment."""
+    j = catalog.journey(spark, SMALL)
+    plan = facts.enrollment_courses(j.raw)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftOuter") == 4 and "Join LeftOuter" not in plan.split("Join Inner")[1]
+    grouped = j.term_facts._jdf.queryExecution().optimizedPlan().toString()
+    first = next(line for line in grouped.splitlines() if "Aggregate [" in line)
+    assert first.count(" AS ") < 25 and "bit_or(" in first
+
+
+def test_flag_bits_keep_nulls_and_both_rules(spark):
+    rows = [(k, a, b) for k, pairs in enumerate([
+        [(None, None)], [(True, True), (None, None)], [(True, False), (False, True)], [(False, False)],
+        [(None, True), (False, None)]]) for a, b in pairs]
+    df = spark.createDataFrame(rows, "k int, a boolean, b boolean")
+    bits = FlagBits(any_={"any_a": F.col("a"), "any_b": F.col("b")}, all_={"all_a": F.col("a"), "all_b": F.col("b")})
+    got = df.groupBy("k").agg(bits.packed().alias("bits")).withColumns(bits.unpacked(F.col("bits"))).drop("bits")
+    want = df.groupBy("k").agg(F.bool_or("a").alias("any_a"), F.bool_or("b").alias("any_b"),
+                               F.bool_and("a").alias("all_a"), F.bool_and("b").alias("all_b"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    with pytest.raises(ValueError, match="31"):
+        FlagBits(any_={f"f{i}": F.lit(True) for i in range(32)})
