@@ -1,27 +1,28 @@
 """Main text of web pages by wrappers inferred from pages of one host.
 
 A page is a stream of tags and texts. Runs of equal neighbours in the stream become repeated groups.
-The streams of a host's sample pages are then aligned one after another: text that differs becomes a
-slot, a stretch that only one side has an optional group, a single unit opposite a repeated group a
-repetition of it. The result is a regular expression without unions, the host's wrapper. Its slots
+The streams of all pages of a host are then aligned one after another: text that differs becomes a
+slot, a stretch that only one side has is optional, a single unit opposite a repeated group a
+repetition of it. The result is a regular expression without unions, the host's wrapper. Its texts
 lie in containers (sections, divisions, lists and the like). Main containers are the articles where
-they hold most text outside links and outside anything marked as boilerplate, else the lowest
-container of all such text. A page's main text is the text of its main containers, without
-boilerplate inside them.
+their slots hold most text outside links and outside anything marked as boilerplate, else the lowest
+container of all such slots.
 
-``infer`` does this for a few pages. For the rows of a table, ``wrappers`` finds the containers and
-the constant blocks of a host by counts over all its pages; no page is matched against an expression.
+Each page is matched against its host's wrapper. Texts that fall on a constant of it are dropped;
+of those that fall on slots, the ones in main containers are the page's main text, without
+boilerplate inside them.
 """
 
 from __future__ import annotations
 
-import html
 import functools
+import html
+import itertools
 import json
 import os
 import re
 from collections import defaultdict
-from collections.abc import Collection, Iterator
+from collections.abc import Collection, Iterable, Iterator
 from difflib import SequenceMatcher
 from typing import NamedTuple
 
@@ -34,8 +35,9 @@ from pyspark.sql import functions as F
 from termtrail.llm import common
 from termtrail.llm.url_filter import host_of
 
-LEAST_PAGES = 3  # different pages of a host that a constant block is on
+LEAST_PAGES = 3  # pages of a host that a constant is on
 LONGEST_UNIT = 16  # tokens of a repeated group
+MERGED = 16  # wrappers aligned at once
 
 # Fixed values of HTML: elements by what they do to a stream of text.
 DROPPED = "script style noscript template textarea title select svg iframe object canvas head".split()
@@ -63,14 +65,6 @@ UNMARKED = set("html body main article".split())  # hold the text whatever their
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
-class Token(NamedTuple):
-    key: str  # tag with class, or # for text
-    text: str
-    path: tuple[str, ...]  # open containers
-    linked: bool
-    marked: bool
-
-
 @functools.lru_cache(maxsize=10_000)
 def _boilerplate(value: str) -> bool:
     """Whether a class or id names boilerplate: marked words, and at most neutral ones beside them."""
@@ -95,145 +89,299 @@ def _tag(name: str, attributes: str) -> tuple[str, bool]:
     return name + (classes if classes != "." else ""), marked
 
 
-def tokens(page: str | None) -> Iterator[Token]:
-    """Tags and texts of a page in order; what has no closing tag ends with its container."""
+# A node's key is a tag with its classes, "#" with the containers of a text, or the keys of a repeated group.
+Key = str | tuple["Key", ...]
+
+
+class Node(NamedTuple):
+    """A part of a wrapper, with what the pages that have it hold there."""
+
+    key: Key
+    text: str | None = None  # of a single text on one page
+    pages: int = 1
+    held: dict = {}  # by container path: characters outside links, and those of texts that all of its pages have there
+
+
+class Wrapper(NamedTuple):
+    """Nodes in order; those that not all ``pages`` have are optional."""
+
+    pages: int
+    nodes: list[Node]
+
+
+class Text(NamedTuple):
+    at: int  # place in the stream
+    text: str
+    weight: int  # characters outside links
+    path: tuple[str, ...]
+
+
+class Block(NamedTuple):
+    path: tuple[str, ...]
+    text: str
+    weight: int
+    parts: tuple[Text, ...]
+
+
+@functools.lru_cache(maxsize=10_000)
+def _breaks(name: str) -> bool:
+    """Whether a tag ends a line of text."""
+    found = re.match("[a-z0-9]+", name)
+    return found is not None and found[0] in BLOCKS
+
+
+def read(page: str | None) -> tuple[list[str], dict[int, str], list[Block]]:
+    """The stream of a page, its texts by place, and its unmarked text between tags that break lines.
+
+    What has no closing tag ends with its container.
+    """
+    keys: list[str] = []
+    texts: dict[int, str] = {}
+    found: list[Block] = []
     stack: list[tuple[str, str, bool]] = []  # element, key, marked
-    links = 0
+    path: tuple[str, ...] = ()
+    key, marked, links = "#", False, 0
+    now: list[str] = []
+    parts: list[Text] = []
+    last: tuple[str, ...] = ()
+
+    def close() -> None:
+        text = " ".join("".join(now).split())
+        if text:
+            found.append(Block(last, text, sum(p.weight for p in parts), tuple(parts)))
+        now.clear()
+        parts.clear()
+
     for m in _TOKEN.finditer(page or ""):
-        if m["text"]:
-            yield Token("#", m["text"], tuple(k for _, k, _ in stack), links > 0, any(x for *_, x in stack))
-        elif m["name"]:
-            name = m["name"].lower()
+        if m.lastgroup == "text":
+            text = m["text"]
+            plain = " ".join(text.split())
+            if not marked:
+                now.append(html.unescape(text))
+                last = path
+                if plain:
+                    parts.append(Text(len(keys), plain, 0 if links else len(plain), path))
+            if plain:
+                texts[len(keys)] = plain
+                keys.append(key)
+        elif m.lastgroup == "attributes":
+            name, depth = m["name"].lower(), len(stack)
+            moved = False
             if name == "a":
                 links = 0 if m["end"] else 1
             if m["end"]:
                 if name in CONTAINERS and any(e == name for e, *_ in stack):
                     while stack.pop()[0] != name:
                         pass
-                    links = 0
-                key = f"</{name}>"
+                    links, moved = 0, True
+                keys.append(f"</{name}>")
             else:
-                key, marked = _tag(name, m["attributes"])
-                if name in ("li", "tr", "td", "th") and stack and stack[-1][0] == name:
+                tag, boilerplate = _tag(name, m["attributes"])
+                if name in ("li", "tr", "td", "th") and depth and stack[-1][0] == name:
                     stack.pop()
+                    moved = True
                 if name in CONTAINERS and not m["attributes"].endswith("/"):
-                    stack.append((name, key, marked))
-                key = f"<{key}>"
-            yield Token(key, "", tuple(k for _, k, _ in stack), links > 0, any(x for *_, x in stack))
+                    stack.append((name, tag, boilerplate))
+                    moved = True
+                keys.append(f"<{tag}>")
+            if moved:
+                path, marked = tuple(k for _, k, _ in stack), any(x for *_, x in stack)
+                key = "#" + " ".join(path) + (" !" if marked else "")
+            if _breaks(name):
+                close()
+            elif name.startswith("br") and not m["end"]:
+                now.append(" ")
+    close()
+    return keys, texts, found
+
+
+# Characters that stand for keys while repeats are looked for: a unit begins with an opening tag or a group.
+_OPEN, _OTHER, _END = 0xE000, 0x20000, 0x110000
+_UNITS = [re.compile(f"([{chr(_OPEN)}-{chr(_OTHER - 1)}].{{{size - 1}}})\\1+", re.S) for size in range(1, LONGEST_UNIT + 1)]
+
+
+def folded(keys: list[Key]) -> list[tuple[Key, int, int]]:
+    """Repeated neighbours as groups, innermost and shortest first: keys and the stretches they stand for."""
+    codes: dict[Key, str] = {}
+    names: dict[str, Key] = {}
+    opened, other = _OPEN, _OTHER
+
+    def code(key: Key) -> str:
+        nonlocal opened, other
+        if key not in codes:
+            if isinstance(key, tuple) or key[0] == "<" and key[1] != "/":
+                codes[key], opened = chr(opened), opened + 1
+            else:
+                codes[key], other = chr(other), other + 1
+            names[codes[key]] = key
+        return codes[key]
+
+    if len(keys) > 1:
+        distinct = set(keys)
+        if 2 * len(distinct) > _OTHER - _OPEN:  # more names than characters: nothing is folded
+            return [(k, i, i + 1) for i, k in enumerate(keys)]
+    line = "".join(map(code, keys))
+    starts = list(range(len(line) + 1))
+    changed = True
+    while changed:
+        changed = False
+        for size, pattern in enumerate(_UNITS, 1):
+            if 2 * size > len(line):
+                break
+            out, at, place = [], [], 0
+            for m in pattern.finditer(line):
+                key = tuple(names[c] for c in m[1])
+                if (size == 1 and isinstance(key[0], tuple)) or opened >= _OTHER:
+                    continue
+                out += [line[place:m.start()], code(key)]
+                at += [*starts[place:m.start()], starts[m.start()]]
+                place = m.end()
+            if place:
+                line, starts, changed = "".join(out) + line[place:], at + starts[place:], True
+    return [(names[c], starts[i], starts[i + 1]) for i, c in enumerate(line)]
+
+
+def _joined(nodes: list[Node], key: Key) -> Node:
+    held: dict = {}
+    for n in nodes:
+        for path, (mass, texts) in n.held.items():
+            before, same = held.get(path, (0, {}))
+            held[path] = before + mass, same | {t: same.get(t, 0) + w for t, w in texts.items()}
+    return Node(key, None, nodes[0].pages, held)
 
 
-# A wrapper's nodes: a tag, a text ("#", its constant or None for a slot) or a group (units, mark)
-# with mark + for repeated and ? for optional.
-class Node(NamedTuple):
-    key: str
-    text: str | None = None
-    units: tuple = ()
-    mark: str = ""
+def fold(nodes: list[Node]) -> list[Node]:
+    """Repeated neighbours as groups."""
+    return [nodes[i] if j == i + 1 else _joined(nodes[i:j], key) for key, i, j in folded([n.key for n in nodes])]
 
 
-def _group(units: list[Node], mark: str) -> Node:
-    if mark == "?" and len(units) == 1 and units[0].mark == "?":
-        return units[0]
-    return Node("(" + "".join(n.key for n in units) + ")" + mark, None, tuple(units), mark)
+def _groups(keys: Iterable[Key]) -> set[tuple]:
+    found: set[tuple] = set()
+    for k in keys:
+        if isinstance(k, tuple):
+            found |= {k} | _groups(k)
+    return found
 
 
-def _slots(node: Node) -> Node:
-    return Node(node.key, None, tuple(_slots(n) for n in node.units), node.mark)
+def _units(groups: set[tuple]) -> dict[Key, list[tuple]]:
+    """Units by their first key, shortest first."""
+    by_first: dict[Key, list[tuple]] = defaultdict(list)
+    for unit in sorted(groups, key=lambda u: (len(u), repr(u))):
+        by_first[unit[0]].append(unit)
+    return by_first
 
 
-def fold(nodes: list[Node]) -> list[Node]:
-    """Repeated neighbours as groups, innermost and shortest first, until none is left."""
-    changed = True
+def regrouped(keys: list[Key], units: dict[Key, list[tuple]], pages: list[int] | None = None) -> list[tuple[Key, int, int]]:
+    """A unit of a group that stands alone is the group too, also within groups: keys and their stretches."""
+    def alike(lo: int, hi: int) -> bool:
+        return pages is None or len(set(pages[lo:hi])) == 1
+
+    now = [(_inner(k, units), i, i + 1) for i, k in enumerate(keys)]
+    changed = bool(units)
     while changed:
-        changed = False
-        for size in range(1, LONGEST_UNIT + 1):
-            keys, out, i = [n.key for n in nodes], [], 0
-            while i < len(nodes):
-                unit = keys[i:i + size]
-                j = i + size
-                if unit[0].startswith(("<", "(")) and not unit[0].startswith("</") and not (size == 1 and nodes[i].mark == "+"):
-                    while len(unit) == size and keys[j:j + size] == unit:
-                        j += size
-                if j > i + size:
-                    out.append(_group([_slots(n) for n in nodes[i:i + size]], "+"))
-                    i, changed = j, True
-                else:
-                    out.append(nodes[i])
-                    i += 1
-            nodes = out
-    return nodes
-
-
-def stream(page: str | None) -> list[Node]:
-    found = []
-    for t in tokens(page):
-        if t.key != "#":
-            found.append(Node(t.key))
-        elif t.text.strip():
-            found.append(Node("#", " ".join(t.text.split())))
-    return fold(found)
-
-
-def align(a: list[Node], b: list[Node]) -> list[Node]:
-    """The wrapper of two streams or wrappers: slots, optional and repeated groups for mismatches."""
-    keys = [[n.key.rstrip("?") if n.mark == "?" else n.key for n in x] for x in (a, b)]
+        changed, out, i = False, [], 0
+        line = [k for k, *_ in now]
+        while i < len(now):
+            key, lo, hi = now[i]
+            for unit in units.get(key, ()):
+                j = i
+                while tuple(line[j:j + len(unit)]) == unit:
+                    j += len(unit)
+                if j > i and alike(lo, now[j - 1][2]):
+                    key, hi, i, changed = unit, now[j - 1][2], j - 1, True
+                    break
+            if out and isinstance(key, tuple) and out[-1][0] == key and alike(out[-1][1], hi):
+                lo, changed = out.pop()[1], True
+            out.append((key, lo, hi))
+            i += 1
+        now = out
+    return now
+
+
+def _inner(key: Key, units: dict[Key, list[tuple]]) -> Key:
+    if not isinstance(key, tuple) or not units:
+        return key
+    inside = tuple(k for k, *_ in regrouped(list(key), units))
+    return inside[0] if len(inside) == 1 and isinstance(inside[0], tuple) else inside
+
+
+def _regrouped(nodes: list[Node], units: dict[Key, list[tuple]]) -> list[Node]:
+    found = regrouped([n.key for n in nodes], units, [n.pages for n in nodes])
+    return [nodes[i]._replace(key=key) if j == i + 1 else _joined(nodes[i:j], key) for key, i, j in found]
+
+
+def align(a: Wrapper, b: Wrapper) -> Wrapper:
+    """The wrapper of all pages of two: texts that differ become slots, what one side lacks is optional,
+    a single unit opposite a repeated group a repetition of it.
+    """
+    units = _units(_groups(n.key for w in (a, b) for n in w.nodes))
+    x, y = _regrouped(a.nodes, units), _regrouped(b.nodes, units)
     out: list[Node] = []
-    for kind, i, j, k, m in SequenceMatcher(None, *keys, autojunk=False).get_opcodes():
-        if kind == "equal":
-            for x, y in zip(a[i:j], b[k:m], strict=True):
-                text = x.text if x.text == y.text else None
-                same = Node(x.key, text, tuple(align(list(x.units), list(y.units))) if x.units and x.units != y.units else x.units, x.mark)
-                out.append(same._replace(key=y.key, mark="?") if y.mark == "?" else same)
+    for kind, i, j, k, m in SequenceMatcher(None, [n.key for n in x], [n.key for n in y], autojunk=False).get_opcodes():
+        if kind != "equal":
+            out += x[i:j] + y[k:m]
             continue
-        left, right = a[i:j], b[k:m]
-        for one, other in ((left, right), (right, left)):
-            if len(one) == 1 and one[0].mark == "+" and [n.key for n in one[0].units] == [n.key for n in other]:
-                out.append(one[0])
-                break
-        else:
-            out += [_group([_slots(n) for n in part], "?") for part in (left, right) if part]
-    return out
+        for p, q in zip(x[i:j], y[k:m], strict=True):
+            held = {}
+            for path in p.held | q.held:
+                (mass, texts), (more, others) = p.held.get(path, (0, {})), q.held.get(path, (0, {}))
+                held[path] = mass + more, {t: w + others[t] for t, w in texts.items() if t in others}
+            out.append(Node(p.key, p.text if p.text == q.text else None, p.pages + q.pages, held))
+    return Wrapper(a.pages + b.pages, out)
 
 
-def expression(wrapper: list[Node]) -> str:
-    """The wrapper as text: constants as they are, slots as #."""
-    return "".join("(" + expression(list(n.units)) + ")" + n.mark if n.units else n.text or n.key for n in wrapper)
+def match(wrapper: Wrapper, keys: list[Key]) -> list[tuple[int | None, int, int]]:
+    """The wrapper's node for each stretch of a folded stream.
 
+    A page of the wrapper's own host takes a way through the expression that leaves out optional
+    nodes only; of another page, what aligns with the wrapper is named, the rest has no node.
+    """
+    own = [n.key for n in wrapper.nodes]
+    found = regrouped(keys, _units(_groups([*own, *keys])))
+    line = [k for k, *_ in found]
+    places: list[int | None] = [None] * len(line)
+    waiting: list[tuple[int, int, tuple]] = [(0, 0, ())]
+    seen: set[tuple[int, int]] = set()
+    while waiting:
+        i, j, way = waiting.pop()
+        while i < len(own):
+            if j < len(line) and own[i] == line[j]:
+                if (i, j) in seen:
+                    break
+                seen.add((i, j))
+                if wrapper.nodes[i].pages < wrapper.pages:
+                    waiting.append((i + 1, j, way))
+                i, j, way = i + 1, j + 1, (i, way)
+            elif wrapper.nodes[i].pages < wrapper.pages:
+                i += 1
+            else:
+                break
+        if i == len(own) and j == len(line):
+            for at in range(j - 1, -1, -1):
+                places[at], way = way
+            break
+    else:
+        for i, j, n in SequenceMatcher(None, own, line, autojunk=False).get_matching_blocks():
+            places[j:j + n] = range(i, i + n)
+    return [(place, i, j) for place, (_, i, j) in zip(places, found, strict=True)]
 
-def _constants(wrapper: list[Node]) -> set[str]:
-    found: set[str] = set()
-    for n in wrapper:
-        found |= {n.text} if n.text else _constants(list(n.units))
-    return found
 
+def expression(nodes: list[Node], pages: int = 0) -> str:
+    """The wrapper as text: constants as they are, slots as #."""
+    def shown(key: Key) -> str:
+        return "(" + "".join(map(shown, key)) + ")+" if isinstance(key, tuple) else "#" if key[0] == "#" else key
 
-class Block(NamedTuple):
-    path: tuple[str, ...]
-    text: str
-    weight: int  # characters outside links
+    pages = pages or max((n.pages for n in nodes), default=0)
+    out = []
+    for optional, run in itertools.groupby(nodes, lambda n: n.pages < pages):
+        text = "".join(n.text if n.text and n.pages > 1 else shown(n.key) for n in run)
+        out.append(f"({text})?" if optional else text)
+    return "".join(out)
 
 
 def blocks(page: str | None) -> list[Block]:
     """The unmarked text of a page between tags that break lines."""
-    found: list[Block] = []
-    now: list[str] = []
-    path: tuple[str, ...] = ()
-    weight = 0
-    for t in (*tokens(page), Token("<p>", "", (), False, False)):
-        if t.key == "#":
-            if not t.marked:
-                now.append(html.unescape(t.text))
-                path = t.path
-                weight += 0 if t.linked else len(" ".join(t.text.split()))
-        elif re.match(r"</?([a-z0-9]+)", t.key)[1] in BLOCKS:
-            text = " ".join("".join(now).split())
-            if text:
-                found.append(Block(path, text, weight))
-            now.clear()
-            weight = 0
-        elif t.key.startswith("<br"):
-            now.append(" ")
-    return found
+    return read(page)[2]
 
 
 def article_root(path: tuple[str, ...]) -> tuple[str, ...] | None:
@@ -247,14 +395,14 @@ def article_root(path: tuple[str, ...]) -> tuple[str, ...] | None:
 
 def main_paths(pages: list[str | None], constants: set[str]) -> list[list[str]]:
     """Containers of the main text: all articles if they hold half of it, else the lowest one with all of it."""
-    return _roots([b for page in pages for b in blocks(page) if b.text not in constants])
+    return _roots((b.path, b.weight) for page in pages for b in blocks(page) if b.text not in constants)
 
 
-def _roots(found: list[Block]) -> list[list[str]]:
+def _roots(found: Iterable[tuple[tuple[str, ...], int]]) -> list[list[str]]:
     mass: dict[tuple[str, ...], int] = defaultdict(int)
-    for b in found:
-        if b.weight:
-            mass[b.path] += b.weight
+    for path, weight in found:
+        if weight > 0:
+            mass[path] += weight
     if not mass:
         return []
     roots = {r for p in mass if (r := article_root(p)) is not None}
@@ -263,17 +411,32 @@ def _roots(found: list[Block]) -> list[list[str]]:
     return [os.path.commonprefix([list(p) for p in mass])]
 
 
+def _constants(node: Node) -> dict[tuple[str, ...], dict]:
+    """Texts that a node's pages, ``LEAST_PAGES`` or more, all have there, in no article or main element."""
+    return {p: texts for p, (_, texts) in node.held.items() if node.pages >= LEAST_PAGES and article_root(p) is None}
+
+
+def slot_paths(wrapper: Wrapper) -> list[list[str]]:
+    """Containers of the main text by the wrapper's slots."""
+    fixed = [_constants(n) for n in wrapper.nodes]
+    return _roots((p, mass - sum(c.get(p, {}).values()))
+                  for n, c in zip(wrapper.nodes, fixed, strict=True) for p, (mass, _) in n.held.items())
+
+
+def _single(page: str | None) -> Wrapper:
+    """The wrapper of one page, with its texts as they are."""
+    keys, texts, found = read(page)
+    nodes = [Node(k, texts.get(i)) for i, k in enumerate(keys)]
+    for t in (t for b in found for t in b.parts):
+        nodes[t.at] = nodes[t.at]._replace(held={t.path: (t.weight, {t.text: t.weight})})
+    return Wrapper(1, fold(nodes))
+
+
 def infer(pages: list[str | None]) -> tuple[str, list[list[str]]]:
     """Wrapper expression and main container paths from sample pages, equal pages once."""
     distinct = sorted({p for p in pages if p}, key=lambda p: (len(p), p))
-    wrapper: list[Node] | None = None
-    aligned = 0
-    for page in distinct:
-        nodes = stream(page)
-        wrapper = nodes if wrapper is None else align(wrapper, nodes)
-        aligned += 1
-    constants = _constants(wrapper) if wrapper and aligned > 2 else set()
-    return expression(wrapper or []), main_paths(distinct, constants)
+    wrapper = functools.reduce(align, map(_single, distinct)) if distinct else Wrapper(0, [])
+    return expression(wrapper.nodes, wrapper.pages), slot_paths(wrapper)
 
 
 def _under(path: tuple[str, ...], roots: set[tuple[str, ...]]) -> bool:
@@ -284,74 +447,170 @@ def _key(path: str, text: str) -> int:
     return xxhash.xxh3_64_intdigest(f"{path}\n{text}".encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def extract(page: str | None, paths: list[list[str]], constants: Collection[int] = ()) -> str:
-    """Blocks of the main containers, one to a line, without the host's constant blocks.
+def _main_text(found: list[Block], roots: set[tuple[str, ...]]) -> str:
+    """Blocks of the main containers, one to a line.
 
-    A page with less than half of its unmarked text in its host's containers is judged by itself; a
-    page of nothing but constants keeps them.
+    A page with less than half of its unmarked text in its host's containers is judged by itself.
     """
-    found = blocks(page)
-    if constants:
-        found = [b for b in found if _key(" ".join(b.path), b.text) not in constants] or found
-    roots = {tuple(p) for p in paths}
     if 2 * sum(b.weight for b in found if _under(b.path, roots)) < sum(b.weight for b in found) or not roots:
-        roots = {tuple(p) for p in _roots(found)}
+        roots = {tuple(p) for p in _roots((b.path, b.weight) for b in found)}
     return "\n".join(b.text for b in found if _under(b.path, roots))
 
 
-_BLOCKS = "host string, page bigint, path string, root string, block bigint, weight bigint"
+def extract(page: str | None, paths: list[list[str]]) -> str:
+    """The main text of a page by given containers."""
+    return _main_text(blocks(page), {tuple(p) for p in paths})
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each different block of each page; ``page`` is a hash of the page's unmarked text."""
-    names, types = ["host", "page", "path", "root", "block", "weight"], [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]
+class Extractor:
+    """Main texts of a host's pages by its wrapper; ways through it are kept for streams met before."""
+
+    def __init__(self, main: str | None):
+        found = json.loads(main or '{"pages": 0, "nodes": [], "paths": []}')
+        self.wrapper = Wrapper(found["pages"], [Node(_key_of(k), None, n) for k, n, _ in found["nodes"]])
+        self.constants = [frozenset(c) for *_, c in found["nodes"]]
+        self.roots = {tuple(p) for p in found["paths"]}
+        self.ways: dict[tuple, list] = {}
+
+    def slots(self, found: list[Block], keys: list[str]) -> list[Block]:
+        """Blocks with a text that falls on no constant."""
+        if not any(self.constants):
+            return found
+        stream = folded(keys)
+        line = tuple(k for k, *_ in stream)
+        if line not in self.ways:
+            if len(self.ways) >= 1000:
+                self.ways.clear()
+            self.ways[line] = match(self.wrapper, list(line))
+        fixed: dict[int, frozenset] = {}
+        for place, i, j in self.ways[line]:
+            if place is not None and self.constants[place]:
+                fixed |= dict.fromkeys(range(stream[i][1], stream[j - 1][2]), self.constants[place])
+        return [b for b in found if not b.parts
+                or any(_key(" ".join(t.path), t.text) not in fixed.get(t.at, ()) for t in b.parts)]
+
+    def text(self, page: str | None) -> str:
+        """A page of nothing but constants keeps them."""
+        keys, _, found = read(page)
+        return _main_text(self.slots(found, keys) or found, self.roots)
+
+
+def _key_of(found: str | list) -> Key:
+    return found if isinstance(found, str) else tuple(map(_key_of, found))
+
+
+def _dumped(wrapper: Wrapper) -> str:
+    return json.dumps([wrapper.pages, [[n.key, n.pages, [[" ".join(p), mass, [*texts.items()]] for p, (mass, texts) in n.held.items()]]
+                                       for n in wrapper.nodes]])
+
+
+def _loaded(text: str) -> Wrapper:
+    pages, nodes = json.loads(text)
+    return Wrapper(pages, [Node(_key_of(k), None, n, {tuple(p.split()): (mass, dict(map(tuple, texts))) for p, mass, texts in held})
+                           for k, n, held in nodes])
+
+
+_TEXTS = "host string, skeleton bigint, page bigint, node int, path string, block bigint, weight bigint"
+_PAGE, _SKELETON = -1, -2  # in place of a node: a row for each page, and for each skeleton (its keys as JSON)
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The texts of each page by the nodes of its skeleton; ``page`` is a hash of its unmarked text."""
+    types = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64()]
+    names = ["host", "skeleton", "page", "node", "path", "block", "weight"]
+    known: dict[tuple, int] = {}
+    told: set[tuple] = set()
     for batch in batches:
         for lo in range(0, batch.num_rows, 64):
             out: list[tuple] = []
             for host, page in zip(*(c.to_pylist() for c in batch.slice(lo, 64).columns), strict=True):
-                found = blocks(page)
+                keys, _, found = read(page)
+                stream = folded(keys)
+                line = tuple(k for k, *_ in stream)
+                if len(known) > 10_000:
+                    known.clear()
+                    told.clear()
+                if line not in known:
+                    known[line] = _key("", json.dumps(line))
+                skeleton = known[line]
+                if (host, skeleton) not in told:
+                    told.add((host, skeleton))
+                    out.append((host, skeleton, 0, _SKELETON, json.dumps(line), 0, 0))
                 whole = _key("", "\n".join(b.text for b in found))
+                out.append((host, skeleton, whole, _PAGE, "", 0, 0))
+                places = [n for n, (_, i, j) in enumerate(stream) for _ in range(i, j)]
                 weights: dict[tuple, int] = defaultdict(int)
-                for b in found:
-                    weights[b.path, b.text] += b.weight
-                for (path, text), weight in weights.items():
-                    root, joined = article_root(path), " ".join(path)
-                    out.append((host, whole, joined, None if root is None else " ".join(root), _key(joined, text), weight))
+                for t in (t for b in found for t in b.parts):
+                    path = " ".join(t.path)
+                    weights[places[t.at], path, _key(path, t.text)] += t.weight
+                out += [(host, skeleton, whole, *at, weight) for at, weight in weights.items()]
             if out:
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), types, strict=True)], names)
 
 
-def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``(host, main)`` for each host, from all its pages: container paths and constant blocks as JSON.
+def _singles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The wrapper of all pages of one skeleton."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 64):
+            made = []
+            for line, n, held in zip(*(c.to_pylist() for c in batch.slice(lo, 64).select(["keys", "n", "held"]).columns), strict=True):
+                nodes = [Node(k, None, n, {}) for k in map(_key_of, json.loads(line))]
+                for h in held or ():
+                    nodes[h["node"]].held[tuple(h["path"].split())] = h["mass"], {a["block"]: a["weight"] for a in h["always"]}
+                made.append(_dumped(Wrapper(n, nodes)))
+            yield pa.record_batch([batch.slice(lo, 64).column("host"), pa.array(made, pa.string())], ["host", "wrapper"])
+
+
+def _aligned(table: pa.Table) -> pa.Table:
+    """One wrapper of a few of a host's, shorter ones first."""
+    found = sorted(table.column("wrapper").to_pylist(), key=lambda w: (len(w), w))
+    made = _dumped(functools.reduce(align, map(_loaded, found)))
+    return pa.table({"host": table.column("host").slice(0, 1), "wrapper": pa.array([made], pa.string())})
 
-    A block is constant if it is on each page of its host that has text in its container, and on
-    ``LEAST_PAGES`` pages or more, and lies in no article or main element; pages of equal unmarked
-    text count once. Counts and masses are
-    summed before they are shuffled, so a host with a third of all pages is no hot key.
+
+def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        made = []
+        for wrapper in map(_loaded, batch.column("wrapper").to_pylist()):
+            nodes = [[n.key, n.pages, sorted({t for c in _constants(n).values() for t in c})] for n in wrapper.nodes]
+            made.append(json.dumps({"pages": wrapper.pages, "nodes": nodes, "paths": slot_paths(wrapper)}))
+        yield pa.record_batch([batch.column("host"), pa.array(made, pa.string())], ["host", "main"])
+
+
+def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """``(host, main)`` for each host, from all its pages: the wrapper's nodes with their constants, and
+    the container paths of its main text, as JSON.
+
+    Pages of one folded stream (skeleton) are counted on Spark, without their order: how many have
+    it, and which texts all of them have at a node. Pages of equal unmarked text count once there.
+    A host's skeletons are then aligned in a tree, ``MERGED`` at a time. A text is constant if all
+    pages with its node, ``LEAST_PAGES`` or more, have it there, in no article or main element.
+    Counts and masses are summed before they are shuffled, so a host with a third of all pages is
+    no hot key.
     """
     rows = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).cast("string").alias("html"))
-    seen = rows.mapInArrow(_blocks, _BLOCKS).groupBy("host", "page", "path", "root", "block").agg(F.max("weight").alias("weight"))
-    seen = common.stored(seen, "blocks")
-    texts = common.stored(seen.groupBy("host", "path", "root", "block").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight")), "texts")
-    of_path = seen.select("host", "path", "page").distinct().groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"))
-    constant = common.stored(texts.where((F.col("n") >= LEAST_PAGES) & F.col("root").isNull()).join(of_path, ["host", "path", "n"]).select("host", "block"), "constant")
-    parts = F.filter(F.split("path", " "), lambda x: x != "")
-    masses = texts.where("weight > 0").join(constant, ["host", "block"], "left_anti") \
-        .groupBy("host", "path", "root").agg(F.sum("weight").alias("weight"))
-    mains = masses.groupBy("host").agg(
-        (2 * F.sum(F.when(F.col("root").isNotNull(), F.col("weight")).otherwise(0)) >= F.sum("weight")).alias("articles"),
-        F.sort_array(F.collect_set("root")).alias("roots"), F.min(parts).alias("lo"), F.max(parts).alias("hi"))
-    # the common beginning of all paths is that of the first and the last
-    same = F.zip_with("lo", "hi", lambda x, y: x.eqNullSafe(y))
-    length = F.when(F.array_position(same, False) > 0, F.array_position(same, False) - 1).otherwise(F.size("lo")).cast("int")
-    lowest = F.array_join(F.slice("lo", F.lit(1), length), " ")
-    mains = mains.select("host", F.when(F.col("articles"), F.col("roots")).otherwise(F.array(lowest)).alias("paths"))
-    dropped = constant.groupBy("host").agg(F.sort_array(F.collect_set("block")).alias("constants"))
-    known = rows.select("host").distinct().join(mains, "host", "left").join(dropped, "host", "left")
-    none = lambda c, kind: F.coalesce(c, F.array().cast(f"array<{kind}>")).alias(c)
-    return common.stored(known.select("host", F.to_json(F.struct(none("paths", "string"), none("constants", "bigint"))).alias("main")),
-                         "wrappers")
+    key = ["host", "skeleton"]
+    seen = common.stored(rows.mapInArrow(_texts, _TEXTS).groupBy(*key, "page", "node", "path", "block")
+                         .agg(F.max("weight").alias("weight")), "texts")
+    counts = common.stored(seen.where(F.col("node") == _PAGE).groupBy(*key).agg(F.count(F.lit(1)).alias("n")), "counts")
+    texts = seen.where("node >= 0").groupBy(*key, "node", "path", "block").agg(
+        F.count(F.lit(1)).alias("found"), F.sum("weight").alias("weight"))
+    held = texts.join(counts, key).groupBy(*key, "node", "path").agg(
+        F.sum("weight").alias("mass"),
+        F.collect_list(F.when(F.col("found") == F.col("n"), F.struct("block", "weight"))).alias("always"))
+    held = held.groupBy(*key).agg(F.collect_list(F.struct("node", "path", "mass", "always")).alias("held"))
+    skeletons = seen.where(F.col("node") == _SKELETON).select(*key, F.col("path").alias("keys"))
+    now = skeletons.join(counts, key).join(held, key, "left").select("host", "keys", "n", "held")
+    now = common.stored(now.mapInArrow(_singles, "host string, wrapper string"), "wrappers")
+    while True:
+        of_host = now.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
+        if (of_host.agg(F.max("n")).first()[0] or 0) <= 1:
+            break
+        dealt = now.join(of_host, "host").withColumn(
+            "bucket", F.pmod(F.xxhash64("wrapper"), F.ceil(F.col("n") / MERGED)))
+        now = common.stored(dealt.select("host", "bucket", "wrapper").groupBy("host", "bucket").applyInArrow(
+            _aligned, "host string, wrapper string"), "wrappers")
+    return common.stored(now.mapInArrow(_described, "host string, main string"), "described")
 
 
 def main_texts(pages: DataFrame, known: DataFrame, id_col: str = "page_id", url_col: str = "url",
@@ -366,18 +625,17 @@ def main_texts(pages: DataFrame, known: DataFrame, id_col: str = "page_id", url_
                         host_of(F.col(url_col)).alias("host")).join(known.select("host", "main"), "host", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read: dict[str, tuple[list, frozenset]] = {}
+        known: dict[str, Extractor] = {}
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 texts = []
                 for page, main in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
-                    if main not in read:
-                        if len(read) > 10_000:
-                            read.clear()
-                        found = json.loads(main or "{}")
-                        read[main] = [p.split() for p in found.get("paths", ())], frozenset(found.get("constants", ()))
-                    texts.append(extract(page, *read[main]))
+                    if main not in known:
+                        if len(known) >= 100:
+                            known.clear()
+                        known[main] = Extractor(main)
+                    texts.append(known[main].text(page))
                 yield pa.record_batch([part.column(0), part.column(1), pa.array(texts, pa.string()),
                                        pa.array(np.array([len(t) for t in texts], dtype=np.int64))], [id_col, url_col, "text", "n_chars"])
 

@@ -132,3 +132,49 @@ def test_constants_within_articles_stay(spark):
     ("<article>x<div class='related-articles'>y</div><div id=commentList>z</div><p class='top share-buttons'>s</p></article>", "x\ns")])
 def test_names_and_values_of_tags(body, text):
     assert hw.extract(body, hw.main_paths([body], set())) == text
+
+
+def _texts(spark, bodies):
+    pages = spark.createDataFrame([(i, "http://d.net/", b, "", 0) for i, b in enumerate(bodies)], SCHEMA)
+    known = hw.wrappers(pages)
+    return known.first().main, [r.text for r in hw.main_texts(pages, known).orderBy("page_id").collect()]
+
+
+def test_slots_and_constants_are_told_by_place(spark):
+    titles = ["One", "Two", "Contact", "Four", "Five"]
+    bodies = [f"<body><div class=content><h2>{t}</h2><p>About {t}.</p>" + "<h4>Ask us</h4>" * (i % 2) + "<h3>Contact</h3></div></body>"
+              for i, t in enumerate(titles * 2)]
+    bodies = [b.replace("</p>", f"</p><p>{i}</p>" if i % 3 else f" {i}</p>") for i, b in enumerate(bodies)]
+    _, got = _texts(spark, bodies)
+    # "Contact" is constant as the last heading only, "Ask us" where a page has it; a paragraph is a repetition
+    assert got == [f"{t}\nAbout {t}." + (f"\n{i}" if i % 3 else f" {i}") for i, t in enumerate(titles * 2)]
+
+
+def test_every_page_takes_a_way_through_its_wrapper(spark):
+    bodies = [f"<body><div class=a>{f'<b>{i}</b>' * (i % 3)}<ul>{f'<li>{i}</li>' * (1 + i % 4)}</ul>{'<hr>' * (i % 2)}<p>{i}</p></div></body>"
+              for i in range(40)]
+    main, got = _texts(spark, bodies)
+    one = hw.Extractor(main)
+    assert got == [hw.extract(b, [["body", "div.a"]]) for b in bodies]
+    for b in bodies:
+        line = [k for k, *_ in hw.folded(hw.read(b)[0])]
+        way = hw.match(one.wrapper, line)
+        assert all(i is not None for i, *_ in way) and [j for _, j, _ in way] + [len(line)] == [0] + [k for *_, k in way]
+        left = set(range(len(one.wrapper.nodes))) - {i for i, *_ in way}
+        assert all(one.wrapper.nodes[i].pages < one.wrapper.pages for i in left)
+
+
+def test_single_units_and_optional_parts_align():
+    many, one = (hw._single(f"<ul>{'<li>x</li>' * n}</ul><p>{n}</p>") for n in (3, 1))
+    for a, b in ((many, one), (one, many)):
+        assert hw.expression(hw.align(a, b).nodes) == "<ul>(<li>#</li>)+</ul><p>#</p>"
+    nested = hw.align(hw._single("<ul><li><b>x</b></li><li><b>x</b><b>y</b></li><li><b>x</b><b>y</b></li></ul>"), hw._single("<ul></ul>"))
+    assert hw.expression(nested.nodes) == "<ul>((<li>(<b>#</b>)+</li>)+)?</ul>"
+    assert [k for k, *_ in hw.folded(["<a>"] * 3 + ["#x", "#x"])] == [("<a>",), "#x", "#x"]
+
+
+def test_long_unfolded_streams_match():
+    keys = [f"<{'abc'[i * i % 3]}{i % 7}>" for i in range(3000)]
+    wrapper = hw.Wrapper(2, [hw.Node(k, None, 1 + i % 2) for i, k in enumerate(keys)])
+    assert [i for i, *_ in hw.match(wrapper, keys)] == list(range(3000))
+    assert len(hw.match(wrapper, keys[1::2])) == 1500
