@@ -58,6 +58,7 @@ class Encoder:
         self.bytes = {b: chr(b) for b in plain}
         self.bytes |= {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in self.bytes)}
         self.known: dict[str, bytes] = {"": b""}
+        self.runs: dict[str, bytes] = {}
         self.direct = all(self._at_once(p) == self._whole([p])[0] for p in self._probes)
 
     def _whole(self, parts: list[str]) -> list[bytes]:
@@ -68,14 +69,21 @@ class Encoder:
         found = self._simple.fullmatch(part)
         if found is None:
             return None
-        ids = []
-        for run in found.groups():
-            if run:
-                run = run.lower()
-                if not run.isascii():
-                    run = run.encode().decode("latin-1").translate(self.bytes)
-                ids += [t.id for t in self.library.model.tokenize(run)]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        letters, marks = found.groups()
+        ids = self._run(letters.lower())
+        return ids + self._run(marks) if marks else ids
+
+    def _run(self, run: str) -> bytes:
+        """Ids of a run in lower case; a word is spelled once for all marks and capitals it comes with."""
+        ids = self.runs.get(run)
+        if ids is None:
+            spelled = run if run.isascii() else run.encode().decode("latin-1").translate(self.bytes)
+            found = [t.id for t in self.library.model.tokenize(spelled)]
+            ids = struct.pack(f"<{len(found)}I", *found)
+            if len(self.runs) >= CACHED_WORDS:
+                self.runs.clear()
+            self.runs[run] = ids
+        return ids
 
     def _learn(self, new: list[str]) -> None:
         other = []

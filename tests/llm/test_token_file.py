@@ -68,3 +68,12 @@ def test_reader_takes_single_documents_and_sees_damage(tmp_path, monkeypatch):
 def test_empty_table(spark, tmp_path):
     made = token_file.write(spark.createDataFrame([], SCHEMA), str(tmp_path))
     assert made.count() == 0 and token_file.read(spark, str(tmp_path), made).count() == 0
+
+
+def test_a_word_is_spelled_once_for_all_marks_and_capitals():
+    one = token_file.Encoder(public_tokenizers.path(token_file.TOKENIZER))
+    assert one.direct
+    one.runs.clear()
+    text = "wörterbuch wörterbuch, WÖRTERBUCH!! Wörterbuch, wörterbuch. plain plain, Plain! plain."
+    assert one.encode([text]) == [b"".join(one._whole([p])[0] for p in text.split(" "))]
+    assert set(one.runs) == {"wörterbuch", "plain", ",", "!!", "!", "."}
