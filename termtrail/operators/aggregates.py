@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 
 def earliest(value: Column, key: Column, where: Column | None = None) -> Column:
-    """Value at the smallest key; ties go to the smallest value. A null value is kept."""
-    order = F.struct(key.isNull(), key, value.isNull(), value)
-    return F.min_by(value, order if where is None else F.when(where, order))
+    """Value at the smallest key; ties go to the smallest value. A null value is kept.
+
+    The value is part of what is compared, so a group holds and sends it once.
+    """
+    order = F.struct(key.isNull().alias("no_key"), key.alias("key"), value.isNull().alias("no_value"), value.alias("value"))
+    return F.min(order if where is None else F.when(where, order))["value"]
 
 
 def latest(value: Column, key: Column, where: Column | None = None) -> Column:

@@ -29,9 +29,32 @@ from termtrail.sources.testdata import DriverTables, dashboard_cohort, dashboard
 Query = Callable[[SparkSession, str], DataFrame]
 _journeys: dict[tuple[str, str], Journey] = {}
 
+SHARES = 200   # up to here, Spark deals rows out to files without sorting them in memory
+SESSION = {
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m",
+    "spark.sql.files.maxPartitionBytes": "16m",
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(SHARES),
+    "spark.sql.execution.replaceHashWithSortAgg": "true",   # a student's sorted rows are not sorted once more
+}
+
+
+def bound_tasks(spark: SparkSession) -> None:
+    """Bounds what one task reads, unless the session says otherwise.
+
+    Rows of codes and flags shrink to a sixth or less in files and shuffles. Spark's shares of 64 and
+    128 MB need more memory to sort and group than a task has, and spill. Small tables still end up
+    in few tasks: shuffles are dealt into many parts, which adaptive execution joins.
+    """
+    conf = spark.conf
+    for name, value in SESSION.items():
+        enough = name.endswith("initialPartitionNum") and int(conf.get("spark.sql.shuffle.partitions")) >= SHARES
+        if conf.get(name, None) is None and not enough:
+            conf.set(name, value)
+
 
 def journey(spark: SparkSession, sf_dir: str) -> Journey:
     """One set of layers per session and input folder."""
+    bound_tasks(spark)
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _journeys:
         store = TableStore(spark)

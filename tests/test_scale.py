@@ -133,3 +133,30 @@ def test_flag_bits_keep_nulls_and_both_rules(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     with pytest.raises(ValueError, match="31"):
         FlagBits(any_={f"f{i}": F.lit(True) for i in range(32)})
+
+
+def test_tasks_of_a_journey_are_bounded_unless_the_session_says_otherwise(spark):
+    session = spark.newSession()
+    session.conf.set("spark.sql.files.maxPartitionBytes", "99m")
+    catalog.journey(session, SMALL)
+    assert {n: session.conf.get(n) for n in catalog.SESSION} == catalog.SESSION | {"spark.sql.files.maxPartitionBytes": "99m"}
+    wide = spark.newSession()
+    wide.conf.set("spark.sql.shuffle.partitions", "400")
+    catalog.journey(wide, SMALL)
+    assert wide.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None) is None
+
+
+def test_sorted_rows_of_a_student_are_not_sorted_once_more(spark):
+    """Hash aggregation of objects falls back to a sort at 128 keys; the window has sorted them already."""
+    plan = plan_of(catalog.journey(spark, SMALL).history)
+    assert "SortAggregate" in plan and "ObjectHashAggregate(keys=[student_uuid" not in plan
+
+
+def test_values_at_the_first_term_are_held_once(spark):
+    from termtrail.operators.aggregates import earliest, latest
+    rows = [(1, 5, None), (1, 3, "b"), (1, 3, "a"), (1, None, "z"), (2, None, "y"), (2, None, "x"), (3, 4, None), (3, 9, "q")]
+    df = spark.createDataFrame(rows, "k int, t int, v string")
+    grouped = df.groupBy("k").agg(earliest(F.col("v"), F.col("t")).alias("first"), latest(F.col("v"), F.col("t")).alias("last"),
+                                  earliest(F.col("v"), F.col("t"), F.col("t") > 4).alias("later"))
+    assert sorted(map(tuple, grouped.collect())) == [(1, "a", None, None), (2, "x", "x", None), (3, None, "q", "q")]
+    assert "min_by" not in plan_of(grouped)
