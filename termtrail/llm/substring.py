@@ -72,6 +72,7 @@ class _Pack:
     def windows(self, replies: list) -> None:
         """Positions of candidate windows, their distinct sequences and the first of each."""
         shared, anchored = self.anchors.spread(replies, ("shared", "anchored"))
+        self.anchors = None  # not needed any more
         span = self.window - self.block + 1
         runs = lambda flags: np.concatenate(([0], np.cumsum(flags)))
         a, s = runs(anchored), runs(shared)
@@ -79,8 +80,8 @@ class _Pack:
         n = len(fits)
         ok = fits & (a[span:span + n] > a[:n]) & (s[span:span + n] - s[:n] == span) if n else fits
         self.at = np.flatnonzero(ok)
-        first = words.mix(words.grams(self.h, self.window))[self.at]
-        second = words.mix(words.grams(self.h, self.window, seed=0x5851F42D4C957F2D) ^ words.U(0xA5A5))[self.at]
+        first = words.mix(words.grams(self.h, self.window)[self.at])
+        second = words.mix(words.grams(self.h, self.window, seed=0x5851F42D4C957F2D)[self.at] ^ words.U(0xA5A5))
         pair = np.empty(len(self.at), dtype=[("a", "<u8"), ("b", "<u4")])
         pair["a"], pair["b"] = first, (second >> words.U(32)).astype(np.uint32)
         order = np.lexsort((self.at, pair["b"], pair["a"]))
@@ -108,18 +109,28 @@ class _Pack:
         return np.cumsum(delta[:-1]) > 0
 
 
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+    """One row after another. What a pack took goes back to the system before the next is opened:
+    callers drop it at the end of a turn."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield [c[i].as_py() for c in batch.columns]
+            words.release()
+
+
 def _find_anchors(text_col: str, window: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for number, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                x = _Pack(blob, text_col, window, bits).anchors
-                cut = list(zip(x.cuts[:-1], x.cuts[1:], strict=True))
-                yield pa.record_batch([
-                    pa.array(x.buckets, pa.int64()), pa.array([number] * len(cut), pa.int64()),
-                    pa.array([packs.deltas(x.values[lo:hi]) for lo, hi in cut], pa.binary()),
-                    pa.array([packs.bits_of(x.indexed[lo:hi]) for lo, hi in cut], pa.binary()),
-                    pa.array([packs.bits_of(x.many[lo:hi]) for lo, hi in cut], pa.binary())],
-                    ["bucket", "batch", "hashes", "indexed", "many"])
+        for number, blob in _rows(batches):
+            x = _Pack(blob, text_col, window, bits).anchors
+            cut = list(zip(x.cuts[:-1], x.cuts[1:], strict=True))
+            found = pa.record_batch([
+                pa.array(x.buckets, pa.int64()), pa.array([number] * len(cut), pa.int64()),
+                pa.array([packs.deltas(x.values[lo:hi]) for lo, hi in cut], pa.binary()),
+                pa.array([packs.bits_of(x.indexed[lo:hi]) for lo, hi in cut], pa.binary()),
+                pa.array([packs.bits_of(x.many[lo:hi]) for lo, hi in cut], pa.binary())],
+                ["bucket", "batch", "hashes", "indexed", "many"])
+            del x
+            yield found
     return run
 
 
@@ -175,21 +186,22 @@ def _meet(key: tuple, table: pa.Table) -> pa.Table:
 
 def _find_windows(id_col: str, text_col: str, window: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for number, blob, replies in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if not replies:
-                    continue
-                x = _Pack(blob, text_col, window, bits)
-                x.windows(replies)
-                row = np.searchsorted(x.before, x.first, side="right") - 1
-                ids = x.table[id_col].cast(pa.int64()).fill_null(common.LOWEST).to_numpy()[row]
-                cut = list(zip(x.cuts[:-1], x.cuts[1:], strict=True))
-                yield pa.record_batch([
-                    pa.array(x.buckets, pa.int64()), pa.array([number] * len(cut), pa.int64()),
-                    pa.array([packs.deltas(x.values["a"][lo:hi]) for lo, hi in cut], pa.binary()),
-                    pa.array([packs.planes(x.values["b"][lo:hi]) for lo, hi in cut], pa.binary()),
-                    pa.array([packs.planes(ids[lo:hi]) for lo, hi in cut], pa.binary())],
-                    ["bucket", "batch", "hashes", "more", "ids"])
+        for number, blob, replies in _rows(batches):
+            if not replies:
+                continue
+            x = _Pack(blob, text_col, window, bits)
+            x.windows(replies)
+            row = np.searchsorted(x.before, x.first, side="right") - 1
+            ids = x.table[id_col].cast(pa.int64()).fill_null(common.LOWEST).to_numpy()[row]
+            cut = list(zip(x.cuts[:-1], x.cuts[1:], strict=True))
+            found = pa.record_batch([
+                pa.array(x.buckets, pa.int64()), pa.array([number] * len(cut), pa.int64()),
+                pa.array([packs.deltas(x.values["a"][lo:hi]) for lo, hi in cut], pa.binary()),
+                pa.array([packs.planes(x.values["b"][lo:hi]) for lo, hi in cut], pa.binary()),
+                pa.array([packs.planes(ids[lo:hi]) for lo, hi in cut], pa.binary())],
+                ["bucket", "batch", "hashes", "more", "ids"])
+            del x, row, ids
+            yield found
     return run
 
 
@@ -214,15 +226,18 @@ def _earliest(key: tuple, table: pa.Table) -> pa.Table:
 
 def _cut_out(id_col: str, text_col: str, window: int, bits: int, carried: list[str], tidy: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for blob, replies, later in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                x = _Pack(blob, text_col, window, bits)
-                x.windows(replies)
-                gone = x.repeats(later)
+        for blob, replies, later in _rows(batches):
+            x = _Pack(blob, text_col, window, bits)
+            x.windows(replies)
+            gone, table, before = x.repeats(later), x.table, x.before
+            del x
+            step = 512
+            span_type = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+            for at in range(0, table.num_rows, step):
+                part = table.slice(at, step)
                 kept, spans = [], []
-                texts = x.table[text_col].cast(pa.large_string()).to_pylist()
-                for i, text in enumerate(texts):
-                    lo, hi = int(x.before[i]), int(x.before[i + 1])
+                for i, text in enumerate(part[text_col].cast(pa.large_string()).to_pylist(), at):
+                    lo, hi = int(before[i]), int(before[i + 1])
                     own = (text or "").encode().split()
                     flags = gone[lo:hi]
                     if flags.any():
@@ -232,16 +247,11 @@ def _cut_out(id_col: str, text_col: str, window: int, bits: int, carried: list[s
                     else:
                         spans.append([])
                     kept.append(b" ".join(own).decode() if tidy or flags.any() else text)
-                step = 512
-                span_type = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-                columns = [x.table[c].combine_chunks() for c in carried]
-                for lo in range(0, len(texts), step):
-                    part = slice(lo, lo + step)
-                    yield pa.record_batch([
-                        x.table[id_col].combine_chunks().slice(lo, step), pa.array(np.diff(x.before)[part]),
-                        pa.array(spans[part], span_type), pa.array(kept[part], pa.string()),
-                        *(c.slice(lo, step) for c in columns)],
-                        [id_col, "n_words", "removed", "kept_text", *carried])
+                yield pa.record_batch([
+                    part[id_col].combine_chunks(), pa.array(np.diff(before[at:at + step + 1])),
+                    pa.array(spans, span_type), pa.array(kept, pa.string()), *(part[c].combine_chunks() for c in carried)],
+                    [id_col, "n_words", "removed", "kept_text", *carried])
+            del gone, table, before
     return run
 
 

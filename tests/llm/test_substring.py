@@ -68,3 +68,32 @@ def test_equal_rows_null_ids_and_empty_table(spark):
     assert substring.remove_repeats(docs.limit(0)).count() == 0
     with pytest.raises(ValueError):
         substring.remove_repeats(docs.withColumn("removed", F.lit(1)), carry=["removed"])
+
+
+def test_a_pack_is_dropped_before_the_next_is_opened(monkeypatch):
+    import weakref
+
+    import pyarrow as pa
+    alive, most = weakref.WeakSet(), []
+
+    class Counted(substring._Pack):
+        def __init__(self, *args):
+            most.append(len(alive))
+            alive.add(self)
+            super().__init__(*args)
+
+    monkeypatch.setattr(substring, "_Pack", Counted)
+    table = pa.table({"doc_id": pa.array([1, 2], pa.int64()), "text": [" ".join(f"w{i}" for i in range(60)), None]})
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    blob = sink.getvalue().to_pybytes()
+    (sent,) = substring._find_anchors("text", 20, 2)(iter([pa.record_batch([pa.array([0]), pa.array([blob])], ["batch", "blob"])]))
+    replies = [{"bucket": b, "shared": b"\x00" * 8, "anchored": b"\x00" * 8} for b in sent["bucket"].to_pylist()]
+    number, blobs, replies = pa.array([0, 1, 2]), pa.array([blob] * 3), pa.array([replies] * 3)
+    none = pa.nulls(3)
+    windows = pa.record_batch([number, blobs, replies], ["batch", "blob", "replies"])
+    cuts = pa.record_batch([blobs, replies, none], ["blob", "replies", "later"])
+    list(substring._find_windows("doc_id", "text", 20, 2)(iter([windows])))
+    got = list(substring._cut_out("doc_id", "text", 20, 2, [], True)(iter([cuts])))
+    assert most == [0] * 7 and [b.num_rows for b in got] == [2] * 3
