@@ -41,7 +41,7 @@ SESSION = {
 def bound_tasks(spark: SparkSession) -> None:
     """Bounds what one task reads, unless the session says otherwise.
 
-    Rows of codes and flags shrink to a sixth or less in files and shuffles. Spark's shares of 64 and
+    Rows of codes and flags take far less in files and shuffles than in memory. Spark's shares of 64 and
     128 MB need more memory to sort and group than a task has, and spill. Small tables still end up
     in few tasks: shuffles are dealt into many parts, which adaptive execution joins.
     """
