@@ -44,22 +44,21 @@ def shingle_sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     """
     data, offsets = words.text_bytes(texts)
     h, before = words.word_hashes(data, offsets, fold=words.LOWER)
-    valid = words.inside(before, size)
-    row = np.repeat(np.arange(len(before) - 1), np.diff(before))
-    g, owner = words.grams(h, size)[valid], row[:len(valid)][valid]
+    g = words.grams(h, size)[words.inside(before, size)]
     count = np.diff(before)
+    at = np.concatenate(([0], np.cumsum(np.where(count < size, count > 0, count - size + 1))))
     few = np.flatnonzero((count > 0) & (count < size))
     if len(few):
         short = np.array([words.grams(h[before[i]:before[i + 1]], int(count[i]), seed=0x632BE59BD9B4E019)[0] for i in few],
                          dtype=np.uint64)
-        g, owner = np.concatenate((g, short)), np.concatenate((owner, few))
+        g = np.insert(g, at[few] - np.arange(len(few)), short)
     g = words.mix(g + words.U(size))
-    order = np.lexsort((g, owner))
-    g, owner = g[order], owner[order]
+    for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        g[lo:hi].sort()
     first = np.ones(len(g), dtype=bool)
-    first[1:] = (g[1:] != g[:-1]) | (owner[1:] != owner[:-1])
-    g, owner = g[first], owner[first]
-    return g, np.searchsorted(owner, np.arange(len(before)))
+    first[1:] = g[1:] != g[:-1]
+    first[at[:-1][np.diff(at) > 0]] = True
+    return g[first], np.concatenate(([0], np.cumsum(first)))[at]
 
 
 def signatures(sets: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

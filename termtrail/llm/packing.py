@@ -22,6 +22,7 @@ from termtrail.llm import common, near_duplicates, token_counts, token_file, wor
 
 CAPACITY = 2048
 GROUP_ROWS = 2048
+_BLANKS = bytes.maketrans(b"\t\n\v\f\r", b"     ")
 
 
 class Packer:
@@ -76,7 +77,9 @@ def pack_group(lengths: list[int], sources: list, clusters: list, capacity: int)
 
 def _plain(text: str | None) -> int | None:
     """Hash of a text without regard to case and white space; none for a text without words."""
-    spelled = b" ".join((text or "").lower().encode().split())
+    spelled = (text or "").lower().encode().translate(_BLANKS).strip(b" ")
+    if b"  " in spelled:
+        spelled = b" ".join(spelled.split())
     return xxhash.xxh64_intdigest(spelled) - (1 << 63) if spelled else None
 
 

@@ -3,7 +3,8 @@
 A text's tokens are those of its parts between white space. A part of Latin letters (up to U+023F, as
 composed characters) and plain ASCII punctuation falls into runs of either, which the tokenizer never joins and which it reads in lower
 case; any other part counts as a whole. Runs and parts are told apart by 64-bit hashes, found for
-a whole slice at once; the tokenizer sees each distinct one a single time, and its count is kept.
+a whole slice at once; the tokenizer sees each distinct one a single time, and its count is kept
+in a table that is probed for all spans of a slice together, without sorting them.
 """
 
 from __future__ import annotations
@@ -22,6 +23,48 @@ _KIND[[*range(65, 91), *range(97, 123)]] = _LETTER
 _NO_LETTERS = [0xC397, 0xC3B7, 0xC4B0]  # multiplication and division signs, the capital I that folds to two characters
 # quotes begin contractions, < and | begin the names of special tokens
 _KIND[[b for b in range(33, 127) if not chr(b).isalnum() and chr(b) not in "'<|"]] = _MARK
+_KINDS, _LOWER = _KIND.tobytes(), words.LOWER.tobytes()
+
+
+class Known:
+    """Counts by hash in an open table: a hash lies in the first free slot from its leading bits on."""
+
+    def __init__(self, bits: int = 16):
+        self.bits, self.rows = bits, 0
+        self.hashes, self.counts = np.zeros(1 << bits, dtype=np.uint64), np.zeros(1 << bits, dtype=np.int32)
+
+    def _slot(self, h: np.ndarray) -> np.ndarray:
+        return (h >> words.U(64 - self.bits)).astype(np.int64)
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The counts of all hashes (none is 0), and the places of those that are not here."""
+        slot = self._slot(h)
+        found = self.hashes[slot]
+        out = self.counts[slot]
+        left, new = np.flatnonzero(found != h), []
+        while len(left):
+            held = self.hashes[slot[left]]
+            new.append(left[held == 0])
+            here = left[held == h[left]]
+            out[here] = self.counts[slot[here]]
+            left = left[(held != 0) & (held != h[left])]
+            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
+        return out, np.sort(np.concatenate(new)) if new else left
+
+    def add(self, h: np.ndarray, counts: np.ndarray) -> None:
+        """Takes in distinct hashes that are not here."""
+        if 2 * (self.rows + len(h)) > len(self.hashes):
+            held = np.flatnonzero(self.hashes)
+            h, counts = np.concatenate((self.hashes[held], h)), np.concatenate((self.counts[held], counts))
+            self.__init__(max(self.bits, (2 * len(h)).bit_length()))
+        self.rows += len(h)
+        slot = self._slot(h)
+        while len(h):
+            free = self.hashes[slot] == 0
+            self.hashes[slot[free]] = h[free]
+            placed = self.hashes[slot] == h
+            self.counts[slot[placed]] = counts[placed]
+            h, counts, slot = h[~placed], counts[~placed], (slot[~placed] + 1) & ((1 << self.bits) - 1)
 
 
 class Counter:
@@ -29,69 +72,77 @@ class Counter:
 
     def __init__(self, tokenizer: str = token_file.TOKENIZER):
         self.encoder = token_file.encoder(tokenizer)
-        self.hashes, self.counts = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
-
-    def _learn(self, parts: list[tuple[bytes, int]]) -> list[int]:
-        one = self.encoder.library.model.tokenize if self.encoder.direct else None
-        out = [len(one(self._spelled(raw))) if one and kind != _OTHER else -1 for raw, kind in parts]
-        whole = [i for i, n in enumerate(out) if n < 0]
+        self.known = Known()
+
+    def _learn(self, parts: list[bytes], kinds: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(parts), dtype=np.int64)
+        at_once = (kinds != _OTHER) & self.encoder.direct
+        runs = np.flatnonzero(at_once)
+        if len(runs):
+            one = self.encoder.library.model.tokenize
+            out[runs] = [len(one(run)) for run in self._spelled([parts[i] for i in runs])]
+        whole = np.flatnonzero(~at_once)
         for lo in range(0, len(whole), 4096):
             some = whole[lo:lo + 4096]
-            found = self.encoder.library.encode_batch_fast([parts[i][0].decode() for i in some], add_special_tokens=False)
-            for i, e in zip(some, found, strict=True):
-                out[i] = len(e.ids)
+            found = self.encoder.library.encode_batch_fast([parts[i].decode() for i in some], add_special_tokens=False)
+            out[some] = [len(e) for e in found]
         return out
 
-    def _spelled(self, raw: bytes) -> str:
-        """A run in lower case, as the model reads it."""
-        if raw.isascii():
-            return raw.decode()
-        return raw.decode().lower().encode().decode("latin-1").translate(self.encoder.bytes)
+    def _spelled(self, runs: list[bytes]) -> list[str]:
+        """Runs in lower case, as the model reads them: all in one string, for none holds a space."""
+        joined = b" ".join(runs)
+        if joined.isascii():
+            return joined.decode().split(" ")
+        return joined.decode().lower().encode().decode("latin-1").translate(self.encoder.bytes).split(self.encoder.bytes[32])
 
     def _piece(self, data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and counts of the runs and parts of a piece; ``edges`` are where rows begin."""
-        n = len(data)
-        kind = _KIND[data]
-        if n > 1:
-            lead = np.flatnonzero((data[:-1] >= 0xC3) & (data[:-1] <= 0xC8))
+        n, raw = len(data), data.tobytes()
+        kind = np.frombuffer(bytearray(raw.translate(_KINDS)), dtype=np.uint8)
+        lead = np.flatnonzero((data[:-1] - np.uint8(0xC3)) < 6)
+        if len(lead):
             pair = data[lead].astype(np.int32) << 8 | data[lead + 1]
             lead = lead[~np.isin(pair, _NO_LETTERS)]
             kind[lead] = kind[lead + 1] = _LETTER
-        border = np.zeros(n, dtype=bool)
+        border = np.ones(n, dtype=bool)
+        np.not_equal(kind[1:], kind[:-1], out=border[1:])
         border[edges] = True
-        solid = kind != _GAP
-        opens = solid.copy()
-        opens[1:] &= ~solid[:-1] | border[1:]
-        opens[0] = solid[0]
-        part = np.cumsum(opens, dtype=np.int32) - 1
-        other = np.zeros(int(part[-1]) + 1 if n else 0, dtype=bool)
-        other[part[kind == _OTHER]] = True
-        whole = solid & other[part] if len(other) else solid
-        kind[whole] = _OTHER
-        data = np.where(whole, data, words.LOWER[data])
-        first = opens
-        first[1:] |= solid[1:] & (kind[1:] != kind[:-1])
-        last = solid.copy()
-        last[:-1] &= ~solid[1:] | first[1:]
-        starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-        h = words.span_hashes(data, starts, ends)
-        distinct, at, inverse = np.unique(h, return_index=True, return_inverse=True)
-        place = np.searchsorted(self.hashes, distinct)
-        have = np.zeros(len(distinct), dtype=bool)
-        inside = place < len(self.hashes)
-        have[inside] = self.hashes[place[inside]] == distinct[inside]
-        count = np.zeros(len(distinct), dtype=np.int64)
-        count[have] = self.counts[place[have]]
-        new = np.flatnonzero(~have)
+        starts = np.flatnonzero(border)
+        ends = np.append(starts[1:], n)
+        opens = np.zeros(len(starts), dtype=bool)
+        opens[np.searchsorted(starts, edges)] = True
+        solid = np.flatnonzero(kind[starts] != _GAP)
+        starts, ends, opens, kind = starts[solid], ends[solid], opens[solid], kind[starts[solid]]
+        opens[:1] = True
+        opens[1:] |= np.diff(solid) > 1
+        lower = raw.translate(_LOWER)
+        if (kind == _OTHER).any():  # a part that holds others counts as a whole
+            first = np.flatnonzero(opens)
+            other = np.logical_or.reduceat(kind == _OTHER, first)
+            last = np.append(first[1:], len(starts)) - 1
+            ends[first[other]] = ends[last[other]]
+            inside = np.repeat(other, last - first + 1)
+            kind[inside] = _OTHER
+            kept = opens | ~inside
+            starts, ends, kind = starts[kept], ends[kept], kind[kept]
+            change = np.zeros(n + 1, dtype=np.int8)
+            whole = kind == _OTHER
+            change[starts[whole]] += 1
+            change[ends[whole]] -= 1
+            lower = np.where(np.cumsum(change[:n], dtype=np.int8), data, np.frombuffer(lower, dtype=np.uint8)).tobytes()
+        h = words.span_hashes(np.frombuffer(lower, dtype=np.uint8), starts, ends)
+        h[h == 0] = 1
+        count, new = self.known.find(h)
         if len(new):
-            raw = data.tobytes()
-            count[new] = self._learn([(raw[starts[i]:ends[i]], int(kind[starts[i]])) for i in at[new]])
-            if len(self.hashes) + len(new) > KNOWN:
-                self.hashes, self.counts = distinct[new][:KNOWN], count[new][:KNOWN]
-            else:
-                self.hashes = np.insert(self.hashes, place[new], distinct[new])
-                self.counts = np.insert(self.counts, place[new], count[new])
-        return starts, count[inverse]
+            distinct, at, inverse = np.unique(h[new], return_index=True, return_inverse=True)
+            at = new[at]
+            parts = [lower[i:j] for i, j in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+            learned = self._learn(parts, kind[at])
+            count[new] = learned[inverse]
+            if self.known.rows + len(distinct) > KNOWN:
+                self.known = Known()
+            self.known.add(distinct[:KNOWN], learned[:KNOWN])
+        return starts, count
 
     def count(self, texts: pa.Array | pa.ChunkedArray) -> np.ndarray:
         """Tokens of each text; null is empty."""
@@ -108,9 +159,8 @@ class Counter:
                     break
             first, stop = np.searchsorted(offsets, [lo, hi])
             starts, counts = self._piece(data[lo:hi], np.unique(offsets[first:stop] - lo))
-            if len(starts):
-                row = np.searchsorted(offsets, starts + lo, side="right") - 1
-                out += np.bincount(row, weights=counts, minlength=len(out)).astype(np.int64)
+            before = np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))
+            out += np.diff(before[np.searchsorted(starts + lo, offsets)])
             lo = hi
         return out
 

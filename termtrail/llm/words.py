@@ -101,7 +101,8 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np
         j = max(i + 1, int(np.searchsorted(ends, starts[i] + _PIECE, side="right")))
         lo, hi = int(starts[i]), int(ends[j - 1])
         part = np.zeros(hi - lo + 1, dtype=np.uint64)
-        np.cumsum((fold[data[lo:hi]].astype(np.uint64) + U(1)) * _power(_BASE, hi - lo), out=part[1:])
+        read = data[lo:hi] if fold is SAME else fold[data[lo:hi]]
+        np.cumsum((read.astype(np.uint64) + U(1)) * _power(_BASE, hi - lo), out=part[1:])
         s, e = starts[i:j] - lo, ends[i:j] - lo
         if first_bytes:
             e = np.minimum(e, s + first_bytes)
@@ -137,5 +138,8 @@ def inside(before: np.ndarray, n: int) -> np.ndarray:
     total = int(before[-1])
     if total < n:
         return np.zeros(0, dtype=bool)
-    row = np.repeat(np.arange(len(before) - 1), np.diff(before))
-    return row[:total - n + 1] == row[n - 1:]
+    whole = np.ones(total - n + 1, dtype=bool)
+    for k in range(1, n):  # the last starts of each row
+        late = before[1:] - k
+        whole[late[(late >= 0) & (late < len(whole))]] = False
+    return whole

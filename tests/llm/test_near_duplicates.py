@@ -150,3 +150,14 @@ def test_very_long_text_and_its_near_copy(spark):
     rows = [(1, " ".join(long)), (2, " ".join([*long[:-900], "cut"])), (3, " ".join(long[:75_000])), (4, "short text")]
     got = {r.doc_id: r.component_id for r in nd.near_duplicates(spark.createDataFrame([(i, t, 0, 0) for i, t in rows], SCHEMA)).collect()}
     assert got == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
+def test_sets_sort_row_by_row(monkeypatch):
+    """A row is sorted alone, and rows of no or of too few words keep their place."""
+    monkeypatch.setattr(np, "lexsort", None)
+    texts = ["b a b a b", "", "one", None, " two  three ", "x y z x y", "one two"]
+    sets, at = nd.shingle_sets(pa.array(texts), 2)
+    assert np.diff(at).tolist() == [2, 0, 1, 0, 1, 3, 1]
+    for i, text in enumerate(texts):
+        own, _ = nd.shingle_sets(pa.array([text], pa.string()), 2)
+        assert sets[at[i]:at[i + 1]].tolist() == own.tolist() == sorted(own.tolist())
